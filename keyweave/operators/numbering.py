@@ -1,22 +1,60 @@
-"""Dense row numbers without one sorting task.
+"""Running sums and dense row numbers without one sorting task.
 
-`row_number` over a global or a hot window puts every row of the group in one task. Here the rows are
-range partitioned by (group, order), so a hot group is spread over many partitions; each partition numbers
-its own rows and adds the count of the same group in the partitions before it.
+A window over all rows, or over a hot group, puts them in one task. Here the rows are range partitioned by
+(group, order), so a hot group is spread over many partitions; each partition adds up its own rows, and
+the totals of the same group in earlier partitions are added to them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyweave.functions.text import column
 from keyweave.lineage import cut
 
 COPIES_PER_TASK = 100_000
 
 
+def running_sums(
+    df: DataFrame, order_by: Sequence[Column], within: Sequence[str], sums: Mapping[str, str]
+) -> DataFrame:
+    """Add, for each `new name: value column`, the sum of the values up to and with the row, in its group."""
+    ranged = df.repartitionByRange(*[column(c) for c in within], *order_by)
+    placed = cut(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+
+    in_range = Window.partitionBy("_range", *[column(c) for c in within]).orderBy(*order_by)
+    upto_here = in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.withColumns({name: F.sum(column(value)).over(upto_here) for name, value in sums.items()})
+
+    totals = placed.groupBy("_range", *[column(c) for c in within]).agg(
+        *[F.sum(column(value)).alias(f"_total_{name}") for name, value in sums.items()]
+    )
+    earlier = (
+        Window.partitionBy(*([column(c) for c in within] or [F.lit(0)]))
+        .orderBy("_range")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    # Only the first group of a range can have rows in an earlier range, so there is at most one carry per range.
+    carry = totals.select(
+        F.col("_range").alias("_carry_range"),
+        *[column(c).alias(f"_carry_{i}") for i, c in enumerate(within)],
+        *[F.sum(f"_total_{name}").over(earlier).alias(f"_before_{name}") for name in sums],
+        F.count(F.lit(1)).over(earlier).alias("_ranges_before"),
+    ).where("_ranges_before > 0")
+    same = F.col("_range") == F.col("_carry_range")
+    for i, c in enumerate(within):
+        same = same & column(c).eqNullSafe(F.col(f"_carry_{i}"))
+    joined = local.join(F.broadcast(carry), same, "left")
+    zero = F.lit(0)
+    return joined.select(
+        *[column(c) for c in df.columns],
+        *[(column(name) + F.coalesce(F.col(f"_before_{name}"), zero)).alias(name) for name in sums],
+    )
+
+
 def number_rows(
     df: DataFrame,
     order_by: Sequence[Column],
@@ -31,54 +69,28 @@ def number_rows(
     `distinct_rows=True` when there are none to save that step.
     """
     columns = df.columns
-    tie = F.xxhash64(*columns)
+    one = F.lit(1).cast("bigint")
     if distinct_rows:
-        counted = df.withColumn("_copies", F.lit(1).cast("bigint"))
+        counted = df.withColumn("_copies", one)
     else:
-        counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-
-    ranged = counted.repartitionByRange(*[F.col(c) for c in within], *order_by, tie)
-    placed = cut(ranged.withColumn("_part", F.spark_partition_id()), "numbering")
-
-    in_part = Window.partitionBy("_part", *within).orderBy(*order_by, tie)
-    upto_here = in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = placed.withColumn("_end", F.sum("_copies").over(upto_here))
-
-    per_part = placed.groupBy("_part", *within).agg(F.sum("_copies").alias("_n"))
-    earlier = (
-        Window.partitionBy(*(within or [F.lit(0)]))
-        .orderBy("_part")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # Only the first group of a range partition can have rows in an earlier one: at most one row per partition.
-    carry = (
-        per_part.withColumn("_carry", F.sum("_n").over(earlier))
-        .where(F.col("_carry").isNotNull())
-        .select(F.col("_part").alias("_p"), F.col("_carry"), *[F.col(c).alias(f"_g_{c}") for c in within])
-    )
-    same = F.col("_part") == F.col("_p")
-    for c in within:
-        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    joined = local.join(F.broadcast(carry), same, "left")
-    first = F.col("_end") - F.col("_copies") + F.coalesce("_carry", F.lit(0)) + 1
+        counted = df.groupBy(*[column(c) for c in columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    tie = F.xxhash64(*[column(c) for c in columns])
+    summed = running_sums(counted, [*order_by, tie], within, {"_last": "_copies"})
     if distinct_rows:
-        return joined.select(*columns, first.cast("bigint").alias(name))
-    return _spread_copies(joined.select(*columns, "_copies", first.cast("bigint").alias("_first")), columns, name)
+        return summed.select(*[column(c) for c in columns], F.col("_last").alias(name))
+    return _spread_copies(summed, columns, name)
 
 
-def _spread_copies(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    last = F.col("_first") + F.col("_copies") - 1
+def _spread_copies(df: DataFrame, names: list[str], name: str) -> DataFrame:
+    columns = [column(c) for c in names]
+    first = F.col("_last") - F.col("_copies") + 1
     few = df.where(F.col("_copies") <= COPIES_PER_TASK).select(
-        *columns, F.explode(F.sequence("_first", last)).alias(name)
+        *columns, F.explode(F.sequence(first, F.col("_last"))).alias(name)
     )
     chunk_end = F.least(F.col("_from") + (COPIES_PER_TASK - 1), F.col("_last"))
     many = (
         df.where(F.col("_copies") > COPIES_PER_TASK)
-        .select(
-            *columns,
-            last.alias("_last"),
-            F.explode(F.sequence("_first", last, F.lit(COPIES_PER_TASK).cast("bigint"))).alias("_from"),
-        )
+        .select(*columns, "_last", F.explode(F.sequence(first, F.col("_last"), F.lit(COPIES_PER_TASK).cast("bigint"))).alias("_from"))
         .repartition(F.xxhash64(*columns), "_from")
         .select(*columns, F.explode(F.sequence("_from", chunk_end)).alias(name))
     )

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: str | int = 8, app: str = "keyweave") -> SparkSession:
-    return (
+def local_session(cpus: str | int = 8, shared: str | None = None) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
+        .appName("keyweave")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
@@ -17,5 +17,7 @@ def local_session(cpus: str | int = 8, app: str = "keyweave") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    return builder.getOrCreate()

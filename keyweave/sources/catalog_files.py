@@ -87,13 +87,19 @@ def build_index(spark: SparkSession, root: str, pattern: str = "columns.csv") ->
     rows = _cells(spark, root, pattern, COLUMN_FIELDS)
     below = F.regexp_extract("path", "/" + _quoted(root.rstrip("/").rsplit("/", 1)[-1]) + "/(.*)$", 1)
     folder = F.when(below.contains("/"), F.substring_index(below, "/", 1)).otherwise(F.lit(""))
-    source = F.try_url_decode(F.regexp_replace(folder, "^[^=]+=", ""))
+    value = _decoded(F.regexp_replace(_decoded(folder), "^[^=]+=", ""))
+    source = F.when(folder.contains("="), value).otherwise(_decoded(folder))
     trimmed = [F.trim(F.coalesce(F.col(f"cell.`{f}`"), F.lit(""))).alias(f) for f in COLUMN_FIELDS]
     table = rows.select(source.alias("source_schema"), *trimmed)
     some = F.length(F.concat(*[F.col(f) for f in COLUMN_FIELDS])) > 0
     return table.where((F.col("source_schema") != "") & some & (F.lower("table_schema") != "table_schema")).distinct()
 
 
+def _decoded(text: Column) -> Column:
+    """`%xx` decoded; a plus sign in a path is a plus sign."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 
