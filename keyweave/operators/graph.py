@@ -8,10 +8,12 @@ split the rows of a hot node.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.lineage import cut
+from keyweave.lineage import cut, cut_observed
 from keyweave.operators.numbering import number_rows
 
 
@@ -123,23 +125,25 @@ def table_stats(columns: DataFrame, table: str = "table_name", name: str = "colu
 def hops(edges: DataFrame, start: str, max_rounds: int = 1_000) -> DataFrame:
     """(node, hops): fewest edges from `start`, in either direction.
 
-    One round per level; each round's new nodes are a written table, so the plan stays one join long.
+    One round per level; each level is a written table, so the plan of a round stays one join long. A
+    neighbour of a level lies in the level before it, in itself or in the next one, so only two levels have
+    to be subtracted.
     """
     spark = edges.sparkSession
     ways = cut(both_ways(edges), "ways")
-    level = spark.range(1).select(F.lit(start).alias("node"), F.lit(0).cast("bigint").alias("hops"))
-    level = cut(level.join(ways, F.col("node") == F.col("src"), "left_semi"), "hops")
-    reached = level
+    first = spark.range(1).select(F.lit(start).alias("node"), F.lit(0).cast("bigint").alias("hops"))
+    level, seen = cut_observed(first.join(ways, F.col("node") == F.col("src"), "left_semi"), "hops", rows=F.count(F.lit(1)))
+    before, levels = level.limit(0), [level]
     for step in range(1, max_rounds + 1):
-        if level.isEmpty():
-            break
+        if not seen["rows"]:
+            return reduce(DataFrame.unionByName, levels)
+        known = before.select("node").unionByName(level.select("node"))
         found = ways.join(level, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct()
-        fresh = found.join(reached, "node", "left_anti").withColumn("hops", F.lit(step).cast("bigint"))
-        level = cut(fresh, "hops")
-        reached = reached.unionByName(level)
-    else:
-        raise RuntimeError(f"not finished after {max_rounds} rounds")
-    return reached
+        fresh = found.join(known, "node", "left_anti").withColumn("hops", F.lit(step).cast("bigint"))
+        before = level
+        level, seen = cut_observed(fresh, "hops", rows=F.count(F.lit(1)))
+        levels.append(level)
+    raise RuntimeError(f"not finished after {max_rounds} rounds")
 
 
 def hub_clusters(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 1_000) -> DataFrame:
@@ -208,8 +212,8 @@ def _independent_hubs(ranked: DataFrame, main: DataFrame, max_rounds: int) -> tu
         all_hubs = all_hubs.unionByName(new_hubs)
         all_members = all_members.unionByName(new_members)
         decided = new_hubs.unionByName(new_members)
-        undecided = cut(undecided.join(decided, "node", "left_anti"), "undecided")
-        if undecided.isEmpty():
+        undecided, seen = cut_observed(undecided.join(decided, "node", "left_anti"), "undecided", rows=F.count(F.lit(1)))
+        if not seen["rows"]:
             return all_hubs, all_members
         open_edges = cut(
             open_edges.join(new_members, F.col("lo") == F.col("node"), "left_anti").join(

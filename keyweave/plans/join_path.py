@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.functions.text import column
-from keyweave.lineage import cut
+from keyweave.lineage import cut, cut_observed
 
 EDGE_COLUMNS = ["edge_ord", "child", "child_columns", "parent", "parent_columns"]
 
@@ -48,19 +48,23 @@ def shortest_path(ways: DataFrame, start: str, end: str, max_rounds: int = 1_000
     """
     spark = ways.sparkSession
     nowhere = F.array().cast("array<struct<edge_ord:bigint,table:string>>")
-    level = cut(spark.range(1).select(F.lit(start).alias("node"), nowhere.alias("path")), "path")
-    reached = level
+    level = spark.range(1).select(F.lit(start).alias("node"), nowhere.alias("path"))
+    before, rows, arrived = level.limit(0), 1, start == end
     for _ in range(max_rounds):
-        arrived = level.where(F.col("node") == F.lit(end))
-        if level.isEmpty() or not arrived.isEmpty():
-            return arrived
+        if arrived or not rows:
+            return level.where(F.col("node") == F.lit(end))
         step = F.struct(F.col("edge_ord").cast("bigint").alias("edge_ord"), F.col("dst").alias("table"))
         steps = ways.join(level, F.col("src") == F.col("node")).select(
             F.col("dst").alias("node"), F.array_append("path", step).alias("path")
         )
         best = steps.groupBy("node").agg(F.min("path").alias("path"))
-        level = cut(best.join(reached.select("node"), "node", "left_anti"), "path")
-        reached = reached.unionByName(level)
+        # A neighbour of a level lies in the level before it, in itself or in the next one.
+        known = before.select("node").unionByName(level.select("node"))
+        before = level
+        level, seen = cut_observed(
+            best.join(known, "node", "left_anti"), "path", rows=F.count(F.lit(1)), arrived=F.count_if(F.col("node") == F.lit(end))
+        )
+        rows, arrived = seen["rows"], seen["arrived"] > 0
     raise RuntimeError(f"not finished after {max_rounds} rounds")
 
 
@@ -70,7 +74,7 @@ def join_path_plan(edges: DataFrame, start: str, end: str) -> DataFrame:
     No rows when `end` cannot be reached; one row when it is `start`. There is one row per table on the path.
     """
     edges = cut(edges.select(*EDGE_COLUMNS), "edges")
-    path = shortest_path(cut(both_directions(edges), "ways"), start, end)
+    path = shortest_path(both_directions(edges), start, end)
     first = path.select(
         F.lit(0).cast("bigint").alias("step"),
         F.lit(start).alias("table_name"),

@@ -11,7 +11,7 @@ from keyweave.functions.types import map_types
 from keyweave.operators import checks
 from keyweave.operators.conform import DeclaredColumn, assign_ids, check_length, conform, fill_defaults
 from keyweave.plans.check_report import check_all
-from keyweave.workload.tables import RULES, table, tables
+from keyweave.workload.tables import RULES, Tables, table
 
 ORDERS = [
     DeclaredColumn("o_orderkey", "BIGINT", nullable=False),
@@ -100,7 +100,7 @@ QUERIES = {
     "check_fk_orphans": lambda s, d: checks.check_foreign_key(table(s, d, "events"), _other_customers(s, d), ["user_id"], ["c_custkey"]),
     "check_fk_orphan_rows": lambda s, d: checks.orphan_rows(table(s, d, "orders"), _other_customers(s, d), ["o_custkey"], ["c_custkey"]),
     "orders_without_lineitems": lambda s, d: checks.unreferenced_parents(table(s, d, "orders"), table(s, d, "lineitem"), ["o_orderkey"], ["l_orderkey"]),
-    "check_report": lambda s, d: check_all(tables(s, d), RULES),
+    "check_report": lambda s, d: check_all(Tables(s, d), RULES),
     "conform_orders": lambda s, d: conform(table(s, d, "orders"), ORDERS).rows,
     "conform_pages": lambda s, d: conform(_page_numbers(s, d), PAGE_NUMBERS).rows,
     "conform_rejects": lambda s, d: conform(_page_numbers(s, d), PAGE_NUMBERS).rejects.withColumn("failed_columns", F.array_join("failed_columns", ",")),

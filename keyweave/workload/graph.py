@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keyweave.lineage import cut
 from keyweave.operators import graph
 from keyweave.plans.join_path import both_directions, join_path, shortest_path
-from keyweave.workload.tables import foreign_keys, table, tables
+from keyweave.workload.tables import Tables, foreign_keys, table
 
 
 def join_path_lineitem_region(spark, folder):
-    joined = join_path(tables(spark, folder), foreign_keys(spark), "lineitem", "region")
+    joined = join_path(Tables(spark, folder), foreign_keys(spark), "lineitem", "region")
     last = next(c for c in joined.columns if c.endswith("__r_name"))
     return joined.groupBy(F.col(last).alias("r_name")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("t0__l_quantity").cast("bigint").alias("quantity")
@@ -18,7 +19,7 @@ def join_path_lineitem_region(spark, folder):
 
 
 def join_path_orders_supplier(spark, folder):
-    joined = join_path(tables(spark, folder), foreign_keys(spark), "orders", "supplier")
+    joined = join_path(Tables(spark, folder), foreign_keys(spark), "orders", "supplier")
     return joined.groupBy(F.col("t2__s_name").alias("s_name")).agg(
         F.count(F.lit(1)).alias("n"), F.max("t0__o_orderkey").alias("last_order")
     )
@@ -48,7 +49,7 @@ def relation_rows(spark, folder):
 
 
 def join_path_rows(spark, folder):
-    path = shortest_path(both_directions(relation_rows(spark, folder)), "order_1", "region_2")
+    path = shortest_path(both_directions(cut(relation_rows(spark, folder), "relations")), "order_153", "region_4")
     steps = path.select(F.posexplode("path").alias("_pos", "_step"))
     return steps.select(
         (F.col("_pos") + 1).cast("bigint").alias("step"), F.col("_step.table").alias("table_name"), F.col("_step.edge_ord").alias("edge_ord")
@@ -96,7 +97,7 @@ QUERIES = {
     "graph_relation_counts": lambda s, d: graph.relation_counts(one_space(s, d)),
     "graph_hub_links": lambda s, d: graph.hub_links(one_space(s, d)),
     "graph_table_stats": table_stats,
-    "graph_hops": lambda s, d: graph.hops(order_chain(s, d), "t0"),
+    "graph_hops": lambda s, d: graph.hops(relation_rows(s, d).select(F.col("child").alias("src"), F.col("parent").alias("dst")), "order_1"),
     "graph_hops_part_supplier": lambda s, d: graph.hops(part_supplier(s, d), "p1"),
     "graph_clusters": lambda s, d: graph.hub_clusters(order_chain(s, d), _customers(s, d)),
     "graph_clusters_part_supplier": lambda s, d: graph.hub_clusters(part_supplier(s, d)),
@@ -118,6 +119,12 @@ PART_SUPPLIER = "SELECT DISTINCT concat('p', l_partkey) AS src, concat('s', l_su
 ONE_SPACE = "SELECT concat('t', l_suppkey) AS src, concat('t', l_partkey) AS dst FROM lineitem"
 ORDER_CHAIN = "SELECT concat('t', o_orderkey) AS src, concat('t', o_custkey) AS dst FROM orders"
 EVENT_CHAIN = "SELECT concat('t', event_id) AS src, concat('t', user_id) AS dst FROM events"
+RELATION_ROWS = """
+    SELECT concat('order_', o_orderkey) AS src, concat('customer_', o_custkey) AS dst FROM orders
+    UNION ALL SELECT concat('order_', l_orderkey), concat('supplier_', l_suppkey) FROM lineitem
+    UNION ALL SELECT concat('customer_', c_custkey), concat('nation_', c_nationkey) FROM customer
+    UNION ALL SELECT concat('supplier_', s_suppkey), concat('nation_', s_nationkey) FROM supplier
+    UNION ALL SELECT concat('nation_', n_nationkey), concat('region_', n_regionkey) FROM nation"""
 CUSTOMERS = "SELECT concat('t', c_custkey) AS node FROM customer"
 
 
@@ -183,15 +190,15 @@ SQL = {
     "join_path_rows": """
         WITH first AS (
             SELECT concat('customer_', o_custkey) AS t1, o_custkey * 10 + 1 AS e1, c_nationkey AS nation, c_nationkey::BIGINT * 10 + 3 AS e2
-            FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey = 1
+            FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey = 153
             UNION
             SELECT concat('supplier_', l_suppkey), l_suppkey * 10 + 2, s_nationkey, s_nationkey::BIGINT * 10 + 4
-            FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey = 1),
+            FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey = 153),
         best AS (
-            SELECT t1, e1, nation, e2 FROM first JOIN nation ON nation = n_nationkey WHERE n_regionkey = 2 ORDER BY e1, t1, e2 LIMIT 1)
+            SELECT t1, e1, nation, e2 FROM first JOIN nation ON nation = n_nationkey WHERE n_regionkey = 4 ORDER BY e1, t1, e2 LIMIT 1)
         SELECT 1::BIGINT AS step, t1 AS table_name, e1 AS edge_ord FROM best
         UNION ALL SELECT 2, concat('nation_', nation), e2 FROM best
-        UNION ALL SELECT 3, 'region_2', 25 FROM best""",
+        UNION ALL SELECT 3, 'region_4', 45 FROM best""",
     "graph_degrees": f"SELECT * FROM {_degrees_sql(ONE_SPACE)}",
     "graph_degrees_part_supplier": f"SELECT * FROM {_degrees_sql(PART_SUPPLIER)}",
     "graph_roles": f"""
@@ -222,7 +229,7 @@ SQL = {
     "graph_table_stats": """
         SELECT concat('customer_', o_custkey) AS table_name, count(*) AS columns,
                max(length(concat(o_orderpriority, o_orderkey))) AS longest_name FROM orders GROUP BY 1""",
-    "graph_hops": _hops_sql(ORDER_CHAIN, "t0", 60),
+    "graph_hops": _hops_sql(RELATION_ROWS, "order_1", 12),
     "graph_hops_part_supplier": _hops_sql(PART_SUPPLIER, "p1", 8),
     "graph_clusters": _clusters_sql(ORDER_CHAIN, CUSTOMERS),
     "graph_clusters_part_supplier": _clusters_sql(PART_SUPPLIER),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from keyweave.operators.search import search_tables, search_values
-from keyweave.workload.tables import table, tables
+from keyweave.workload.tables import Tables, table
 
 TEXT_COLUMNS = {
     "region": ["r_name"],
@@ -37,7 +37,7 @@ def _search(name: str, value: str, **options):
 QUERIES = {
     "search_contains": lambda s, d: _search("orders", "URG")(s, d).hits,
     "search_contains_documents": lambda s, d: _search("documents", "the")(s, d).hits,
-    "search_like": lambda s, d: _search("part", "e_o%g", mode="like")(s, d).hits,
+    "search_like": lambda s, d: _search("part", "e%r_n", mode="like")(s, d).hits,
     "search_equals": lambda s, d: _search("part", "ECONOMY", mode="equals")(s, d).hits,
     "search_row_filter": lambda s, d: _search("lineitem", "R", row_filter="l_quantity > 30 OR l_discount = 0.05")(s, d).hits,
     "search_exclude": lambda s, d: _search("documents", "s", exclude=" text, ,lang ")(s, d).hits,
@@ -45,13 +45,13 @@ QUERIES = {
     "search_samples": lambda s, d: _search("orders", "O", key=["o_orderkey"])(s, d).sample_rows,
     "search_samples_json": lambda s, d: _search("customer", "URN", key=["c_custkey"])(s, d).samples,
     "search_summary": lambda s, d: _search("conversations", "user", table="conversations")(s, d).report(),
-    "search_all_tables": lambda s, d: search_tables(tables(s, d), "an"),
+    "search_all_tables": lambda s, d: search_tables(Tables(s, d), "an"),
 }
 
 SQL = {
     "search_contains": _hits_sql("orders", "contains({c}, 'URG')"),
     "search_contains_documents": _hits_sql("documents", "contains({c}, 'the')"),
-    "search_like": _hits_sql("part", "{c} LIKE '%e_o%g%'"),
+    "search_like": _hits_sql("part", "{c} LIKE '%e%r_n%'"),
     "search_equals": _hits_sql("part", "{c} = 'ECONOMY'"),
     "search_row_filter": _hits_sql("lineitem", "contains({c}, 'R')", where="l_quantity > 30 OR l_discount = 0.05"),
     "search_exclude": _hits_sql("documents", "contains({c}, 's')", columns=["source"]),

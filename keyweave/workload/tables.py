@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from keyweave.plans.check_report import ForeignKey, TableRules
@@ -52,8 +54,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tables(spark: SparkSession, folder: str, names=NAMES) -> dict[str, DataFrame]:
-    return {name: table(spark, folder, name) for name in names}
+class Tables(Mapping):
+    """The given tables by name; a table is opened when it is asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return table(self._spark, self._folder, name)
+
+    def __iter__(self):
+        return iter(NAMES)
+
+    def __len__(self) -> int:
+        return len(NAMES)
 
 
 def foreign_keys(spark: SparkSession) -> DataFrame:
