@@ -1,4 +1,7 @@
-"""Spark types for the column types of nine SQL dialects."""
+"""Spark types for the column types of nine SQL dialects.
+
+Spark reads and writes TIME only where the session sets `spark.sql.timeType.enabled`.
+"""
 
 from __future__ import annotations
 

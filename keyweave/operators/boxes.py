@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.operators.numbering import number_rows, running_sums
+from keyweave.operators.numbering import number_rows
+
+# Window groups of `corner_sums` hold at most 2^CHUNK_BITS rows.
+CHUNK_BITS = 20
 
 COORDINATE = "DECIMAL(14,4)"
 
@@ -59,23 +62,23 @@ def edge_lengths(edges: DataFrame, boxes: DataFrame) -> DataFrame:
 def overlap_counts(boxes: DataFrame) -> DataFrame:
     """(id, overlaps): other boxes whose open rectangle meets that of the box. A box without area meets none."""
     solid = _solid(boxes)
-    # On one axis two boxes meet iff low < other high, less the case other-wise high <= other low. The product
-    # over both axes has four terms; in each, corners of one kind are counted against corners of one kind.
+    # On one axis two boxes meet iff low < other high, less the pairs with high <= other low. The product over
+    # both axes has four terms; in each, corners of one kind are counted against corners of one kind.
     left, right, bottom, top = F.col("left"), F.col("right"), F.col("bottom"), F.col("top")
     terms = [
-        ("low low", 1, (left, bottom), (right, top), (True, True)),
-        ("high low", -1, (right, bottom), (left, top), (False, True)),
-        ("low high", -1, (left, top), (right, bottom), (True, False)),
-        ("high high", 1, (right, top), (left, bottom), (False, False)),
+        (1, (left, bottom), (right, top), (True, True)),
+        (-1, (right, bottom), (left, top), (False, True)),
+        (-1, (left, top), (right, bottom), (True, False)),
+        (1, (right, top), (left, bottom), (False, False)),
     ]
-    one = F.lit(1).cast("bigint")
-    points = [_corner(kind, "p", x, y, strict, one) for kind, _, (x, y), _, strict in terms]
-    asks = [_corner(kind, "q", x, y, strict, F.lit(sign).cast("bigint")) for kind, sign, _, (x, y), strict in terms]
-    corners = solid.select("id", F.inline(F.array(*points, *asks)))
-    sums = corner_sums(corners, 8 * solid.count(), ["weight"])
+    points = [_corner(kind, False, at, strict, [("weight", F.lit(1))]) for kind, (_, at, _, strict) in enumerate(terms)]
+    asked = [_corner(kind, True, at, strict, [("weight", F.lit(sign))]) for kind, (sign, _, at, strict) in enumerate(terms)]
+    corners = solid.select("id", F.inline(F.array(*points, *asked)))
+    sums = corner_sums(corners, 2 * solid.count(), ["weight"])
     per_box = sums.groupBy("id").agg(F.sum(F.col("weight") * F.col("sum_weight")).alias("_met"))
     counted = per_box.select("id", (F.col("_met") - 1).cast("bigint").alias("overlaps"))
-    return boxes.select("id").join(counted, "id", "left").select("id", F.coalesce("overlaps", F.lit(0)).cast("bigint").alias("overlaps"))
+    zero = F.lit(0).cast("bigint")
+    return boxes.select("id").join(counted, "id", "left").select("id", F.coalesce("overlaps", zero).alias("overlaps"))
 
 
 def count_overlaps(boxes: DataFrame) -> DataFrame:
@@ -92,17 +95,17 @@ def overlap_areas(boxes: DataFrame, margin: float = 0) -> DataFrame:
 
     # The part of a box below and left of (X, Y) has the area: signed sum over its corners (x, y) with
     # x <= X and y <= Y of (X - x)(Y - y). Four sums over corners give it for all boxes at once.
-    def corner(role: str, sign: int, x: Column, y: Column) -> Column:
-        s = F.lit(sign)
-        return F.struct(
-            F.lit("area").alias("kind"), F.lit(role).alias("role"), x.alias("cx"), y.alias("cy"),
-            F.lit(0 if role == "p" else 1).alias("x_turn"), F.lit(0 if role == "p" else 1).alias("y_turn"),
-            s.cast("bigint").alias("s"), (s * x).cast("DECIMAL(20,4)").alias("sx"), (s * y).cast("DECIMAL(20,4)").alias("sy"),
-            (s * x * y).cast("DECIMAL(28,8)").alias("sxy"),
-        )
-
-    corners = solid.select("id", F.inline(F.array(*[corner(r, *c) for r in ("p", "q") for c in signed])))
-    sums = corner_sums(corners, 8 * solid.count(), ["s", "sx", "sy", "sxy"])
+    def weights(sign: int, x: Column, y: Column) -> list[tuple[str, Column]]:
+        return [
+            ("s", F.lit(sign)),
+            ("sx", (F.lit(sign) * x).cast("DECIMAL(20,4)")),
+            ("sy", (F.lit(sign) * y).cast("DECIMAL(20,4)")),
+            ("sxy", (F.lit(sign) * x * y).cast("DECIMAL(28,8)")),
+        ]
+
+    both = [_corner(0, question, (x, y), (False, False), weights(s, x, y)) for question in (False, True) for s, x, y in signed]
+    corners = solid.select("id", F.inline(F.array(*both)))
+    sums = corner_sums(corners, 8 * solid.count(), ["s", "sx", "sy", "sxy"], keep=["cx", "cy"])
     wide = "DECIMAL(38,8)"
     part = (
         (F.col("cx") * F.col("cy")).cast(wide) * F.col("sum_s")
@@ -127,34 +130,56 @@ def _solid(boxes: DataFrame) -> DataFrame:
     return exact.where("left < right AND bottom < top")
 
 
-def _corner(kind: str, role: str, x: Column, y: Column, strict: Sequence[bool], weight: Column) -> Column:
+def _corner(
+    kind: int, question: bool, at: tuple[Column, Column], strict: tuple[bool, bool], weights: Sequence[tuple[str, Column]]
+) -> Column:
     """A corner as point or question. At equal coordinates the turn decides who comes first: with a strict
     comparison the question, else the point."""
-    turn = [(1 if s else 0) if role == "p" else (0 if s else 1) for s in strict]
+    turns = [F.lit(int(question != s)) for s in strict]
     return F.struct(
-        F.lit(kind).alias("kind"), F.lit(role).alias("role"), x.alias("cx"), y.alias("cy"),
-        F.lit(turn[0]).alias("x_turn"), F.lit(turn[1]).alias("y_turn"), weight.alias("weight"),
+        F.lit(kind).alias("kind"),
+        F.lit(question).alias("question"),
+        at[0].alias("cx"),
+        at[1].alias("cy"),
+        turns[0].alias("x_turn"),
+        turns[1].alias("y_turn"),
+        *[value.alias(name) for name, value in weights],
     )
 
 
-def corner_sums(corners: DataFrame, rows: int, weights: Sequence[str]) -> DataFrame:
-    """Parts of the sums over the points (role p) of its kind left of and below each question (role q).
+def corner_sums(corners: DataFrame, rows: int, weights: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Parts of the sums over the points left of and below each question, among the at most `rows` corners of its kind.
 
-    All `rows` corners are numbered by x. The numbers below r split into one block per set bit of r: for each
-    bit, the numbers that agree with r above it and have a 0 there. So every corner enters at most one group
-    per bit, and in each group one running sum by y answers all questions. The result has one row per
-    question and bit with the sums `sum_<weight>`; the caller adds them up. Groups of the high bits hold
-    many rows, and their running sums are spread over range partitions.
+    The corners of a kind are numbered by x and by y. The x numbers below r split into one block per set bit
+    of r: for each bit, the numbers that agree with r above it and have a 0 there. So every corner enters at
+    most one block per bit, and in each block one running sum by y answers all questions. The result has one
+    row per question and bit with the sums `sum_<weight>`; the caller adds them up. A block of more than
+    2^CHUNK_BITS corners is cut into chunks by y, and the totals of earlier chunks are added.
     """
-    numbered = number_rows(corners, [F.col("cx"), F.col("x_turn")], name="_r", distinct_rows=True)
-    wanted = F.when(F.col("role") == "q", 1).otherwise(0)
-    bits = F.filter(F.sequence(F.lit(0), F.lit(rows.bit_length())), lambda b: F.getbit("_r", b) == wanted)
-    spread = numbered.withColumn("_bit", F.explode(bits)).withColumn("_block", F.expr("shiftright(_r, _bit + 1)"))
-    values = {f"_point_{w}": F.when(F.col("role") == "p", F.col(w)).otherwise(F.lit(0)) for w in weights}
-    summed = running_sums(
-        spread.withColumns(values),
-        [F.col("cy"), F.col("y_turn"), F.col("_r")],
-        ["kind", "_bit", "_block"],
-        {f"sum_{w}": f"_point_{w}" for w in weights},
+    by_x = number_rows(corners, [F.col("cx"), F.col("x_turn")], within=["kind"], name="_x", distinct_rows=True).drop("x_turn")
+    by_y = number_rows(by_x, [F.col("cy"), F.col("y_turn")], within=["kind"], name="_y", distinct_rows=True)
+    of_role = F.when(F.col("question"), 1).otherwise(0)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(rows.bit_length())), lambda bit: F.getbit("_x", bit) == of_role)
+    chunk = F.when(F.col("_bit") < CHUNK_BITS, F.lit(0)).otherwise(F.shiftright("_y", CHUNK_BITS))
+    spread = (
+        by_y.select("id", "kind", "question", *keep, *weights, "_x", "_y", F.explode(bits).alias("_bit"))
+        .withColumn("_block", F.expr("shiftright(_x, _bit + 1)"))
+        .withColumn("_chunk", chunk)
+        .drop("_x")
+    )
+    group = ["kind", "_bit", "_block"]
+    upto_here = (
+        Window.partitionBy(*group, "_chunk").orderBy("_y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    value = {w: F.when(~F.col("question"), F.col(w)).otherwise(F.lit(0)) for w in weights}
+    local = spread.withColumns({f"sum_{w}": F.sum(value[w]).over(upto_here) for w in weights}).where("question")
+    if rows.bit_length() < CHUNK_BITS:
+        return local
+
+    totals = spread.where(F.col("_bit") >= CHUNK_BITS).groupBy(*group, "_chunk").agg(
+        *[F.sum(value[w]).alias(f"_total_{w}") for w in weights]
     )
-    return summed.where("role = 'q'")
+    earlier = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*group, "_chunk", *[F.sum(f"_total_{w}").over(earlier).alias(f"_before_{w}") for w in weights])
+    joined = local.join(before, [*group, "_chunk"], "left")
+    return joined.withColumns({f"sum_{w}": F.col(f"sum_{w}") + F.coalesce(f"_before_{w}", F.lit(0)) for w in weights})

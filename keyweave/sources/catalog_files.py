@@ -134,7 +134,7 @@ def find_datasets(spark: SparkSession, root: str, kind: str = "columns") -> Data
 
     Only the listing is used, no file is opened. Ordered by lower-case name.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(f"{root.rstrip('/')}/*").select("path")
+    listed = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*.csv").select("path")
     named = listed.select(
         F.element_at(F.split("path", "/"), -2).alias("dataset"), F.element_at(F.split("path", "/"), -1).alias("file")
     )
