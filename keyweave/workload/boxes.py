@@ -9,17 +9,17 @@ from keyweave.workload.tables import table
 
 
 def order_boxes(spark, folder):
-    """A box per order: customer against price, one day wide per status letter."""
+    """A box per order: customer against price, as wide as its status letter and as high as its priority."""
     price = F.floor(F.col("o_totalprice") / 100).cast("double")
     return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("double").alias("x"), price.alias("y"),
-        (F.col("o_orderkey") - F.floor(F.col("o_orderkey") / 4) * 4 + 1).cast("double").alias("width"),
+        (F.ascii("o_orderstatus") - 69).cast("double").alias("width"),
         (F.ascii("o_orderpriority") - 48).cast("double").alias("height"),
     )
 
 
 ORDER_BOXES = """SELECT o_orderkey AS id, o_custkey::DOUBLE AS x, floor(o_totalprice / 100) AS y,
-    (o_orderkey - floor(o_orderkey / 4) * 4 + 1)::DOUBLE AS width, (ascii(o_orderpriority) - 48)::DOUBLE AS height FROM orders"""
+    (ascii(o_orderstatus) - 69)::DOUBLE AS width, (ascii(o_orderpriority) - 48)::DOUBLE AS height FROM orders"""
 
 
 def part_boxes(spark, folder):

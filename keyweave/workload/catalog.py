@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyweave.functions.text import delimiter_of, safe_name, split_path
+from keyweave.functions.text import comma_list, delimiter_of, quote_literal, safe_name, snap, split_path, url_text
 from keyweave.lineage import new_folder
 from keyweave.operators import catalog, importing, keys
 from keyweave.sources.catalog_files import build_index, read_columns, read_foreign_keys, read_index, read_primary_keys
@@ -110,6 +110,19 @@ def src_delimiters(spark, folder):
     return both.select("path", delimiter_of(F.col("text")).alias("sep"))
 
 
+def text_functions(spark, folder):
+    pages = table(spark, folder, "pages")
+    items = comma_list(F.col("html"))
+    return pages.select(
+        "page_id",
+        url_text(F.replace("url", F.lit("/"), F.lit("%2F"))).alias("decoded"),
+        quote_literal(F.col("html")).alias("quoted"),
+        F.size(items).cast("bigint").alias("items"),
+        F.get(items, 0).alias("first_item"),
+        snap(F.length("html"), 10).cast("bigint").alias("snapped"),
+    )
+
+
 # ---- key files: every line item is a key column and a relation ----
 
 
@@ -279,6 +292,7 @@ QUERIES = {
     "catalog_live": lambda s, d: catalog.system_catalog(*_system_tables(s, d)),
     "path_split": path_split,
     "safe_names": lambda s, d: table(s, d, "pages").select("page_id", safe_name(F.col("url")).alias("url_name"), safe_name(F.regexp_extract("url", "([^/]*)$", 1)).alias("last_name")),
+    "text_functions": text_functions,
     "src_delimiters": src_delimiters,
     "keys_primary": keys_primary,
     "keys_foreign": keys_foreign,
@@ -338,6 +352,10 @@ SQL = {
         SELECT page_id, coalesce(nullif(trim(regexp_replace(url, '[^\p{L}\p{N}]', '_', 'g'), '_'), ''), 'value') AS url_name,
                coalesce(nullif(trim(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[^\p{L}\p{N}]', '_', 'g'), '_'), ''), 'value') AS last_name
         FROM pages""",
+    "text_functions": """
+        WITH p AS (SELECT *, list_filter(list_transform(string_split(html, ','), x -> trim(x, ' ')), x -> x <> '') AS items FROM pages)
+        SELECT page_id, url AS decoded, concat('''', replace(html, '''', ''''''), '''') AS quoted, len(items) AS items, items[1] AS first_item,
+               (round(length(html) / 10) * 10)::BIGINT AS snapped FROM p""",
     "src_delimiters": """
         WITH lines AS (
             SELECT concat('document ', doc_id) AS path, split_part(text, chr(10), 1) AS line FROM documents
