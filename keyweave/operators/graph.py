@@ -75,15 +75,20 @@ def top_nodes(edges: DataFrame, k: int = 5) -> DataFrame:
     return degrees(edges).orderBy(F.desc("degree"), F.desc("node")).limit(k)
 
 
-def single_children(edges: DataFrame) -> DataFrame:
+def single_children(edges: DataFrame, degree_table: DataFrame | None = None) -> DataFrame:
     """(child, parent): nodes of degree 1 with their only neighbour.
 
-    A node whose only edge is to itself has no neighbour and is no child.
+    A node of degree 1 is on one distinct edge, so that edge is looked up and nothing is grouped. A node
+    whose only edge is to itself has no neighbour and is no child.
     """
-    other = both_ways(edges).groupBy("src").agg(F.count(F.lit(1)).alias("_n"), F.max("dst").alias("parent"))
-    only = other.where("_n = 1").select(F.col("src").alias("child"), "parent")
-    one = degrees(edges).where("degree = 1").select(F.col("node").alias("child"))
-    return only.join(one, "child", "left_semi")
+    distinct = links(edges)
+    ends = F.array(
+        F.struct(F.col("src").alias("child"), F.col("dst").alias("parent")),
+        F.struct(F.col("dst").alias("child"), F.col("src").alias("parent")),
+    )
+    table = degrees(edges) if degree_table is None else degree_table
+    one = table.where("degree = 1").select(F.col("node").alias("child"))
+    return distinct.where("src <> dst").select(F.inline(ends)).join(one, "child", "left_semi")
 
 
 def numbered_children(edges: DataFrame) -> DataFrame:
@@ -159,11 +164,12 @@ def hub_clusters(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: i
     main = table.where("degree > 1").select("node", "degree")
 
     ranked = cut(_towards_higher(both_ways(distinct), main), "ranked")
-    chosen, taken = _independent_hubs(ranked, main, max_rounds)
+    taken = _taken_nodes(ranked, max_rounds)
+    chosen = cut(main.select("node").join(taken, "node", "left_anti"), "hubs")
 
     members = (
-        ranked.join(taken, F.col("lo") == F.col("node"), "left_semi")
-        .join(chosen.withColumnRenamed("node", "hub"), F.col("hi") == F.col("hub"))
+        ranked.join(chosen.withColumnRenamed("node", "hi"), "hi", "left_semi")
+        .join(taken.withColumnRenamed("node", "lo"), "lo", "left_semi")
         .groupBy("lo")
         .agg(F.max(F.struct("hi_degree", "hi")).alias("_best"))
         .select(F.col("lo").alias("node"), F.lit("member").alias("role"), F.col("_best.hi").alias("hub"))
@@ -172,8 +178,8 @@ def hub_clusters(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: i
         chosen.select("node", F.lit("hub").alias("role"), F.col("node").alias("hub")).unionByName(members), "main"
     )
 
-    children = single_children(distinct)
-    pairs = _pair_hubs(distinct, children, table, main)
+    children = single_children(distinct, table)
+    pairs = _pair_hubs(distinct, children, table)
     under_main = children.join(main_rows.select(F.col("node").alias("parent"), "hub"), "parent").select(
         F.col("child").alias("node"), F.lit("child").alias("role"), "parent", "hub"
     )
@@ -198,33 +204,27 @@ def _towards_higher(ways: DataFrame, main: DataFrame) -> DataFrame:
     return both.where(upward).select(F.col("src").alias("lo"), F.col("dst").alias("hi"), F.col("dst_degree").alias("hi_degree"))
 
 
-def _independent_hubs(ranked: DataFrame, main: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(hubs, members), each with a column `node`."""
+def _taken_nodes(ranked: DataFrame, max_rounds: int) -> DataFrame:
+    """(node): the main nodes that a hub takes; the other main nodes are the hubs.
+
+    In each round, the nodes with open edges from below only are hubs and take the lower ends of these edges;
+    edges of taken nodes are closed.
+    """
     open_edges = ranked.select("lo", "hi")
-    undecided = main.select("node")
-    all_hubs = all_members = main.select("node").limit(0)
+    taken = []
     for _ in range(max_rounds):
-        new_hubs = cut(undecided.join(open_edges.select("lo").distinct(), F.col("node") == F.col("lo"), "left_anti"), "hubs")
-        new_members = cut(
-            open_edges.join(new_hubs, F.col("hi") == F.col("node"), "left_semi").select(F.col("lo").alias("node")).distinct(),
-            "members",
-        )
-        all_hubs = all_hubs.unionByName(new_hubs)
-        all_members = all_members.unionByName(new_members)
-        decided = new_hubs.unionByName(new_members)
-        undecided, seen = cut_observed(undecided.join(decided, "node", "left_anti"), "undecided", rows=F.count(F.lit(1)))
+        tops = open_edges.select("hi").distinct().join(open_edges.select("lo").distinct(), F.col("hi") == F.col("lo"), "left_anti")
+        below = open_edges.join(tops, "hi", "left_semi").select(F.col("lo").alias("node")).distinct()
+        new, seen = cut_observed(below, "taken", rows=F.count(F.lit(1)))
+        taken.append(new)
         if not seen["rows"]:
-            return all_hubs, all_members
-        open_edges = cut(
-            open_edges.join(new_members, F.col("lo") == F.col("node"), "left_anti").join(
-                new_members, F.col("hi") == F.col("node"), "left_anti"
-            ),
-            "open",
-        )
+            return reduce(DataFrame.unionByName, taken)
+        rest = open_edges.join(new.withColumnRenamed("node", "lo"), "lo", "left_anti")
+        open_edges = cut(rest.join(new.withColumnRenamed("node", "hi"), "hi", "left_anti"), "open")
     raise RuntimeError(f"not finished after {max_rounds} rounds")
 
 
-def _pair_hubs(distinct: DataFrame, children: DataFrame, table: DataFrame, main: DataFrame) -> DataFrame:
+def _pair_hubs(distinct: DataFrame, children: DataFrame, table: DataFrame) -> DataFrame:
     """Rows of two nodes that are each other's only neighbour: the referred one is the hub.
 
     In a graph without main nodes the first node by (degree, name) is a hub, whichever end it is.

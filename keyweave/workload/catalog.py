@@ -353,7 +353,7 @@ SQL = {
                coalesce(nullif(trim(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[^\p{L}\p{N}]', '_', 'g'), '_'), ''), 'value') AS last_name
         FROM pages""",
     "text_functions": """
-        WITH p AS (SELECT *, list_filter(list_transform(string_split(html, ','), x -> trim(x, ' ')), x -> x <> '') AS items FROM pages)
+        WITH p AS (SELECT *, list_filter(list_transform(string_split(html, ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS items FROM pages)
         SELECT page_id, url AS decoded, concat('''', replace(html, '''', ''''''), '''') AS quoted, len(items) AS items, items[1] AS first_item,
                (round(length(html) / 10) * 10)::BIGINT AS snapped FROM p""",
     "src_delimiters": """
