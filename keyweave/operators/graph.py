@@ -75,19 +75,25 @@ def top_nodes(edges: DataFrame, k: int = 5) -> DataFrame:
     return degrees(edges).orderBy(F.desc("degree"), F.desc("node")).limit(k)
 
 
-def single_children(edges: DataFrame, degree_table: DataFrame | None = None) -> DataFrame:
+def single_children(edges: DataFrame) -> DataFrame:
     """(child, parent): nodes of degree 1 with their only neighbour.
 
-    A node of degree 1 is on one distinct edge, so that edge is looked up and nothing is grouped. A node
-    whose only edge is to itself has no neighbour and is no child.
+    A node whose only edge is to itself has no neighbour and is no child.
     """
     distinct = links(edges)
+    return _children(distinct, degrees(distinct)).select("child", "parent")
+
+
+def _children(distinct: DataFrame, degree_table: DataFrame) -> DataFrame:
+    """(child, parent, refers) of distinct edges; `refers` tells whether the edge goes from child to parent.
+
+    A node of degree 1 is on one distinct edge, so that edge is looked up and nothing is grouped.
+    """
     ends = F.array(
-        F.struct(F.col("src").alias("child"), F.col("dst").alias("parent")),
-        F.struct(F.col("dst").alias("child"), F.col("src").alias("parent")),
+        F.struct(F.col("src").alias("child"), F.col("dst").alias("parent"), F.lit(True).alias("refers")),
+        F.struct(F.col("dst").alias("child"), F.col("src").alias("parent"), F.lit(False).alias("refers")),
     )
-    table = degrees(edges) if degree_table is None else degree_table
-    one = table.where("degree = 1").select(F.col("node").alias("child"))
+    one = degree_table.where("degree = 1").select(F.col("node").alias("child"))
     return distinct.where("src <> dst").select(F.inline(ends)).join(one, "child", "left_semi")
 
 
@@ -163,7 +169,7 @@ def hub_clusters(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: i
     table = cut(degrees(distinct, nodes), "degrees")
     main = table.where("degree > 1").select("node", "degree")
 
-    ranked = cut(_towards_higher(both_ways(distinct), main), "ranked")
+    ranked = cut(_towards_higher(distinct, main), "ranked")
     taken = _taken_nodes(ranked, max_rounds)
     chosen = cut(main.select("node").join(taken, "node", "left_anti"), "hubs")
 
@@ -178,30 +184,34 @@ def hub_clusters(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: i
         chosen.select("node", F.lit("hub").alias("role"), F.col("node").alias("hub")).unionByName(members), "main"
     )
 
-    children = single_children(distinct, table)
-    pairs = _pair_hubs(distinct, children, table)
+    children = cut(_children(distinct, table), "children")
     under_main = children.join(main_rows.select(F.col("node").alias("parent"), "hub"), "parent").select(
         F.col("child").alias("node"), F.lit("child").alias("role"), "parent", "hub"
     )
-    placed = (
+    apart = table.where("degree <= 1").join(children, F.col("node") == F.col("child"), "left_anti").select(
+        "node", F.lit("orphan").alias("role"), F.col("node").alias("parent"), F.col("node").alias("hub")
+    )
+    return (
         main_rows.select("node", "role", F.col("hub").alias("parent"), "hub")
         .unionByName(under_main)
-        .unionByName(pairs)
-    )
-    alone = table.select("node").join(placed, "node", "left_anti").select(
-        "node", F.lit("orphan").alias("role"), F.col("node").alias("parent"), F.col("node").alias("hub")
+        .unionByName(_pairs(children, table))
+        .unionByName(apart)
     )
-    return placed.unionByName(alone)
 
 
-def _towards_higher(ways: DataFrame, main: DataFrame) -> DataFrame:
-    """(lo, hi, hi_degree): edges between main nodes, from the lower to the higher (degree, name)."""
-    both = (
-        ways.join(main.select(F.col("node").alias("src"), F.col("degree").alias("src_degree")), "src")
-        .join(main.select(F.col("node").alias("dst"), F.col("degree").alias("dst_degree")), "dst")
+def _towards_higher(distinct: DataFrame, main: DataFrame) -> DataFrame:
+    """(lo, hi, hi_degree): edges between main nodes, from the lower to the higher (degree, name).
+
+    A mutual pair gives its row twice, which changes no hub and no member.
+    """
+    facts = F.struct("degree", "node")
+    ends = (
+        distinct.where("src <> dst")
+        .join(main.select(F.col("node").alias("src"), facts.alias("a")), "src")
+        .join(main.select(F.col("node").alias("dst"), facts.alias("b")), "dst")
+        .select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
     )
-    upward = F.struct("src_degree", "src") < F.struct("dst_degree", "dst")
-    return both.where(upward).select(F.col("src").alias("lo"), F.col("dst").alias("hi"), F.col("dst_degree").alias("hi_degree"))
+    return ends.select(F.col("low.node").alias("lo"), F.col("high.node").alias("hi"), F.col("high.degree").alias("hi_degree"))
 
 
 def _taken_nodes(ranked: DataFrame, max_rounds: int) -> DataFrame:
@@ -224,24 +234,22 @@ def _taken_nodes(ranked: DataFrame, max_rounds: int) -> DataFrame:
     raise RuntimeError(f"not finished after {max_rounds} rounds")
 
 
-def _pair_hubs(distinct: DataFrame, children: DataFrame, table: DataFrame) -> DataFrame:
+def _pairs(children: DataFrame, table: DataFrame) -> DataFrame:
     """Rows of two nodes that are each other's only neighbour: the referred one is the hub.
 
     In a graph without main nodes the first node by (degree, name) is a hub, whichever end it is.
     """
-    loops = distinct.where("src <> dst")
-    pair = loops.join(
-        children.select(F.col("child").alias("src"), F.col("parent").alias("dst")), ["src", "dst"], "left_semi"
-    ).join(children.select(F.col("child").alias("dst"), F.col("parent").alias("src")), ["src", "dst"], "left_semi")
+    other = children.select(F.col("child").alias("_other"))
+    pair = children.where("refers").join(other, F.col("parent") == F.col("_other"), "left_semi")
     flag = ranked_first(table).where("degree = 1").select(F.col("node").alias("_flag"))
-    turned = pair.join(F.broadcast(flag), F.col("src") == F.col("_flag"), "left")
-    hub = F.when(F.col("_flag").isNotNull(), F.col("src")).otherwise(F.col("dst"))
-    child = F.when(F.col("_flag").isNotNull(), F.col("dst")).otherwise(F.col("src"))
-    return turned.select(hub.alias("hub"), child.alias("child")).select(
-        F.inline(
-            F.array(
-                F.struct(F.col("hub").alias("node"), F.lit("hub").alias("role"), F.col("hub").alias("parent"), F.col("hub").alias("hub")),
-                F.struct(F.col("child").alias("node"), F.lit("child").alias("role"), F.col("hub").alias("parent"), F.col("hub").alias("hub")),
-            )
-        )
+    turned = pair.join(F.broadcast(flag), F.col("child") == F.col("_flag"), "left")
+    is_flag = F.col("_flag").isNotNull()
+    named = turned.select(
+        F.when(is_flag, F.col("child")).otherwise(F.col("parent")).alias("hub"),
+        F.when(is_flag, F.col("parent")).otherwise(F.col("child")).alias("child"),
     )
+    rows = [
+        F.struct(F.col(node).alias("node"), F.lit(role).alias("role"), F.col("hub").alias("parent"), F.col("hub").alias("hub"))
+        for node, role in (("hub", "hub"), ("child", "child"))
+    ]
+    return named.select(F.inline(F.array(*rows)))
