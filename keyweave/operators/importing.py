@@ -32,8 +32,8 @@ def default_text(column_type: Column, default: Column) -> Column:
     return F.when(hexed == "NULL", F.lit("")).otherwise(hexed)
 
 
-def import_columns(columns: DataFrame) -> DataFrame:
-    """(table_name, position, column_name, data_type, nullable, autoincrement, default) from COLUMNS."""
+def import_columns(columns: DataFrame, *more: Column) -> DataFrame:
+    """(table_name, position, column_name, data_type, nullable, autoincrement, default) from COLUMNS, and `more`."""
     flag = lambda test: F.when(test, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     declared = F.regexp_replace("column_type", r",0\)", ")")
     return columns.select(
@@ -44,6 +44,7 @@ def import_columns(columns: DataFrame) -> DataFrame:
         flag(F.col("is_nullable") == "YES").alias("nullable"),
         flag(F.coalesce("extra", F.lit("")).rlike("(?i)auto_increment")).alias("autoincrement"),
         default_text(F.col("column_type"), F.col("column_default")).alias("default"),
+        *more,
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyweave.lineage import new_folder
+from keyweave.plans.design import design_from_keys
 from keyweave.sources.design_xml import Design, read_design, write_design
 from keyweave.workload.tables import table
 
@@ -44,7 +45,22 @@ def _round_trip(spark, folder) -> Design:
     return read_design(spark, path)
 
 
+def design_from_key_files(spark, folder) -> Design:
+    """Each line number of an order is a key part of its table, each supplier a table it refers to."""
+    lines = table(spark, folder, "lineitem")
+    primary = lines.select(
+        _name("order_", "l_orderkey").alias("table_name"), _name("line_", "l_linenumber").alias("column_name"),
+        F.col("l_linenumber").alias("key_order"),
+    ).distinct()
+    foreign = lines.select(
+        _name("order_", "l_orderkey").alias("child"), F.lit("supplier").alias("child_column"),
+        _name("supplier_", "l_suppkey").alias("parent"), F.lit("id").alias("parent_column"),
+    )
+    return design_from_keys(primary, foreign)
+
+
 QUERIES = {
+    "design_from_keys": lambda s, d: design_from_key_files(s, d).columns.select("table_name", "position", "column_name", "autoincrement"),
     "design_relations": lambda s, d: _round_trip(s, d).relations,
     "design_columns": lambda s, d: _round_trip(s, d).columns.select("table_name", "column_name", "data_type", "nullable", "autoincrement", "default"),
     "design_tables": lambda s, d: _round_trip(s, d).tables.where("comment IS NOT NULL"),
@@ -54,6 +70,13 @@ QUERIES = {
 LINES = "SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, min(l_returnflag) AS flag, max(l_quantity)::INT AS size FROM lineitem GROUP BY 1, 2"
 
 SQL = {
+    "design_from_keys": """
+        WITH named AS (
+            SELECT DISTINCT concat('order_', l_orderkey) AS table_name, concat('line_', l_linenumber) AS column_name, l_linenumber AS key_order FROM lineitem
+            UNION SELECT concat('order_', l_orderkey), 'supplier', NULL FROM lineitem
+            UNION SELECT concat('supplier_', l_suppkey), 'id', NULL FROM lineitem)
+        SELECT table_name, row_number() OVER (PARTITION BY table_name ORDER BY key_order NULLS LAST, column_name) AS position,
+               column_name, key_order IS NOT NULL AS autoincrement FROM named""",
     "design_relations": f"""
         SELECT concat('order_', l_orderkey) AS child, concat('line_', l_linenumber) AS child_column,
                concat('part_', part) AS parent, 'id' AS parent_column FROM ({LINES})""",
