@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyweave.functions.text import column
 
@@ -15,20 +16,42 @@ def _any_null(names: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [column(n).isNull() for n in names])
 
 
+def _has_text(df: DataFrame, key: Sequence[str]) -> bool:
+    return any(isinstance(df.schema[k].dataType, (T.StringType, T.BinaryType)) for k in key)
+
+
+def _maybe_repeated(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The key columns of the rows whose key may occur again.
+
+    Keys of text are first counted by a hash, and the repeated hashes pick the rows. While they are few
+    enough to be broadcast, no unique text is shuffled. The caller counts what is left by the texts themselves.
+    """
+    keys = df.select(*[column(k) for k in key])
+    if not _has_text(df, key):
+        return keys
+    hashed = keys.withColumn("_hash", F.xxhash64(*[column(k) for k in key]))
+    again = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
+    return hashed.join(again, "_hash", "left_semi").drop("_hash")
+
+
+def _counted(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    return df.groupBy(*[column(k) for k in key]).agg(F.count(F.lit(1)).alias("n"))
+
+
 def check_primary_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys that occur more than once or have a NULL part, with their number of rows.
 
     Copies of a key are counted before the shuffle, so a key that fills a third of the table costs one row
     per map task.
     """
-    counts = df.groupBy(*[column(k) for k in key]).agg(F.count(F.lit(1)).alias("n"))
-    return counts.where((F.col("n") > 1) | _any_null(key))
+    if not _has_text(df, key):
+        return _counted(df, key).where((F.col("n") > 1) | _any_null(key))
+    return check_unique(df, key).unionByName(_counted(df.where(_any_null(key)), key))
 
 
 def check_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys without NULL that occur more than once."""
-    counts = df.where(~_any_null(key)).groupBy(*[column(k) for k in key]).agg(F.count(F.lit(1)).alias("n"))
-    return counts.where("n > 1")
+    return _counted(_maybe_repeated(df.where(~_any_null(key)), key), key).where("n > 1")
 
 
 def check_not_null(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -17,6 +17,15 @@ def test_primary_key_and_unique(spark):
     assert rows(checks.check_primary_key(df, ["k"])) == [(1, 2), (2, 2), (None, 1)]
     assert rows(checks.check_unique(df, ["v"])) == [("a", 2)]
     assert rows(checks.check_unique(df, ["k", "v"])) == [(1, "a", 2)]
+    assert rows(checks.check_primary_key(df, ["v"])) == [("a", 2), (None, 2)]
+    assert rows(checks.check_primary_key(df, ["k", "v"])) == [(1, "a", 2), (2, None, 2), (None, "d", 1)]
+
+
+def test_texts_are_picked_by_hash_before_they_are_grouped(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = checks.check_unique(df, ["text"])._jdf.queryExecution().executedPlan().toString()
+    first = plan.index("Exchange hashpartitioning(text")
+    assert plan.index("LeftSemi") > first and "Exchange hashpartitioning(_hash" in plan
 
 
 def test_not_null_in_one_scan(spark):
