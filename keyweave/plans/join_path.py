@@ -20,7 +20,9 @@ def relations_as_edges(fk: DataFrame) -> DataFrame:
     name all its parts form one edge, in edge_ord order; without one each row is its own edge.
     """
     if "constraint_name" not in fk.columns:
-        fk = fk.withColumn("constraint_name", F.lit(None).cast("string"))
+        return fk.select(
+            "edge_ord", "child", F.array("child_column").alias("child_columns"), "parent", F.array("parent_column").alias("parent_columns")
+        )
     relation = F.coalesce("constraint_name", F.concat(F.lit("edge "), F.col("edge_ord").cast("string")))
     parts = F.array_sort(F.collect_list(F.struct("edge_ord", "child_column", "parent_column")))
     grouped = fk.groupBy("child", "parent", relation.alias("_relation")).agg(parts.alias("_parts"))
@@ -103,7 +105,7 @@ def join_path(tables: Mapping[str, DataFrame], fk: DataFrame, start: str, end: s
     build the plan: one per table. Join order and strategy are left to the optimizer. With no path, the
     result is `start` without rows.
     """
-    steps = join_path_plan(relations_as_edges(fk), start, end).orderBy("step").collect()
+    steps = sorted(join_path_plan(relations_as_edges(fk), start, end).collect(), key=lambda row: row.step)
     if not steps:
         return _prefixed(tables[start], 0).where(F.lit(False))
     joined = _prefixed(tables[start], 0)
