@@ -38,7 +38,7 @@ def find_columns(index: DataFrame, fragment: str, number: bool = True) -> DataFr
     return number_rows(named, index_order(), distinct_rows=True) if number else named
 
 
-def refine(index: DataFrame, fragments: Sequence[str], parts: Sequence[str] = ("table_schema", "table_name", "column_name")) -> DataFrame:
+def refine(index: DataFrame, fragments: Sequence[str], parts: Sequence[str] = INDEX_KEY[1:]) -> DataFrame:
     """Rows whose full path holds every fragment, in any case."""
     path = F.lower(F.concat_ws("-", *parts))
     return reduce(lambda df, text: df.where(path.contains(F.lower(F.lit(text)))), fragments, index)

@@ -37,9 +37,10 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     distinct = links(edges)
+    of_other = F.when(F.col("src") == F.col("dst"), none).otherwise(one)
     ends = F.array(
         F.struct(F.col("src").alias("node"), one.alias("o"), none.alias("i")),
-        F.struct(F.col("dst").alias("node"), none.alias("o"), F.when(F.col("src") == F.col("dst"), none).otherwise(one).alias("i")),
+        F.struct(F.col("dst").alias("node"), none.alias("o"), of_other.alias("i")),
     )
     counted = distinct.select(F.inline(ends))
     if nodes is not None:
@@ -223,7 +224,8 @@ def _taken_nodes(ranked: DataFrame, max_rounds: int) -> DataFrame:
     open_edges = ranked.select("lo", "hi")
     taken = []
     for _ in range(max_rounds):
-        tops = open_edges.select("hi").distinct().join(open_edges.select("lo").distinct(), F.col("hi") == F.col("lo"), "left_anti")
+        lower = open_edges.select("lo").distinct()
+        tops = open_edges.select("hi").distinct().join(lower, F.col("hi") == F.col("lo"), "left_anti")
         below = open_edges.join(tops, "hi", "left_semi").select(F.col("lo").alias("node")).distinct()
         new, seen = cut_observed(below, "taken", rows=F.count(F.lit(1)))
         taken.append(new)

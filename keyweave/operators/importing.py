@@ -148,7 +148,13 @@ def import_index_columns(indexes: DataFrame, classes: DataFrame, attributes: Dat
         parts.join(attribute, ["indrelid", "attnum"])
         .join(name, "indexrelid")
         .join(table, "indrelid")
-        .select("table_name", "key_name", F.lit("INDEX").alias("key_type"), (F.col("_pos") + 1).cast("bigint").alias("part"), "column_name")
+        .select(
+            "table_name",
+            "key_name",
+            F.lit("INDEX").alias("key_type"),
+            (F.col("_pos") + 1).cast("bigint").alias("part"),
+            "column_name",
+        )
     )
 
 

@@ -15,8 +15,9 @@ def relation_ends(relations: DataFrame, columns: DataFrame) -> DataFrame:
 
     columns is (table_name, column_name, data_type), one row per column.
     """
-    child = columns.select(F.col("table_name").alias("child"), F.col("column_name").alias("child_column"), F.col("data_type").alias("child_type"))
-    parent = columns.select(F.col("table_name").alias("parent"), F.col("column_name").alias("parent_column"), F.col("data_type").alias("parent_type"))
+    declared = columns.select("table_name", "column_name", "data_type")
+    child = declared.toDF("child", "child_column", "child_type")
+    parent = declared.toDF("parent", "parent_column", "parent_type")
     return relations.join(child, ["child", "child_column"], "left").join(parent, ["parent", "parent_column"], "left")
 
 

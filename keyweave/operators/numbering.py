@@ -84,13 +84,14 @@ def number_rows(
 def _spread_copies(df: DataFrame, names: list[str], name: str) -> DataFrame:
     columns = [column(c) for c in names]
     first = F.col("_last") - F.col("_copies") + 1
+    step = F.lit(COPIES_PER_TASK).cast("bigint")
     few = df.where(F.col("_copies") <= COPIES_PER_TASK).select(
         *columns, F.explode(F.sequence(first, F.col("_last"))).alias(name)
     )
     chunk_end = F.least(F.col("_from") + (COPIES_PER_TASK - 1), F.col("_last"))
     many = (
         df.where(F.col("_copies") > COPIES_PER_TASK)
-        .select(*columns, "_last", F.explode(F.sequence(first, F.col("_last"), F.lit(COPIES_PER_TASK).cast("bigint"))).alias("_from"))
+        .select(*columns, "_last", F.explode(F.sequence(first, F.col("_last"), step)).alias("_from"))
         .repartition(F.xxhash64(*columns), "_from")
         .select(*columns, F.explode(F.sequence("_from", chunk_end)).alias(name))
     )

@@ -20,8 +20,8 @@ def design_from_keys(primary_keys: DataFrame, foreign_keys: DataFrame) -> Design
     absent = F.lit(None).cast("int")
     named = (
         primary_keys.select("table_name", "column_name", "key_order")
-        .unionByName(foreign_keys.select(F.col("child").alias("table_name"), F.col("child_column").alias("column_name"), absent.alias("key_order")))
-        .unionByName(foreign_keys.select(F.col("parent").alias("table_name"), F.col("parent_column").alias("column_name"), absent.alias("key_order")))
+        .union(foreign_keys.select("child", "child_column", absent))
+        .union(foreign_keys.select("parent", "parent_column", absent))
     )
     distinct = named.groupBy("table_name", "column_name").agg(F.min("key_order").alias("key_order"))
     order = [F.asc_nulls_last("key_order"), F.col("column_name")]

@@ -21,7 +21,11 @@ def relations_as_edges(fk: DataFrame) -> DataFrame:
     """
     if "constraint_name" not in fk.columns:
         return fk.select(
-            "edge_ord", "child", F.array("child_column").alias("child_columns"), "parent", F.array("parent_column").alias("parent_columns")
+            "edge_ord",
+            "child",
+            F.array("child_column").alias("child_columns"),
+            "parent",
+            F.array("parent_column").alias("parent_columns"),
         )
     relation = F.coalesce("constraint_name", F.concat(F.lit("edge "), F.col("edge_ord").cast("string")))
     parts = F.array_sort(F.collect_list(F.struct("edge_ord", "child_column", "parent_column")))

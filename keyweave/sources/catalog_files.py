@@ -111,10 +111,12 @@ def write_index(index: DataFrame, path: str) -> None:
 
 
 def read_primary_keys(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(table_name, column_name, key_order) from a tab file with header."""
-    raw = spark.read.csv(paths, sep="\t", header=True, schema="TableName STRING, ColumnName STRING, KeyOrder STRING", enforceSchema=False)
+    """(table_name, column_name, key_order) from a tab file; columns are found by their header names."""
+    raw = spark.read.csv(paths, sep="\t", header=True, inferSchema=False)
     return raw.select(
-        F.col("TableName").alias("table_name"), F.col("ColumnName").alias("column_name"), F.col("KeyOrder").cast("int").alias("key_order")
+        F.col("TableName").alias("table_name"),
+        F.col("ColumnName").alias("column_name"),
+        F.col("KeyOrder").cast("int").alias("key_order"),
     )
 
 

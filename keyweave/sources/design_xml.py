@@ -81,8 +81,9 @@ def read_design(spark: SparkSession, paths: str | Sequence[str]) -> Design:
 def write_design(design: Design, path: str) -> None:
     """Write a design: tables by degree, columns by position with their relations, keys with their parts in order."""
     columns = _element(design.columns, "position")
+    target = F.struct(F.col("parent").alias("_table"), F.col("parent_column").alias("_row"))
     targets = design.relations.groupBy("child", "child_column").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("parent").alias("_table"), F.col("parent_column").alias("_row")))).alias("relation")
+        F.array_sort(F.collect_list(target)).alias("relation")
     )
     with_targets = columns.join(
         targets.select(F.col("child").alias("table_name"), F.col("child_column").alias("column_name"), "relation"),
@@ -116,7 +117,13 @@ def write_design(design: Design, path: str) -> None:
     )
     later = F.when(F.col("_part") > 0, F.col("_part"))
     elements.select(
-        F.col("table_name").alias("_name"), F.col("x").alias("_x"), F.col("y").alias("_y"), later.alias("_part"), "comment", "row", "key"
+        F.col("table_name").alias("_name"),
+        F.col("x").alias("_x"),
+        F.col("y").alias("_y"),
+        later.alias("_part"),
+        "comment",
+        "row",
+        "key",
     ).write.format("xml").option("rootTag", "sql").option("rowTag", "table").save(path)
 
 
