@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyweave.llm.license_scan import scan_licenses
 from keyweave.llm.piece_encoding import encode_and_decode
+from keyweave.llm.quality_rules import apply_quality_rules
 from keyweave.llm.secrets import KINDS as SECRET_KINDS
 from keyweave.llm.secrets import find_secrets
 
@@ -34,6 +35,11 @@ def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = apply_quality_rules(_documents(spark, folder).select("doc_id", "text", "lang"), keep_text=False)
+    return judged.drop("lang")
+
+
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = scan_licenses(_documents(spark, folder).select("doc_id", "text")).select("doc_id", "license")
     places = F.transform(F.col("license.phrases"), lambda p: p["first"])
@@ -73,6 +79,7 @@ def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_license_scan": op4_license_scan,
     "op5_secrets": op5_secrets,
     "op8_pieces": op8_pieces,
