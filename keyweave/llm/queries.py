@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyweave.llm.license_scan import scan_licenses
+from keyweave.llm.ngram_join import similar_groups
 from keyweave.llm.piece_encoding import encode_and_decode
 from keyweave.llm.quality_rules import apply_quality_rules
 from keyweave.llm.secrets import KINDS as SECRET_KINDS
@@ -78,11 +79,16 @@ def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_groups(_documents(spark, folder).select("doc_id", "text"))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_license_scan": op4_license_scan,
     "op5_secrets": op5_secrets,
     "op8_pieces": op8_pieces,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 SQL: dict[str, str] = {}
