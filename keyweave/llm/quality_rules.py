@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.lineage import cut
-from keyweave.llm.columns import SPACED_WORD, column, fresh, words_of
+from keyweave.llm.columns import SPACED_WORD, column, fresh, let, words_of
 
 # Frequent function words of the languages.
 COMMON_WORDS = {
@@ -49,11 +49,6 @@ class Limits:
     word_guard: int = 100
 
 
-def let(value: Column, use) -> Column:
-    """`use(value)`, with the value computed once however often it is used, also by inner functions for each element."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def repeated_words(words: Column) -> Column:
     """Words in windows of eight that occur twice or more among the words."""
     n = F.size(words)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyweave.llm.decontamination import find_benchmark
 from keyweave.llm.license_scan import scan_licenses
 from keyweave.llm.ngram_join import similar_groups
 from keyweave.llm.piece_encoding import encode_and_decode
@@ -41,6 +42,20 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.drop("lang")
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    # The text is dropped again before the results are joined.
+    found = find_benchmark(_documents(spark, folder).select("doc_id", "text"), benchmark)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = scan_licenses(_documents(spark, folder).select("doc_id", "text")).select("doc_id", "license")
     places = F.transform(F.col("license.phrases"), lambda p: p["first"])
@@ -85,6 +100,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
     "op5_secrets": op5_secrets,
     "op8_pieces": op8_pieces,
