@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyweave.llm.decontamination import find_benchmark
+from keyweave.llm.language_model import score_texts
 from keyweave.llm.license_scan import scan_licenses
 from keyweave.llm.ngram_join import similar_groups
 from keyweave.llm.piece_encoding import encode_and_decode
@@ -37,6 +38,10 @@ def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def op1_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(_documents(spark, folder).select("doc_id", "text"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = apply_quality_rules(_documents(spark, folder).select("doc_id", "text", "lang"), keep_text=False)
     return judged.drop("lang")
@@ -99,6 +104,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_model": op1_language_model,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
