@@ -9,6 +9,8 @@ from keyweave.llm.decontamination import find_benchmark
 from keyweave.llm.language_model import score_texts
 from keyweave.llm.license_scan import scan_licenses
 from keyweave.llm.ngram_join import similar_groups
+from keyweave.llm.personal_data import KINDS as PERSONAL_KINDS
+from keyweave.llm.personal_data import find_personal_data
 from keyweave.llm.piece_encoding import encode_and_decode
 from keyweave.llm.quality_rules import apply_quality_rules
 from keyweave.llm.secrets import KINDS as SECRET_KINDS
@@ -103,6 +105,17 @@ def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_groups(_documents(spark, folder).select("doc_id", "text"))
 
 
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    spans = F.col("personal_spans")
+    found = find_personal_data(_documents(spark, folder).select("doc_id", "text"), keep_text=False)
+    return found.select(
+        "doc_id",
+        *[count_of(spans, kind).alias(f"n_{kind}") for kind in PERSONAL_KINDS],
+        base_digest(spans, PERSONAL_KINDS[:4]).alias("base_sha256"),
+        spans_text(spans).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_language_model": op1_language_model,
     "op2_quality_rules": op2_quality_rules,
@@ -110,6 +123,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_secrets": op5_secrets,
     "op8_pieces": op8_pieces,
+    "op10_personal_data": op10_personal_data,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
