@@ -12,9 +12,11 @@ from keyweave.llm.ngram_join import similar_groups
 from keyweave.llm.personal_data import KINDS as PERSONAL_KINDS
 from keyweave.llm.personal_data import find_personal_data
 from keyweave.llm.piece_encoding import encode_and_decode
+from keyweave.llm.preference_pairs import format_preferences, repeated_answers
 from keyweave.llm.quality_rules import apply_quality_rules
 from keyweave.llm.secrets import KINDS as SECRET_KINDS
 from keyweave.llm.secrets import find_secrets
+from keyweave.llm.site_style_tree import extract_text
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,6 +93,20 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation with two answers and more, against the same one with its last answer replaced by the one before."""
+    chosen, rejected = repeated_answers(spark.read.parquet(f"{folder}/conversations.parquet"))
+    pairs = format_preferences(chosen, rejected)
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return pairs.withColumns({c: spans(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
+def op7_site_style_tree(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    texts = extract_text(pages, out="text", keep_page=False)
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     encoded = encode_and_decode(_documents(spark, folder).select("doc_id", "text"), tokenizer_file())
     return encoded.select(
@@ -122,9 +138,92 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
     "op5_secrets": op5_secrets,
+    "op6_preference_pairs": op6_preference_pairs,
+    "op7_site_style_tree": op7_site_style_tree,
     "op8_pieces": op8_pieces,
     "op10_personal_data": op10_personal_data,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_decontamination": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), item_words AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark
+        ), windows AS (
+            SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS window_text
+            FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM item_words WHERE len(w) > 0)
+        ), runs AS (
+            SELECT doc_id, s, k, array_to_string(w[s:s + k - 1], ' ') AS window_text
+            FROM (
+                SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s
+                FROM words CROSS JOIN (SELECT DISTINCT k FROM windows) WHERE len(w) >= k
+            )
+        ), found AS (
+            SELECT doc_id, s, k, item_id FROM runs JOIN windows USING (k, window_text)
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM found) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+            CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op6_preference_pairs": """
+        WITH seen AS (
+            SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                last_value(CASE WHEN role = 'assistant' THEN coalesce(text, '') END IGNORE NULLS) OVER
+                    (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous,
+                max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last_turn,
+                count(CASE WHEN role = 'assistant' THEN 1 END) OVER (PARTITION BY conv_id) AS answers
+            FROM conversations
+        ), used AS (
+            SELECT pair_id, turn, role, text AS c, CASE WHEN turn = last_turn AND role = 'assistant' THEN previous ELSE text END AS r
+            FROM seen WHERE answers > 1 AND turn <= last_turn
+        ), differing AS (
+            SELECT pair_id, turn, role, c, r, coalesce(min(CASE WHEN c <> r THEN turn END) OVER (PARTITION BY pair_id), 9223372036854775807) AS differs
+            FROM used
+        ), placed AS (
+            SELECT *, '<|' || role || '|>' || chr(10) || c || chr(10) AS shown_c, '<|' || role || '|>' || chr(10) || r || chr(10) AS shown_r
+            FROM differing
+        ), measured AS (
+            SELECT *,
+                coalesce(sum(CASE WHEN turn >= differs THEN length(shown_c) END) OVER w, 0) - length(shown_c) + length(role) + 5 AS at_c,
+                coalesce(sum(CASE WHEN turn >= differs THEN length(shown_r) END) OVER w, 0) - length(shown_r) + length(role) + 5 AS at_r
+            FROM placed WINDOW w AS (PARTITION BY pair_id ORDER BY turn)
+        )
+        SELECT pair_id, count(CASE WHEN turn < differs THEN 1 END) AS n_common,
+            coalesce(string_agg(CASE WHEN turn < differs THEN shown_c END, '' ORDER BY turn), '') AS prompt,
+            coalesce(string_agg(CASE WHEN turn >= differs THEN shown_c END, '' ORDER BY turn), '') AS chosen,
+            coalesce(string_agg(CASE WHEN turn >= differs AND role = 'assistant' THEN CAST(CAST(at_c AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(at_c + length(c) AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn), '') AS chosen_spans,
+            coalesce(string_agg(CASE WHEN turn >= differs THEN shown_r END, '' ORDER BY turn), '') AS rejected,
+            coalesce(string_agg(CASE WHEN turn >= differs AND role = 'assistant' THEN CAST(CAST(at_r AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(at_r + length(r) AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn), '') AS rejected_spans
+        FROM measured GROUP BY pair_id""",
+    "op9_ngram_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[s:s + least(5, len(w)) - 1], ' ') AS shingle
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS s FROM words WHERE len(w) > 0)
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), met AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+        ), both_ways AS (
+            SELECT a, b FROM links UNION SELECT b, a FROM links
+        ), reached AS (
+            SELECT a AS doc_id, a AS root FROM both_ways UNION SELECT b, root FROM reached JOIN both_ways ON a = doc_id
+        ), least_root AS (
+            SELECT doc_id, min(root) AS root FROM reached GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id
+        FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_root USING (doc_id)""",
+}
