@@ -147,7 +147,7 @@ def apply_quality_rules(
     an output are replaced. With `keep_text` false the text isn't written to the shared folder nor returned.
     """
     own = [c for c in df.columns if c not in {*MEASURES, "base_failed", "kept", "character_distance", "word_distance"}]
-    m, key = fresh(df, "measures"), fresh(df, "language")
+    m, key, other, ref_c, ref_w = (fresh(df, x) for x in ("measures", "language", "lang", "ref_characters", "ref_words"))
     kept_columns = [column(c) for c in own if keep_text or c != text]
     figures = cut(measured(df, text, lang, m).select(*kept_columns, column(lang).alias(key), m), "quality")
     characters, words = _shares(m)
@@ -156,14 +156,14 @@ def apply_quality_rules(
 
     bins = max(map(len, COMMON_WORDS.values())) + 1
     long_enough = n >= max(limits.character_guard, limits.word_guard)
-    means = figures.where(~failed & long_enough).groupBy(F.col(key).alias("_lang")).agg(
-        _means(characters, len(CLASSES) + 3).alias("_characters"), _means(words, bins).alias("_words")
+    means = figures.where(~failed & long_enough).groupBy(F.col(key).alias(other)).agg(
+        _means(characters, len(CLASSES) + 3).alias(ref_c), _means(words, bins).alias(ref_w)
     )
     # One row for each language: written, so that the planner knows how small it is.
-    references = cut(means.withColumn("_words", F.filter("_words", lambda x: x.isNotNull())), "language-references")
-    joined = figures.join(references, F.col(key).eqNullSafe(F.col("_lang")), "left")
-    far_characters = jensen_shannon(characters, F.col("_characters"))
-    far_words = F.when(F.size(words) == F.size("_words"), jensen_shannon(words, F.col("_words")))
+    references = cut(means.withColumn(ref_w, F.filter(ref_w, lambda x: x.isNotNull())), "language-references")
+    joined = figures.join(references, F.col(key).eqNullSafe(F.col(other)), "left")
+    far_characters = jensen_shannon(characters, F.col(ref_c))
+    far_words = F.when(F.size(words) == F.size(ref_w), jensen_shannon(words, F.col(ref_w)))
     rejected = ((n >= limits.character_guard) & (far_characters > limits.character_distance)) | (
         (n >= limits.word_guard) & (far_words > limits.word_distance)
     )

@@ -56,6 +56,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
+_NUMBER = re.compile(r"[0-9]{3,}|\s+|/")  # numbers of pages and posts don't tell styles apart
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", re.IGNORECASE)
 
 NOISE, OPEN, ARTICLE = 0, 1, 2
@@ -91,7 +92,7 @@ def _marks(tag: str, attributes: str, above: int) -> tuple[str, int]:
         else:
             found = _WORD.findall(value)
             words.update(found)
-            style += "." + "-".join(found) if kind == "class" and found else ""
+            style += "." + _NUMBER.sub("#", value) if kind == "class" and value else ""
     if above == NOISE or tag in NOISE_TAGS or role in NOISE_ROLES or words & NOISE_WORDS:
         return style, NOISE
     if tag in ("article", "main") or role in ARTICLE_ROLES or (tag in ("div", "section") and words & ARTICLE_WORDS):
@@ -250,4 +251,5 @@ def extract_text(df: DataFrame, url: str = "url", page: str = "html", out: str =
     joined = pages.join(weak, "host", "left").withColumn("weak", F.coalesce("weak", F.array().cast("array<string>")))
     strong = F.filter("blocks", lambda b: (b["mark"] == ARTICLE) | ((b["mark"] == OPEN) & ~F.array_contains("weak", b["path"])))
     text = F.array_join(F.transform(strong, lambda b: b["text"]), " ")
-    return joined.select(*[F.col(f"{kept}.c{i}").alias(c) for i, c in enumerate(own)], text.alias(out))
+    texts = joined.select(kept, text.alias("text"))
+    return texts.select(*[F.col(f"{kept}.c{i}").alias(c) for i, c in enumerate(own)], F.col("text").alias(out))
