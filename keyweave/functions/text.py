@@ -50,8 +50,9 @@ def split_path(path: Column) -> Column:
 
 
 def parse_type(declared: Column) -> Column:
-    """`NAME(size)` as struct(name, size); a scale of 0 is left out, so `NUMERIC(10,0)` has size 10."""
-    name = F.upper(F.trim(F.regexp_extract(declared, r"^([^\(]+)", 1)))
+    """`NAME(size) MORE` as struct(name, size), name being `NAME MORE`; a scale of 0 is left out, so `NUMERIC(10,0)` has size 10."""
+    more = F.trim(F.regexp_extract(declared, r"\(.*\)([^\(\)]*)$", 1))
+    name = F.trim(F.concat(F.upper(F.trim(F.regexp_extract(declared, r"^([^\(]+)", 1))), F.lit(" "), F.upper(more)))
     size = F.regexp_extract(F.regexp_replace(declared, r",\s*0\)", ")"), r"^[^\(]+\((.*)\)", 1)
     return F.struct(name.alias("name"), F.nullif(size, F.lit("")).alias("size"))
 

@@ -193,7 +193,17 @@ DIALECT_TYPES: Mapping[str, Mapping[str, str]] = {
 
 # Other spellings of a dialect's names.
 SYNONYMS: Mapping[str, Mapping[str, str]] = {
-    "mysql": {"DEC": "DECIMAL", "TEXT": "MEDIUMTEXT", "DOUBLE PRECISION": "DOUBLE"},
+    "mysql": {
+        "DEC": "DECIMAL",
+        "TINYTEXT": "MEDIUMTEXT",
+        "TEXT": "MEDIUMTEXT",
+        "LONGTEXT": "MEDIUMTEXT",
+        "JSON": "MEDIUMTEXT",
+        "TINYBLOB": "BLOB",
+        "MEDIUMBLOB": "BLOB",
+        "LONGBLOB": "BLOB",
+        "DOUBLE PRECISION": "DOUBLE",
+    },
     "mssql": {"DEC": "DECIMAL"},
     "oracle": {"INT": "INTEGER", "DEC": "DECIMAL"},
     "postgresql": {
@@ -214,27 +224,52 @@ FOREIGN_KEY_TYPES: Mapping[str, str] = {"SERIAL": "INTEGER", "BIGSERIAL": "BIGIN
 UNSIZED_DECIMAL = "DECIMAL(38,18)"
 
 
+# The next wider type holds the values of an unsigned one.
+UNSIGNED: Mapping[str, str] = {"SMALLINT": "INT", "INT": "BIGINT", "BIGINT": "DECIMAL(20,0)"}
+
+
 def base_type(dialect: str, name: str) -> str | None:
-    """Spark type of an exact name, else of its synonym, else None."""
+    """Spark type of an exact name, else of its synonym, else None. UNSIGNED widens; SIGNED and ZEROFILL say nothing more."""
     known = DIALECT_TYPES[dialect]
-    upper = name.strip().upper()
-    return known.get(upper) or known.get(SYNONYMS.get(dialect, {}).get(upper, ""))
+    words = name.upper().split()
+    unsigned = "UNSIGNED" in words or "ZEROFILL" in words
+    upper = " ".join(w for w in words if w not in ("UNSIGNED", "SIGNED", "ZEROFILL"))
+    found = known.get(upper) or known.get(SYNONYMS.get(dialect, {}).get(upper, ""))
+    if found and unsigned and upper not in ("TINYINT", "MEDIUMINT", "YEAR"):  # these fit unsigned as they are
+        return UNSIGNED.get(found, found)
+    return found
 
 
 def spark_type(dialect: str, declared: str) -> str:
     """Spark type of one declared type such as `DECIMAL(12,2)`; an unknown one is a STRING."""
+    return _found_type(dialect, declared) or "STRING"
+
+
+def known_type(dialect: str, declared: str) -> str:
+    """As `spark_type`, but an unknown type is an error."""
+    found = _found_type(dialect, declared)
+    if found is None:
+        raise ValueError(f"{dialect} has no type {declared}")
+    return found
+
+
+def _found_type(dialect: str, declared: str) -> str | None:
     name, _, rest = declared.partition("(")
-    found = base_type(dialect, name)
+    size, _, suffix = rest.partition(")") if not name.strip().upper() in ("ENUM", "SET") else ("", "", "")
+    size = size.replace(" ", "")
+    found = base_type(dialect, f"{name} {suffix}")
     if found == "DECIMAL":
-        size = rest.partition(")")[0].replace(" ", "")
         return f"DECIMAL({size})" if size else UNSIZED_DECIMAL
-    return found or "STRING"
+    if found == "BOOLEAN" and name.strip().upper() == "BIT" and size not in ("", "1"):
+        return "BINARY"
+    return found
 
 
 def type_table(spark: SparkSession, dialect: str) -> DataFrame:
     """(type_name, base) of one dialect, synonyms included: at most a few dozen rows."""
     names = {**DIALECT_TYPES[dialect], **{s: DIALECT_TYPES[dialect][n] for s, n in SYNONYMS.get(dialect, {}).items()}}
-    return spark.createDataFrame(list(names.items()), "type_name string, base string")
+    unsigned = {f"{n} UNSIGNED": base_type(dialect, f"{n} UNSIGNED") for n, base in names.items() if base in UNSIGNED}
+    return spark.createDataFrame(list({**names, **unsigned}.items()), "type_name string, base string")
 
 
 def map_types(columns: DataFrame, dialect: str, declared: str = "data_type") -> DataFrame:
@@ -245,7 +280,8 @@ def map_types(columns: DataFrame, dialect: str, declared: str = "data_type") ->
     decimal = F.when(
         F.col("_type.size").isNotNull(), F.concat(F.lit("DECIMAL("), F.replace("_type.size", F.lit(" "), F.lit("")), F.lit(")"))
     ).otherwise(F.lit(UNSIZED_DECIMAL))
-    found = F.when(F.col("base") == "DECIMAL", decimal).otherwise(F.coalesce("base", F.lit("STRING")))
+    several_bits = (F.col("type_name") == "BIT") & (F.col("base") == "BOOLEAN") & (F.coalesce("_type.size", F.lit("1")) != "1")
+    found = F.when(several_bits, F.lit("BINARY")).when(F.col("base") == "DECIMAL", decimal).otherwise(F.coalesce("base", F.lit("STRING")))
     return joined.select(*columns.columns, found.alias("spark_type"), F.col("base").isNotNull().alias("mapped"))
 
 

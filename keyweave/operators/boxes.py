@@ -12,13 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyweave.lineage import cut
 from keyweave.operators.numbering import number_rows
 
 # Window groups of `corner_sums` hold at most 2^CHUNK_BITS rows.
 CHUNK_BITS = 20
 
-COORDINATE = "DECIMAL(14,4)"
-
 
 def _right() -> Column:
     return F.col("x") + F.col("width")
@@ -37,10 +36,13 @@ def center_y() -> Column:
 
 
 def select_boxes(boxes: DataFrame, x: float, y: float, width: float, height: float) -> DataFrame:
-    """Boxes that meet a rectangle: an edge lies in its half-open range, or the box spans it, on both axes."""
+    """Boxes that meet a rectangle: on both axes they begin before its far edge and end at or after its near one.
+
+    A box that begins before the near edge and ends exactly at the far one doesn't count.
+    """
 
     def meets(low: Column, high: Column, start: float, end: float) -> Column:
-        return low.between(start, end) & (low < end) | ((high >= start) & (high < end)) | ((low < start) & (high > end))
+        return (low < end) & (high >= start) & ~((low < start) & (high == end))
 
     return boxes.where(meets(F.col("x"), _right(), x, x + width) & meets(F.col("y"), _top(), y, y + height))
 
@@ -61,7 +63,8 @@ def edge_lengths(edges: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def overlap_counts(boxes: DataFrame) -> DataFrame:
     """(id, overlaps): other boxes whose open rectangle meets that of the box. A box without area meets none."""
-    solid = _solid(boxes)
+    numbered = _numbered(boxes)
+    solid = _solid(numbered)
     # On one axis two boxes meet iff low < other high, less the pairs with high <= other low. The product over
     # both axes has four terms; in each, corners of one kind are counted against corners of one kind.
     left, right, bottom, top = F.col("left"), F.col("right"), F.col("bottom"), F.col("top")
@@ -73,12 +76,12 @@ def overlap_counts(boxes: DataFrame) -> DataFrame:
     ]
     points = [_corner(kind, False, at, strict, [("weight", F.lit(1))]) for kind, (_, at, _, strict) in enumerate(terms)]
     asked = [_corner(kind, True, at, strict, [("weight", F.lit(sign))]) for kind, (sign, _, at, strict) in enumerate(terms)]
-    corners = solid.select("id", F.inline(F.array(*points, *asked)))
+    corners = solid.select(F.col("_box").alias("id"), F.inline(F.array(*points, *asked)))
     sums = corner_sums(corners, 2 * solid.count(), ["weight"])
     per_box = sums.groupBy("id").agg(F.sum(F.col("weight") * F.col("sum_weight")).alias("_met"))
-    counted = per_box.select("id", (F.col("_met") - 1).cast("bigint").alias("overlaps"))
+    counted = per_box.select(F.col("id").alias("_box"), (F.col("_met") - 1).cast("bigint").alias("overlaps"))
     zero = F.lit(0).cast("bigint")
-    return boxes.select("id").join(counted, "id", "left").select("id", F.coalesce("overlaps", zero).alias("overlaps"))
+    return numbered.select("id", "_box").join(counted, "_box", "left").select("id", F.coalesce("overlaps", zero).alias("overlaps"))
 
 
 def count_overlaps(boxes: DataFrame) -> DataFrame:
@@ -87,9 +90,13 @@ def count_overlaps(boxes: DataFrame) -> DataFrame:
 
 
 def overlap_areas(boxes: DataFrame, margin: float = 0) -> DataFrame:
-    """(id, area): total area that the other boxes cover of the box, each grown right and up by `margin`."""
+    """(id, area): total area that the other boxes cover of the box, each grown right and up by `margin`.
+
+    Areas are differences of double sums, so they are exact for whole numbers below 2^53 and rounded like those sums else.
+    """
     grown = boxes.withColumn("width", F.col("width") + margin).withColumn("height", F.col("height") + margin)
-    solid = _solid(grown)
+    numbered = _numbered(grown)
+    solid = _solid(numbered)
     left, right, bottom, top = F.col("left"), F.col("right"), F.col("bottom"), F.col("top")
     signed = [(1, left, bottom), (-1, right, bottom), (-1, left, top), (1, right, top)]
 
@@ -98,36 +105,40 @@ def overlap_areas(boxes: DataFrame, margin: float = 0) -> DataFrame:
     def weights(sign: int, x: Column, y: Column) -> list[tuple[str, Column]]:
         return [
             ("s", F.lit(sign)),
-            ("sx", (F.lit(sign) * x).cast("DECIMAL(20,4)")),
-            ("sy", (F.lit(sign) * y).cast("DECIMAL(20,4)")),
-            ("sxy", (F.lit(sign) * x * y).cast("DECIMAL(28,8)")),
+            ("sx", F.lit(sign) * x),
+            ("sy", F.lit(sign) * y),
+            ("sxy", F.lit(sign) * x * y),
         ]
 
     both = [_corner(0, question, (x, y), (False, False), weights(s, x, y)) for question in (False, True) for s, x, y in signed]
-    corners = solid.select("id", F.inline(F.array(*both)))
+    corners = solid.select(F.col("_box").alias("id"), F.inline(F.array(*both)))
     sums = corner_sums(corners, 8 * solid.count(), ["s", "sx", "sy", "sxy"], keep=["cx", "cy"])
-    wide = "DECIMAL(38,8)"
     part = (
-        (F.col("cx") * F.col("cy")).cast(wide) * F.col("sum_s")
-        - F.col("cx") * F.col("sum_sy").cast(wide)
-        - F.col("cy") * F.col("sum_sx").cast(wide)
-        + F.col("sum_sxy").cast(wide)
+        F.col("cx") * F.col("cy") * F.col("sum_s")
+        - F.col("cx") * F.col("sum_sy")
+        - F.col("cy") * F.col("sum_sx")
+        + F.col("sum_sxy")
     )
     per_box = sums.groupBy("id").agg(F.sum(part * F.col("s")).alias("_covered"))
-    own = solid.select("id", ((F.col("right") - F.col("left")) * (F.col("top") - F.col("bottom"))).alias("_own"))
-    covered = per_box.join(own, "id").select("id", (F.col("_covered") - F.col("_own")).cast("double").alias("area"))
-    return boxes.select("id").join(covered, "id", "left").select("id", F.coalesce("area", F.lit(0.0)).alias("area"))
+    own = solid.select(F.col("_box").alias("id"), ((F.col("right") - F.col("left")) * (F.col("top") - F.col("bottom"))).alias("_own"))
+    covered = per_box.join(own, "id").select(F.col("id").alias("_box"), (F.col("_covered") - F.col("_own")).alias("area"))
+    return numbered.select("id", "_box").join(covered, "_box", "left").select("id", F.coalesce("area", F.lit(0.0)).alias("area"))
+
+
+def _numbered(boxes: DataFrame) -> DataFrame:
+    """Boxes with a number of their own, for ids may repeat. Written, so that the numbers stay."""
+    return cut(boxes.select("id", "x", "y", "width", "height").withColumn("_box", F.monotonically_increasing_id()), "boxes")
 
 
 def _solid(boxes: DataFrame) -> DataFrame:
-    exact = boxes.select(
-        "id",
-        F.col("x").cast(COORDINATE).alias("left"),
-        F.col("y").cast(COORDINATE).alias("bottom"),
-        _right().cast(COORDINATE).alias("right"),
-        _top().cast(COORDINATE).alias("top"),
+    edges = boxes.select(
+        "_box",
+        F.col("x").cast("double").alias("left"),
+        F.col("y").cast("double").alias("bottom"),
+        _right().cast("double").alias("right"),
+        _top().cast("double").alias("top"),
     )
-    return exact.where("left < right AND bottom < top")
+    return edges.where("left < right AND bottom < top")
 
 
 def _corner(

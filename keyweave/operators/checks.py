@@ -60,6 +60,11 @@ def check_not_null(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return counts.unpivot([], [column(n) for n in names], "column_name", "null_count")
 
 
+def _known_keys(parent: DataFrame, parent_key: Sequence[str]) -> DataFrame:
+    """The parent's distinct keys: in an anti join its side can't be split, so repeated keys collapse before it."""
+    return parent.select(*[column(p).alias(f"_p{i}") for i, p in enumerate(parent_key)]).distinct()
+
+
 def check_foreign_key(
     child: DataFrame, parent: DataFrame, child_key: Sequence[str], parent_key: Sequence[str]
 ) -> DataFrame:
@@ -71,7 +76,7 @@ def check_foreign_key(
     keys = child.where(~_any_null(child_key)).groupBy(*[column(k) for k in child_key]).agg(
         F.count(F.lit(1)).alias("n")
     )
-    known = parent.select(*[column(p).alias(f"_p{i}") for i, p in enumerate(parent_key)])
+    known = _known_keys(parent, parent_key)
     same = [column(c) == F.col(f"_p{i}") for i, c in enumerate(child_key)]
     return keys.join(known, same, "left_anti")
 
@@ -80,7 +85,7 @@ def orphan_rows(
     child: DataFrame, parent: DataFrame, child_key: Sequence[str], parent_key: Sequence[str]
 ) -> DataFrame:
     """Whole child rows whose key no parent has."""
-    known = parent.select(*[column(p).alias(f"_p{i}") for i, p in enumerate(parent_key)])
+    known = _known_keys(parent, parent_key)
     same = [column(c) == F.col(f"_p{i}") for i, c in enumerate(child_key)]
     return child.where(~_any_null(child_key)).join(known, same, "left_anti")
 

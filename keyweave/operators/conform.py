@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyweave.functions.text import column
-from keyweave.functions.types import UNSIZED_DECIMAL, spark_type
+from keyweave.functions.types import UNSIZED_DECIMAL, known_type, spark_type
 from keyweave.operators.numbering import number_rows
 
 
@@ -27,7 +27,8 @@ class DeclaredColumn:
     @property
     def size(self) -> list[int]:
         """[length] or [precision, scale] of the declared type."""
-        return [int(n) for n in re.findall(r"\d+", self.type.partition("(")[2])]
+        found = re.match(r"[^(]*\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)", self.type)
+        return [int(n) for n in found.groups() if n] if found else []
 
 
 @dataclass(frozen=True)
@@ -36,21 +37,37 @@ class Conformed:
     rejects: DataFrame
 
 
-def conform(df: DataFrame, declared: Sequence[DeclaredColumn], dialect: str = "mysql") -> Conformed:
+def conform(
+    df: DataFrame, declared: Sequence[DeclaredColumn], dialect: str = "mysql", lossy: bool = False
+) -> Conformed:
     """Cast to the declared types and put the columns in declared order.
 
-    A row with a value that does not cast is a reject; rejects keep the row as it was, with the names of the
-    columns that failed. Both sides are projections of the same scan.
+    A row with a value that does not cast, that the cast changes or that is longer than declared is a reject; with
+    `lossy`, casts may cut and round, and lengths aren't held. Rejects keep the row as it was, with the names of the
+    columns that failed. A type the dialect doesn't know is an error. Both sides are projections of the same scan.
     """
-    casts = {d.name: column(d.name).try_cast(spark_type(dialect, d.type)) for d in declared}
-    failed = F.array_compact(
-        F.array(*[F.when(column(n).isNotNull() & cast.isNull(), F.lit(n)) for n, cast in casts.items()])
-    )
+    casts = {d.name: column(d.name).try_cast(known_type(dialect, d.type)) for d in declared}
+    fails = {d.name: column(d.name).isNotNull() & casts[d.name].isNull() for d in declared}
+    if not lossy:
+        for d in declared:
+            changed = _changed(df, d, casts[d.name], dialect)
+            fails[d.name] = fails[d.name] | F.coalesce(changed, F.lit(False)) if changed is not None else fails[d.name]
+    failed = F.array_compact(F.array(*[F.when(test, F.lit(n)) for n, test in fails.items()]))
     rows = df.where(F.size(failed) == 0).select(*[cast.alias(n) for n, cast in casts.items()])
     rejects = df.withColumn("failed_columns", failed).where(F.size("failed_columns") > 0)
     return Conformed(rows, rejects)
 
 
+def _changed(df: DataFrame, declared: DeclaredColumn, cast: Column, dialect: str) -> Column | None:
+    """Test for a value that the cast to a whole or decimal number changes, or that is too long; None if neither can be."""
+    target = known_type(dialect, declared.type)
+    if target in ("SMALLINT", "INT", "BIGINT") or target.startswith("DECIMAL"):
+        if isinstance(df.schema[declared.name].dataType, (T.NumericType, T.StringType)):
+            return ~cast.try_cast(UNSIZED_DECIMAL).eqNullSafe(column(declared.name).try_cast(UNSIZED_DECIMAL))
+        return None
+    return too_long(declared, dialect)
+
+
 def too_long(declared: DeclaredColumn, dialect: str = "mysql") -> Column | None:
     """Test for a value that does not fit the declared size; None when no size is declared."""
     target = spark_type(dialect, declared.type)

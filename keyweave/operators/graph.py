@@ -134,7 +134,7 @@ def table_stats(columns: DataFrame, table: str = "table_name", name: str = "colu
     )
 
 
-def hops(edges: DataFrame, start: str, max_rounds: int = 1_000) -> DataFrame:
+def hops(edges: DataFrame, start: str) -> DataFrame:
     """(node, hops): fewest edges from `start`, in either direction.
 
     One round per level; each level is a written table, so the plan of a round stays one join long. A
@@ -146,32 +146,31 @@ def hops(edges: DataFrame, start: str, max_rounds: int = 1_000) -> DataFrame:
     first = spark.range(1).select(F.lit(start).alias("node"), F.lit(0).cast("bigint").alias("hops"))
     level, seen = cut_observed(first.join(ways, F.col("node") == F.col("src"), "left_semi"), "hops", rows=F.count(F.lit(1)))
     before, levels = level.limit(0), [level]
-    for step in range(1, max_rounds + 1):
-        if not seen["rows"]:
-            return reduce(DataFrame.unionByName, levels)
+    while seen["rows"]:
         known = before.select("node").unionByName(level.select("node"))
         found = ways.join(level, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct()
-        fresh = found.join(known, "node", "left_anti").withColumn("hops", F.lit(step).cast("bigint"))
+        fresh = found.join(known, "node", "left_anti").withColumn("hops", F.lit(len(levels)).cast("bigint"))
         before = level
         level, seen = cut_observed(fresh, "hops", rows=F.count(F.lit(1)))
         levels.append(level)
-    raise RuntimeError(f"not finished after {max_rounds} rounds")
+    return reduce(DataFrame.unionByName, levels)
 
 
-def hub_clusters(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 1_000) -> DataFrame:
+def hub_clusters(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, role, parent, hub).
 
     Hubs are taken in descending (degree, name); a hub takes all its main neighbours that no earlier hub
     took; single children follow their only neighbour; nodes without neighbours stand alone as orphans.
     Taking them one by one is the same as taking, in each round, every undecided node that has no undecided
-    neighbour of higher rank; few rounds are needed, and each is a handful of joins on the edges still open.
+    neighbour of higher rank. Chains of nodes with one open higher neighbour each are decided in one round, by
+    doubling; other orders take as many rounds as their longest run of dependent choices.
     """
     distinct = cut(links(edges), "links")
     table = cut(degrees(distinct, nodes), "degrees")
     main = table.where("degree > 1").select("node", "degree")
 
     ranked = cut(_towards_higher(distinct, main), "ranked")
-    taken = _taken_nodes(ranked, max_rounds)
+    taken = _taken_nodes(ranked)
     chosen = cut(main.select("node").join(taken, "node", "left_anti"), "hubs")
 
     members = (
@@ -215,25 +214,46 @@ def _towards_higher(distinct: DataFrame, main: DataFrame) -> DataFrame:
     return ends.select(F.col("low.node").alias("lo"), F.col("high.node").alias("hi"), F.col("high.degree").alias("hi_degree"))
 
 
-def _taken_nodes(ranked: DataFrame, max_rounds: int) -> DataFrame:
+def _taken_nodes(ranked: DataFrame) -> DataFrame:
     """(node): the main nodes that a hub takes; the other main nodes are the hubs.
 
-    In each round, the nodes with open edges from below only are hubs and take the lower ends of these edges;
-    edges of taken nodes are closed.
+    In each round, the nodes with open edges from below only are hubs. A node with one open edge to a higher
+    node is the opposite of that node, so chains of such nodes follow from the node they end in. Lower ends of
+    edges to hubs are taken; edges of taken nodes are closed.
     """
-    open_edges = ranked.select("lo", "hi")
+    open_edges = ranked.select("lo", "hi").distinct()
     taken = []
-    for _ in range(max_rounds):
+    while True:
+        higher = open_edges.groupBy("lo").agg(F.count(F.lit(1)).alias("n"), F.min("hi").alias("hi"))
         lower = open_edges.select("lo").distinct()
-        tops = open_edges.select("hi").distinct().join(lower, F.col("hi") == F.col("lo"), "left_anti")
-        below = open_edges.join(tops, "hi", "left_semi").select(F.col("lo").alias("node")).distinct()
+        tops = cut(open_edges.select("hi").distinct().join(lower, F.col("hi") == F.col("lo"), "left_anti"), "tops")
+        ends = _chain_ends(higher.where("n = 1").select(F.col("lo").alias("node"), F.col("hi").alias("end"), F.lit(True).alias("turned")))
+        decided = ends.join(tops, F.col("end") == F.col("hi"), "left_semi")
+        hubs = tops.select(F.col("hi").alias("hub")).unionByName(decided.where("NOT turned").select(F.col("node").alias("hub")))
+        below = open_edges.join(hubs, F.col("hi") == F.col("hub"), "left_semi").select(F.col("lo").alias("node")).distinct()
         new, seen = cut_observed(below, "taken", rows=F.count(F.lit(1)))
         taken.append(new)
         if not seen["rows"]:
             return reduce(DataFrame.unionByName, taken)
         rest = open_edges.join(new.withColumnRenamed("node", "lo"), "lo", "left_anti")
         open_edges = cut(rest.join(new.withColumnRenamed("node", "hi"), "hi", "left_anti"), "open")
-    raise RuntimeError(f"not finished after {max_rounds} rounds")
+
+
+def _chain_ends(pointers: DataFrame) -> DataFrame:
+    """(node, end, turned): where the pointers (node, end, turned) lead, each step doubling their reach."""
+    now = cut(pointers, "pointers")
+    moved = 1
+    while moved:
+        after = now.select(F.col("node").alias("end"), F.col("end").alias("_end"), F.col("turned").alias("_turned"))
+        doubled = now.join(after, "end", "left").select(
+            "node",
+            F.coalesce("_end", "end").alias("end"),
+            (F.col("turned") != F.coalesce("_turned", F.lit(False))).alias("turned"),
+            F.col("_end").isNotNull().alias("_moved"),
+        )
+        now, seen = cut_observed(doubled, "pointers", moved=F.count_if("_moved"))
+        now, moved = now.drop("_moved"), seen["moved"]
+    return now
 
 
 def _pairs(children: DataFrame, table: DataFrame) -> DataFrame:

@@ -74,9 +74,13 @@ def search_values(
 
     sample_rows = samples_json = None
     if key:
-        sample_rows = _sample_rows(rows, tests, key, samples)
-        whole_row = F.to_json(F.struct(*[column(c) for c in df.columns]))
-        samples_json = sample_rows.select("column_name", whole_row.alias("row_json"))
+        top = _sample_rows(rows, tests, key, samples)
+        # Named `column_name`, with underscores before it where the table has such a column.
+        name = "column_name"
+        while name.lower() in {c.lower() for c in df.columns}:
+            name = f"_{name}"
+        sample_rows = top.select(F.col("_hit").alias(name), "_row.*")
+        samples_json = top.select(F.col("_hit").alias("column_name"), F.to_json("_row").alias("row_json"))
     parameters = {
         "target_table": F.lit(table),
         "row_filter": F.lit(row_filter or "1 = 1"),
@@ -106,10 +110,13 @@ def _hits(rows: DataFrame, tests: Mapping[str, Column]) -> DataFrame:
 
 
 def _sample_rows(rows: DataFrame, tests: Mapping[str, Column], key: Sequence[str], samples: int) -> DataFrame:
+    """(_hit, _row): up to `samples` rows of each column in key order; equal keys in the order of a hash of the row."""
     hit_columns = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
-    per_hit = rows.select(F.explode(hit_columns).alias("_hit_column"), *[column(c) for c in rows.columns])
+    whole = F.struct(*[column(c) for c in rows.columns])
+    keys = F.struct(*[column(k).alias(f"k{i}") for i, k in enumerate(key)], F.xxhash64(F.to_json(whole)).alias("hash"))
+    per_hit = rows.select(F.explode(hit_columns).alias("_hit"), keys.alias("_key"), whole.alias("_row"))
     # A limit on row_number is applied in each map task first, so at most `samples` rows of a column
     # leave a task however many rows match.
-    order = Window.partitionBy("_hit_column").orderBy(*[column(k) for k in key])
+    order = Window.partitionBy("_hit").orderBy("_key")
     top = per_hit.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= samples)
-    return top.drop("_nth").withColumnRenamed("_hit_column", "column_name")
+    return top.select("_hit", "_row")

@@ -26,6 +26,8 @@ def latest(versions: DataFrame, *tie_break: str) -> DataFrame:
 def upsert(store: DataFrame, updates: DataFrame, *tie_break: str) -> DataFrame:
     """The store after the updates: new keys added, a present key replaced unless its own dt is later.
 
+    NULL is the oldest dt.
+
     The store has one row per key already, so it is joined with the newest update of each key and never
     grouped: few updates are broadcast, and the store is then not shuffled at all.
     """
@@ -33,9 +35,10 @@ def upsert(store: DataFrame, updates: DataFrame, *tie_break: str) -> DataFrame:
         "key", F.struct("payload", "dt").alias("_new")
     )
     old = store.select("key", F.struct("payload", "dt").alias("_old"))
+    later = F.coalesce(F.col("_old.dt") > F.col("_new.dt"), F.col("_old.dt").isNotNull() & F.col("_new.dt").isNull())
     kept = old.join(new, "key", "left").select(
         "key",
-        F.when(F.col("_new.dt") >= F.col("_old.dt"), F.col("_new")).otherwise(F.col("_old")).alias("_row"),
+        F.when(F.col("_new").isNotNull() & ~later, F.col("_new")).otherwise(F.col("_old")).alias("_row"),
     )
     added = new.join(store.select("key"), "key", "left_anti").select("key", F.col("_new").alias("_row"))
     return kept.unionByName(added).select("key", "_row.payload", "_row.dt")

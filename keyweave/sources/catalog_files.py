@@ -85,7 +85,10 @@ def build_index(spark: SparkSession, root: str, pattern: str = "columns.csv") ->
     root itself are skipped, as are blank rows and every row that starts with the header word.
     """
     rows = _cells(spark, root, pattern, COLUMN_FIELDS)
-    below = F.regexp_extract("path", "/" + _quoted(root.rstrip("/").rsplit("/", 1)[-1]) + "/(.*)$", 1)
+    prefix = _raw_path(spark, root) + "/"
+    path = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    outside = F.raise_error(F.concat(F.lit("not below the root: "), F.col("path")))
+    below = F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 2**31 - 1)).otherwise(outside.cast("string"))
     folder = F.when(below.contains("/"), F.substring_index(below, "/", 1)).otherwise(F.lit(""))
     value = _decoded(F.regexp_replace(_decoded(folder), "^[^=]+=", ""))
     source = F.when(folder.contains("="), value).otherwise(_decoded(folder))
@@ -100,8 +103,11 @@ def _decoded(text: Column) -> Column:
     return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
-def _quoted(text: str) -> str:
-    return "\\Q" + text + "\\E"
+def _raw_path(spark: SparkSession, root: str) -> str:
+    """The root's path as its file system names it, percent-encoded like the paths of its files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.makeQualified(path).toUri().getRawPath().rstrip("/")
 
 
 def write_index(index: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from keyweave.operators.graph import degrees
 
 TABLE_SCHEMA = """
-    _name STRING, _x DOUBLE, _y DOUBLE, _part BIGINT,
+    _name STRING, _x DOUBLE, _y DOUBLE,
     comment ARRAY<STRING>,
     row ARRAY<STRUCT<
         _name: STRING, _null: STRING, _autoincrement: STRING,
@@ -20,10 +20,6 @@ TABLE_SCHEMA = """
     key ARRAY<STRUCT<_type: STRING, _name: STRING, part: ARRAY<STRING>>>
 """
 
-# Columns, and keys, of one table element. A table with more is written as several elements of that name,
-# numbered by a `part` attribute, so that a very wide table is not held in one row.
-ROWS_PER_ELEMENT = 10_000
-
 
 @dataclass(frozen=True)
 class Design:
@@ -43,16 +39,15 @@ def read_design(spark: SparkSession, paths: str | Sequence[str]) -> Design:
     raw = spark.read.format("xml").option("rowTag", "table").schema(TABLE_SCHEMA).load(
         paths if isinstance(paths, str) else list(paths)
     ).where(F.length("_name") > 0)
-    part = F.coalesce("_part", F.lit(0))
-    tables = raw.where(part == 0).select(
+    tables = raw.select(
         F.col("_name").alias("table_name"), F.col("_x").alias("x"), F.col("_y").alias("y"), F.get("comment", 0).alias("comment")
     )
     rows = raw.select(
-        F.col("_name").alias("table_name"), part.alias("_element"), F.posexplode("row").alias("_pos", "_row")
+        F.col("_name").alias("table_name"), F.posexplode("row").alias("_pos", "_row")
     ).where(F.length("_row._name") > 0)
     columns = rows.select(
         "table_name",
-        (F.col("_element") * ROWS_PER_ELEMENT + F.col("_pos") + 1).cast("bigint").alias("position"),
+        (F.col("_pos") + 1).cast("bigint").alias("position"),
         F.col("_row._name").alias("column_name"),
         F.get("_row.datatype", 0).alias("data_type"),
         (F.coalesce("_row._null", F.lit("0")) == "1").alias("nullable"),
@@ -64,11 +59,11 @@ def read_design(spark: SparkSession, paths: str | Sequence[str]) -> Design:
         F.col("table_name").alias("child"), F.col("_row._name").alias("child_column"), F.explode("_row.relation").alias("_to")
     ).select("child", "child_column", F.col("_to._table").alias("parent"), F.col("_to._row").alias("parent_column"))
     keys = (
-        raw.select(F.col("_name").alias("table_name"), part.alias("_element"), F.posexplode("key").alias("_pos", "_key"))
-        .select("table_name", "_element", "_pos", "_key._name", "_key._type", F.posexplode("_key.part").alias("_part_pos", "column_name"))
+        raw.select(F.col("_name").alias("table_name"), F.posexplode("key").alias("_pos", "_key"))
+        .select("table_name", "_pos", "_key._name", "_key._type", F.posexplode("_key.part").alias("_part_pos", "column_name"))
         .select(
             "table_name",
-            (F.col("_element") * ROWS_PER_ELEMENT + F.col("_pos") + 1).cast("bigint").alias("key_position"),
+            (F.col("_pos") + 1).cast("bigint").alias("key_position"),
             F.col("_name").alias("key_name"),
             F.coalesce("_type", F.lit("INDEX")).alias("key_type"),
             (F.col("_part_pos") + 1).cast("bigint").alias("part"),
@@ -79,13 +74,15 @@ def read_design(spark: SparkSession, paths: str | Sequence[str]) -> Design:
 
 
 def write_design(design: Design, path: str) -> None:
-    """Write a design: tables by degree, columns by position with their relations, keys with their parts in order."""
-    columns = _element(design.columns, "position")
+    """Write a design: tables by degree, columns by position with their relations, keys with their parts in order.
+
+    The format has one element for each table, so all its columns and keys meet in one row.
+    """
     target = F.struct(F.col("parent").alias("_table"), F.col("parent_column").alias("_row"))
     targets = design.relations.groupBy("child", "child_column").agg(
         F.array_sort(F.collect_list(target)).alias("relation")
     )
-    with_targets = columns.join(
+    with_targets = design.columns.join(
         targets.select(F.col("child").alias("table_name"), F.col("child_column").alias("column_name"), "relation"),
         ["table_name", "column_name"],
         "left",
@@ -99,38 +96,31 @@ def write_design(design: Design, path: str) -> None:
         "relation",
         "comment",
     )
-    rows = with_targets.groupBy("table_name", "_part").agg(_in_order("position", row).alias("row"))
+    rows = with_targets.groupBy("table_name").agg(_in_order("position", row).alias("row"))
 
-    parts = _element(design.keys, "key_position").groupBy("table_name", "_part", "key_position", "key_name", "key_type").agg(
+    parts = design.keys.groupBy("table_name", "key_position", "key_name", "key_type").agg(
         _in_order("part", F.col("column_name")).alias("part")
     )
     key = F.struct(F.col("key_type").alias("_type"), F.col("key_name").alias("_name"), "part")
-    keys = parts.groupBy("table_name", "_part").agg(_in_order("key_position", key).alias("key"))
+    keys = parts.groupBy("table_name").agg(_in_order("key_position", key).alias("key"))
 
-    heads = design.tables.withColumn("_part", F.lit(0).cast("bigint"))
     degree = degrees(design.relations.select(F.col("child").alias("src"), F.col("parent").alias("dst")))
     elements = (
-        heads.join(rows, ["table_name", "_part"], "full")
-        .join(keys, ["table_name", "_part"], "full")
+        design.tables.join(rows, "table_name", "full")
+        .join(keys, "table_name", "full")
         .join(degree.select(F.col("node").alias("table_name"), "degree"), "table_name", "left")
-        .orderBy(F.desc(F.coalesce("degree", F.lit(0))), "table_name", "_part")
+        .orderBy(F.desc(F.coalesce("degree", F.lit(0))), "table_name")
     )
-    later = F.when(F.col("_part") > 0, F.col("_part"))
     elements.select(
         F.col("table_name").alias("_name"),
         F.col("x").alias("_x"),
         F.col("y").alias("_y"),
-        later.alias("_part"),
         "comment",
         "row",
         "key",
     ).write.format("xml").option("rootTag", "sql").option("rowTag", "table").save(path)
 
 
-def _element(df: DataFrame, position: str) -> DataFrame:
-    return df.withColumn("_part", F.floor((F.col(position) - 1) / ROWS_PER_ELEMENT).cast("bigint"))
-
-
 def _in_order(position: str, value: Column) -> Column:
     listed = F.array_sort(F.collect_list(F.struct(F.col(position).alias("_at"), value.alias("_value"))))
     return F.transform(listed, lambda item: item["_value"])

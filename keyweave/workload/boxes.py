@@ -54,8 +54,8 @@ MEET = "a.x < b.x + b.width AND b.x < a.x + a.width AND a.y < b.y + b.height AND
 SQL = {
     "box_select": f"""
         SELECT id FROM ({ORDER_BOXES})
-        WHERE ((x >= 20 AND x < 80) OR (x + width >= 20 AND x + width < 80) OR (x < 20 AND x + width > 80))
-          AND ((y >= 1000 AND y < 1900) OR (y + height >= 1000 AND y + height < 1900) OR (y < 1000 AND y + height > 1900))""",
+        WHERE x < 80 AND x + width >= 20 AND NOT (x < 20 AND x + width = 80)
+          AND y < 1900 AND y + height >= 1000 AND NOT (y < 1000 AND y + height = 1900)""",
     "box_center_count": f"""
         SELECT count(*) AS boxes FROM ({ORDER_BOXES})
         WHERE x + floor(width / 2) BETWEEN 0 AND 600 AND y + floor(height / 2) BETWEEN 1200 AND 1800""",

@@ -48,9 +48,7 @@ def test_read(design):
     ]
 
 
-@pytest.mark.parametrize("rows_per_element", [10_000, 1])
-def test_round_trip(spark, design, tmp_path, monkeypatch, rows_per_element):
-    monkeypatch.setattr(design_xml, "ROWS_PER_ELEMENT", rows_per_element)
+def test_round_trip(spark, design, tmp_path):
     write_design(design, str(tmp_path / "out"))
     back = read_design(spark, str(tmp_path / "out"))
     for name in ("tables", "columns", "relations", "keys"):
