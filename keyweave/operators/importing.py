@@ -1,7 +1,8 @@
 """Assemble tables, columns, relations and keys from the catalogue tables of a database.
 
 Inputs are extracts of `information_schema`, `pg_catalog` or CUBRID catalogue tables as DataFrames with
-lower-case column names, read by `spark.read.jdbc` or from files.
+lower-case column names, read by `spark.read.jdbc` or from files. An extract over several schemas has a `table_schema`
+column; where it is there, columns and keys are told apart by it and carry it in front.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from keyweave.operators.numbering import number_rows
 
 
+def _schema_of(df: DataFrame) -> list[str]:
+    return [c for c in ("table_schema",) if c in df.columns]
+
+
 def import_tables(classes: DataFrame, comments: DataFrame) -> DataFrame:
     """(table_name, comment) of ordinary, non-system tables.
 
@@ -37,6 +42,7 @@ def import_columns(columns: DataFrame, *more: Column) -> DataFrame:
     flag = lambda test: F.when(test, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     declared = F.regexp_replace("column_type", r",0\)", ")")
     return columns.select(
+        *_schema_of(columns),
         "table_name",
         F.col("ordinal_position").cast("bigint").alias("position"),
         "column_name",
@@ -99,14 +105,16 @@ def key_type(name: Column, non_unique: Column, index_type: Column) -> Column:
 
 def import_keys(statistics: DataFrame) -> DataFrame:
     """(table_name, key_name, key_type, part, column_name) from STATISTICS: one row per key part, numbered from 1."""
+    scope = _schema_of(statistics)
     parts = statistics.select(
+        *scope,
         "table_name",
         F.col("index_name").alias("key_name"),
         key_type(F.col("index_name"), F.col("non_unique"), F.col("index_type")).alias("key_type"),
         F.col("seq_in_index").alias("_seq"),
         "column_name",
     )
-    numbered = number_rows(parts, [F.col("_seq"), F.col("column_name")], within=["table_name", "key_name"], name="part")
+    numbered = number_rows(parts, [F.col("_seq"), F.col("column_name")], within=[*scope, "table_name", "key_name"], name="part")
     return numbered.drop("_seq")
 
 

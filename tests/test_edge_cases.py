@@ -7,7 +7,7 @@ import pytest
 from keyweave.functions.text import parse_type
 from keyweave.functions.types import known_type, map_types, spark_type
 from keyweave.lineage import cut_observed
-from keyweave.operators import graph
+from keyweave.operators import graph, importing
 from keyweave.operators.boxes import overlap_areas, overlap_counts, select_boxes
 from keyweave.operators.checks import check_foreign_key, orphan_rows
 from keyweave.operators.conform import DeclaredColumn, conform
@@ -107,3 +107,11 @@ def test_index_root(spark, tmp_path, name):
     (root / "one" / name / "columns.csv").write_text("s,t,c,int,,YES\n")
     (root / "columns.csv").write_text("s,t,skipped,int,,YES\n")
     assert [(r.source_schema, r.column_name) for r in build_index(spark, str(root)).collect()] == [("one", "c")]
+
+
+def test_keys_of_equal_tables_in_two_schemas(spark):
+    rows = [("s1", "t", "PRIMARY", "id"), ("s2", "t", "PRIMARY", "key")]
+    schema = "table_schema string, table_name string, index_name string, column_name string"
+    statistics = spark.createDataFrame(rows, schema).selectExpr("*", "0 AS non_unique", "'BTREE' AS index_type", "1 AS seq_in_index")
+    found = importing.import_keys(statistics).collect()
+    assert sorted((r.table_schema, r.key_name, r.part, r.column_name) for r in found) == [("s1", "PRIMARY", 1, "id"), ("s2", "PRIMARY", 1, "key")]
