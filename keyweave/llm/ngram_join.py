@@ -2,13 +2,14 @@
 
 A document x can only be similar to y if y occurs in T = ceil(t |x|) of the inverted lists of x's shingles. DivideSkip
 merges the short lists of x and probes the long ones for the candidates found: with T - 1 lists left to probing, one
-occurrence in the |x| - T + 1 others makes a candidate. The steps, each a distributed job:
+occurrence in the |x| - T + 1 others makes a candidate, and the number of them bounds the overlap. The steps, each a distributed job:
 
 1. Sets. A text becomes a sorted array of 64-bit shingle hashes. Equal sets are one class.
 2. List lengths. Every shingle is counted over all classes; long lists (the most frequent shingles) are named.
 3. Short lists. Each class writes its first |x| - T + 1 shingles, long lists last, to the lists; sorting merges them.
 4. Candidates. In a list, each class is paired with its neighbour; what that leaves in different components is paired in full,
-   if sizes and positions allow. A group of near copies is thus joined by a chain, not by all its pairs.
+   if sizes and positions allow. A group of near copies is thus joined by a chain, not by all its pairs. Pairs that
+   occur together in too few short lists to reach the overlap are dropped.
 5. Probing. A pair's sets are brought together; binary search of one in the other gives the exact overlap.
 6. Components of the links that hold.
 
@@ -243,14 +244,21 @@ def _as_pair(x: str, y: str) -> list[Column]:
 
 
 def neighbours(lists: DataFrame, rule: Similarity, salts: int) -> DataFrame:
-    """Pairs of classes next to each other in a list. A long list is dealt to `salts` chains, whose heads make one more."""
+    """Pairs of classes next to each other in a list, and of each class with the list's hub.
+
+    A long list is dealt to `salts` chains, whose heads make one more. The hub is the class with the fewest rarer shingles
+    before this one; in a group of edited copies that is the least edited one, to which most others are similar.
+    """
     row = F.struct("cls", "size", "at")
     salted = lists.select("shingle", "size", "cls", row.alias("y"), F.pmod(F.xxhash64("cls"), F.lit(salts)).alias("salt"))
     chain = Window.partitionBy("shingle", "salt").orderBy("size", "cls")
     heads = Window.partitionBy("shingle").orderBy("size", "cls")
     linked = salted.withColumn("x", F.lag("y").over(chain))
     first = linked.where("x IS NULL").withColumn("x", F.lag("y").over(heads))
-    pairs = linked.select("x", "y").union(first.select("x", "y")).where("x IS NOT NULL")
+    hubs = lists.groupBy("shingle").agg(F.min(F.struct("at", "size", "cls")).alias("hub"))
+    hubs = hubs.select("shingle", F.struct("hub.cls", "hub.size", "hub.at").alias("x"))
+    starred = salted.join(hubs, "shingle").where("x.cls <> y.cls")
+    pairs = linked.select("x", "y").union(first.select("x", "y")).where("x IS NOT NULL").union(starred.select("x", "y"))
     return pairs.where(_possible(rule, "x", "y")).select(*_as_pair("x", "y")).distinct()
 
 
@@ -276,6 +284,20 @@ def across(lists: DataFrame, roots: DataFrame, rule: Similarity) -> DataFrame:
     return met.where(_possible(rule, "x", "y")).select(*_as_pair("x", "y")).distinct()
 
 
+def reaching(pairs: DataFrame, prefixes: DataFrame, rule: Similarity) -> DataFrame:
+    """The pairs that occur together in enough short lists.
+
+    Of two classes, the one whose short lists end first in the order has all its other shingles after them, so the overlap
+    is at most the number of common short lists and those others: T - 1 of its own size.
+    """
+    x = prefixes.select(F.col("cls").alias("a"), F.struct("size", "shingles").alias("x"))
+    y = prefixes.select(F.col("cls").alias("b"), F.struct("size", "shingles").alias("y"))
+    met = F.size(F.array_intersect("x.shingles", "y.shingles"))
+    probed = F.floor((rule.percent * F.greatest("x.size", "y.size") + 99) / 100) - 1
+    enough = (100 + rule.percent) * (met + probed) >= rule.percent * (F.col("x.size") + F.col("y.size"))
+    return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b")
+
+
 def needed_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(cls, shingles) of the given classes, made again from one document of each.
 
@@ -342,11 +364,19 @@ def join_similar(df: DataFrame, id: str = "doc_id", text: str = "text", rule: Si
     docs = df.select(column(id).alias("id"), column(text).cast("string").alias("text"))
     members = cut(sets_of(docs, k), "sets")
     lists = short_lists(docs, rule, buckets, long_lists(docs, rule, buckets))
-    sets = needed_sets(docs, members, lists.select("cls").distinct(), k)
-    near = cut(neighbours(lists, rule, buckets), "neighbour-pairs")
-    first = cut(links_among(near, sets, rule), "links")
+    # A class has at most its own short lists, here those that it shares.
+    prefixes = cut(lists.groupBy("cls").agg(F.first("size").alias("size"), F.collect_list("shingle").alias("shingles")), "prefixes")
+
+    def held(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return pairs
+        classes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        return cut(links_among(pairs, needed_sets(docs, members, classes, k), rule), "links")
+
+    near = cut(reaching(neighbours(lists, rule, buckets), prefixes, rule), "neighbour-pairs")
+    first = held(near)
     far = across(lists, components(first), rule).join(near, ["a", "b"], "left_anti")
-    second = cut(links_among(far, sets, rule), "links")
+    second = held(cut(reaching(far, prefixes, rule), "other-pairs"))
     return members, first.union(second)
 
 
