@@ -169,7 +169,15 @@ def confident_patterns(occurrences: DataFrame, texts: DataFrame, rule: Bootstrap
     enough = cut(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= rule.least_instances).select("pattern"), "patterns")
     if enough.isEmpty():
         return None
-    graph = cut(edges.join(_totals(texts, enough), "pattern"), "graph")
+    # No score is above one, and more texts only add to a pattern's total. So the texts with five digits, in which all
+    # identifiers are, already rule most patterns out; the others are counted in all texts.
+    most = edges.join(enough, "pattern").groupBy("pattern").agg(F.sum("n").alias("most"))
+    partly = _totals(texts.where(F.char_length(_digits(F.col("text"))) >= 5), enough)
+    open_ = most.join(partly, "pattern", "left").where(F.col("most") >= rule.least_confidence * F.coalesce("total", F.lit(0)))
+    possible = cut(open_.select("pattern"), "possible-patterns")
+    if possible.isEmpty():
+        return None
+    graph = cut(edges.join(_totals(texts, possible), "pattern"), "graph")
     scores = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
     confident = None
     for _ in range(rule.rounds):
@@ -217,4 +225,5 @@ def find_personal_data(df: DataFrame, text: str = "text", spans: str = "personal
         every = found.join(added, row, "left").withColumn("all", F.array_sort(F.concat(base, F.coalesce("added", F.array().cast(typed)))))
     kinds = F.array(*map(F.lit, KINDS))
     named = F.transform("all", lambda s: F.struct(F.get(kinds, s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return every.select(*[F.col(f"{kept}.c{i}").alias(c) for i, c in enumerate(own)], named.alias(spans))
+    marked = every.select(kept, named.alias("spans"))
+    return marked.select(*[F.col(f"{kept}.c{i}").alias(c) for i, c in enumerate(own)], F.col("spans").alias(spans))
