@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.lineage import cut_observed
+from keyweave.lineage import cut, cut_observed
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Links are far fewer than the rows they come from, so an eighth of the shuffle's partitions holds them."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -36,12 +41,12 @@ def components(links: DataFrame) -> DataFrame:
     rounds end when a whole one changes nothing, which is seen from figures taken while writing.
     """
     figures = {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
-    tidy = lambda df: df.where("a <> b").distinct()
+    tidy = lambda df: few(df.where("a <> b").distinct())
     now, seen = cut_observed(tidy(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "stars", **figures)
     before = None
     while seen != before:
         before = seen
-        large, _ = cut_observed(tidy(_large_star(now)), "stars", **figures)
+        large = cut(few(_large_star(now)), "stars")  # no more rows than the links that go in
         now, seen = cut_observed(tidy(_small_star(large)), "stars", **figures)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -28,9 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyweave.lineage import cut
+from keyweave.lineage import cut, cut_observed
 from keyweave.llm.columns import column, spaced_words
-from keyweave.llm.components import components
+from keyweave.llm.components import components, few
 
 _MULTIPLIERS = np.random.RandomState(5).randint(1, 2**63 - 1, 64, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 BLOCK = 4_000_000  # shingles that a task packs at a time
@@ -271,7 +271,6 @@ def across(lists: DataFrame, roots: DataFrame, rule: Similarity) -> DataFrame:
     placed = lists.join(roots, lists["cls"] == roots["node"], "left").select(
         "shingle", "cls", "size", "at", F.coalesce("root", "cls").alias("root")
     )
-    placed = cut(placed, "placed")
     counted = placed.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
     commonest = counted.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
     commonest = cut(commonest.where("roots > 1").select("shingle", F.col("top.root").alias("top")), "mixed-lists")
@@ -304,14 +303,15 @@ def needed_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int)
     A filter of bounded size tells the tasks which documents those are, so most texts are passed over; a join drops
     the few that it lets through by chance.
     """
-    chosen = cut(members.join(classes, "cls").groupBy("cls").agg(F.min("id").alias("id")), "chosen")
-    bits, n = BITMAP, chosen.count()
+    found = members.join(classes, "cls").groupBy("cls").agg(F.min("id").alias("id"))
+    chosen, seen = cut_observed(few(found), "chosen", n=F.count(F.lit(1)))
+    bits, n = BITMAP, seen["n"]
     while bits < MOST_BITS and bits < 16 * n:
         bits *= 2
     at = F.pmod(F.xxhash64("id"), F.lit(bits))
     maps = chosen.groupBy(F.floor(at / BITMAP).alias("k")).agg(F.bitmap_construct_agg(at % BITMAP).alias("bits"))
     filled = np.zeros(bits // 8, np.uint8)
-    for row in maps.toLocalIterator():  # MOST_BITS bits in all at most, whatever the number of classes
+    for row in maps.collect():  # MOST_BITS bits in all at most, 16 MB, whatever the number of classes
         filled[row["k"] * BITMAP // 8 : (row["k"] + 1) * BITMAP // 8] = np.frombuffer(row["bits"], np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(filled)
 
