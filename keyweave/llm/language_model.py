@@ -28,17 +28,17 @@ from keyweave.llm.columns import column, spaced_words
 
 END = b"\n"  # the token after the last word; no word can hold this character
 HELD_COUNTS = 300_000  # distinct words that a task adds up before it passes them on
-TOKENS_AT_ONCE = 400_000
+TOKENS_AT_ONCE = 600_000
 
 
 @dataclass(frozen=True)
 class ModelSize:
     """All sizes are fixed, so what is collected and sent to the tasks is bounded whatever the corpus."""
 
-    own_classes: int = 768
+    own_classes: int = 512
     suffix_classes: int = 255
     suffix: int = 2
-    listed_words: int = 65_536
+    listed_words: int = 65_536  # at most
     width: int = 16
     context: int = 2
     batch: int = 1024
@@ -94,10 +94,21 @@ def count_words(texts: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame, size: ModelSize) -> Vocabulary:
     """Collects the listed words and the sums of the suffix classes: numbers of rows that `size` fixes."""
     total = counts.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(size.listed_words).collect()
+    # The words from a magnitude on, so many that they still fit; magnitudes are eighths of powers of two.
+    magnitude = F.floor(F.log2("n") * 8)
+    left, least = size.listed_words, None
+    for r in counts.groupBy(magnitude.alias("m")).count().orderBy(F.desc("m")).collect():  # at most 512 rows
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["m"]
+    top = [] if least is None else counts.where(magnitude >= least).collect()
+    top.sort(key=lambda r: (-r["n"], r["word"].encode()))
     own = [r["word"] for r in top[: size.own_classes]]
-    last = (top[len(own) - 1]["n"], top[len(own) - 1]["word"]) if own else (0, "")
-    others = counts.where((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > last[1])))
+    others = counts
+    if own:
+        last = top[len(own) - 1]
+        others = counts.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") > last["word"])))
     ends = F.expr(f"right(word, {size.suffix})")
     by_suffix = others.groupBy(ends.alias("suffix")).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words"))
     suffixes = by_suffix.orderBy(F.desc("tokens"), "suffix").limit(size.suffix_classes).collect()
@@ -162,10 +173,12 @@ class LogBilinear:
         keys = contexts @ (base ** np.arange(contexts.shape[1], dtype=np.int64))
         _, first, at = np.unique(keys, return_index=True, return_inverse=True)
         vectors, norms = self.vectors(contexts[first]), np.empty(len(first))
-        for i in range(0, len(first), 2048):
-            scores = vectors[i : i + 2048] @ self.predicted.T + self.bias
-            top = scores.max(axis=1, keepdims=True)
-            norms[i : i + 2048] = top[:, 0] + np.log(np.exp(scores - top).sum(axis=1, dtype=np.float64))
+        for i in range(0, len(first), 256):  # so many scores stay in the cache
+            scores = vectors[i : i + 256] @ self.predicted.T
+            scores += self.bias
+            top = scores.max(axis=1)
+            scores -= top[:, None]
+            norms[i : i + 256] = top + np.log(np.exp(scores, out=scores).sum(axis=1))
         own = np.einsum("ij,ij->i", vectors[at], self.predicted[targets]) + self.bias[targets]
         return own.astype(np.float64) - norms[at]
 
@@ -217,43 +230,40 @@ def _gathered(ids: np.ndarray, rows: np.ndarray, n: int, at: np.ndarray) -> np.n
 class Tokens:
     """Some documents as one run of tokens."""
 
-    words: list[list[bytes]]
+    words: list[bytes]
     classes: np.ndarray
+    logs: np.ndarray  # log10(count + 1) of listed words, 0 for the others
     contexts: np.ndarray
     lengths: np.ndarray  # tokens of each document, the end included
 
 
-def _as_tokens(words: list[list[bytes]], known: Vocabulary) -> Tokens:
-    listed, class_of = known.listed, known.class_of
-    size, before = known.size, len(known.share)
-    lengths = np.array([len(w) + 1 for w in words])
-    total = int(lengths.sum())
-    ends = np.cumsum(lengths)
-    flat: list[int] = []
-    end = listed[END][0] if END in listed else class_of(END)
-    for w in words:
-        flat += [listed[x][0] if x in listed else class_of(x) for x in w]
-        flat.append(end)
-    classes = np.array(flat, np.int64)
-    starts = np.repeat(ends - lengths, lengths)
-    contexts = np.full((total, size.context), before, np.int64)
-    place = np.arange(total)
+def _as_tokens(words: list[bytes], lengths: list[int], known: Vocabulary) -> Tokens:
+    class_of, size, before = known.class_of, known.size, len(known.share)
+    found = list(map(known.listed.get, words))
+    classes = np.array([f[0] if f else class_of(w) for f, w in zip(found, words, strict=True)], np.int64)
+    logs = np.array([f[1] if f else 0.0 for f in found])
+    counts = np.array(lengths)
+    starts = np.repeat(np.cumsum(counts) - counts, counts)
+    contexts = np.full((len(words), size.context), before, np.int64)
+    place = np.arange(len(words))
     for j in range(size.context):
         inside = place - j - 1 >= starts
         contexts[inside, j] = classes[place[inside] - j - 1]
-    return Tokens(words, classes, contexts, lengths)
+    return Tokens(words, classes, logs, contexts, counts)
 
 
 def _runs(texts: pa.Array, known: Vocabulary) -> Iterator[Tokens]:
-    held, n = [], 0
+    held, lengths = [], []
     for text in texts:
-        held.append(spaced_words(text.as_py()))
-        n += len(held[-1]) + 1
-        if n >= TOKENS_AT_ONCE:
-            yield _as_tokens(held, known)
-            held, n = [], 0
+        words = spaced_words(text.as_py())
+        held += words
+        held.append(END)
+        lengths.append(len(words) + 1)
+        if len(held) >= TOKENS_AT_ONCE:
+            yield _as_tokens(held, lengths, known)
+            held, lengths = [], []
     if held:
-        yield _as_tokens(held, known)
+        yield _as_tokens(held, lengths, known)
 
 
 def train(texts: DataFrame, words: Vocabulary) -> LogBilinear:
@@ -291,28 +301,30 @@ def _scorer(sent, model, names: list[str]) -> Callable:
         for batch in batches:
             at = 0
             for run in _runs(batch.column(0), known):
-                logs = own.log_probabilities(run.contexts, run.classes) / np.log(10) - known.inside[run.classes]
-                starts = np.cumsum(run.lengths) - run.lengths
-                listed, counted, in_class, rare, times, offsets = [], [], [], [], [], [0]
-                for words in run.words:
-                    found = [known.listed[w] for w in (*words, END) if w in known.listed]
-                    tail = Counter(w for w in (*words, END) if w not in known.listed)
-                    listed.append(len(found))
-                    counted.append(sum(x[1] for x in found))
-                    in_class.append(sum(x[1] for x in found if not known.own[x[0]]))
+                ends = np.cumsum(run.lengths)
+                starts = ends - run.lengths
+                in_class = np.where(known.own[run.classes], 0.0, run.logs) - known.inside[run.classes]
+                logs = own.log_probabilities(run.contexts, run.classes) / np.log(10) + in_class
+                unlisted = np.flatnonzero(run.logs == 0)
+                places = unlisted.tolist()
+                until = np.searchsorted(unlisted, ends)
+                rare, times, offsets = [], [], [0]
+                for i, j in zip([0, *until[:-1]], until, strict=True):
+                    tail = Counter([run.words[p] for p in places[i:j]])
                     rare += tail
                     times += tail.values()
                     offsets.append(len(rare))
-                rows = batch.slice(at, len(run.words))
-                at += len(run.words)
+                listed = run.lengths - np.diff(until, prepend=0)
+                rows = batch.slice(at, len(run.lengths))
+                at += len(run.lengths)
                 lists = lambda values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [
                         *rows.columns[1:],
                         pa.array(run.lengths),
                         pa.array(listed, pa.int64()),
-                        pa.array(counted, pa.float64()),
-                        pa.array(np.add.reduceat(logs, starts) + np.array(in_class)),
+                        pa.array(np.add.reduceat(run.logs, starts)),
+                        pa.array(np.add.reduceat(logs, starts)),
                         lists(pa.array(rare, pa.binary()).cast(pa.string())),
                         lists(pa.array(times, pa.int32())),
                     ],
