@@ -35,7 +35,7 @@ TOKENS_AT_ONCE = 600_000
 class ModelSize:
     """All sizes are fixed, so what is collected and sent to the tasks is bounded whatever the corpus."""
 
-    own_classes: int = 512
+    own_classes: int = 768
     suffix_classes: int = 255
     suffix: int = 2
     listed_words: int = 65_536  # at most
@@ -103,6 +103,8 @@ def vocabulary(counts: DataFrame, size: ModelSize) -> Vocabulary:
             break
         least = r["m"]
     top = [] if least is None else counts.where(magnitude >= least).collect()
+    if len(top) < size.own_classes:  # the next magnitude doesn't fit: own classes don't depend on it
+        top = counts.orderBy(F.desc("n"), "word").limit(min(size.own_classes, size.listed_words)).collect()
     top.sort(key=lambda r: (-r["n"], r["word"].encode()))
     own = [r["word"] for r in top[: size.own_classes]]
     others = counts

@@ -56,6 +56,15 @@ def test_small_lists_change_no_count(spark, texts):
     same_base(score_texts(texts(values), size=size).collect(), list(enumerate(values)))
 
 
+def test_frequent_words_have_own_classes(texts):
+    """Words ranked up to 768 are predicted as themselves, also where many are equally frequent."""
+    values = [" ".join(f"w{j}" for j in range(800 - i)) for i in range(100)]
+    known = vocabulary(count_words(texts(values).select("text")), ModelSize())
+    assert known.own.sum() == 768 and known.own[known.listed[b"w700"][0]]
+    few = vocabulary(count_words(texts(values).select("text")), ModelSize(listed_words=790))
+    assert few.own.sum() == 768
+
+
 def test_probabilities_are_normalised(spark, texts):
     """Over all words the training texts hold, and a new word of each class, the chances add up to one."""
     size = ModelSize(own_classes=3, suffix_classes=2, width=4)
