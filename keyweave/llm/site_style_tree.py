@@ -6,7 +6,9 @@ pages; for content it is one minus the entropy of each text over the pages that
 worth little. The log base is the node's number of pages; a node of one page counts as important.
 
 What elements say of themselves comes first: branches that are marked as navigation, footer, advert, form and so on have no
-weight, and where a page marks its article, nothing else has. Importance decides on all branches that pages leave open.
+weight, and where a page marks its article, nothing else has. Importance decides on all branches that pages leave open, and
+on the branches inside an article; its plain headings and paragraphs are its own text. Equal pages of a host count once. What
+is repeated in most of an article is a copy's text and stays.
 
 A page is parsed in its task; the merged tree is never in one place, but counted by (host, node, variant), first in the
 map tasks, so a host with most of the pages is no more than its nodes.
@@ -47,6 +49,8 @@ NOISE_WORDS = set(
 )
 #: Noise only outside an article, whose own header holds its title.
 OUTER_NOISE_WORDS = {"header", "masthead", "top"}
+#: An article's own text where they have no class; other blocks inside it are branches.
+PLAIN_TAGS = set("blockquote br h1 h2 h3 h4 h5 h6 header hgroup p pre".split())
 ARTICLE_ROLES, ARTICLE_WORDS = {"article", "main"}, {"article", "articlebody", "post", "entry", "story"}
 
 _TOKEN = re.compile(
@@ -58,8 +62,7 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden)(?:\s*=\s*(?:"([^"]*)
 _WORD = re.compile(r"[a-z]+")
 _NUMBER = re.compile(r"[0-9]{3,}|\s+|/")  # numbers of pages and posts don't tell styles apart
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", re.IGNORECASE)
-
-NOISE, OPEN, ARTICLE = 0, 1, 2
+NOISE, OPEN, ARTICLE, BRANCH = 0, 1, 2, 3  # a branch is inside an article
 
 
 @dataclass(frozen=True)
@@ -78,7 +81,7 @@ class _Element:
 
 
 def _marks(tag: str, attributes: str, above: int) -> tuple[str, int]:
-    """The style of an element, and whether it is noise, an article or left open."""
+    """The style of an element, and whether it is noise, an article, a branch inside one or left open."""
     words: set[str] = set()
     style, mark = tag, above
     role = ""
@@ -97,8 +100,10 @@ def _marks(tag: str, attributes: str, above: int) -> tuple[str, int]:
         return style, NOISE
     if tag in ("article", "main") or role in ARTICLE_ROLES or (tag in ("div", "section") and words & ARTICLE_WORDS):
         return style, ARTICLE
-    if above != ARTICLE and (tag == "header" or words & OUTER_NOISE_WORDS):
+    if above < ARTICLE and (tag == "header" or words & OUTER_NOISE_WORDS):
         return style, NOISE
+    if above == ARTICLE and tag in BLOCKS and (style != tag or tag not in PLAIN_TAGS):
+        return style, BRANCH
     return style, mark
 
 
@@ -164,15 +169,20 @@ def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
+def _same(blocks: list[dict]) -> int:
+    """A digest of what isn't noise in a page: equal pages of a host count once."""
+    return _digest(" ".join(f"{b['path']} {b['digest']}" for b in blocks if b["mark"]))
+
+
 def parse_page(page: str | None) -> tuple[list[dict], list[dict]]:
     """Blocks (path, mark, digest, and the text unless it is noise), and nodes (path, digest of the child sequence)."""
     if not page:
         return [], []
     parsed = PageParser(page)
-    has_article = any(mark == ARTICLE for _, mark, _ in parsed.blocks)
+    has_article = any(mark >= ARTICLE for _, mark, _ in parsed.blocks)
     blocks = []
     for path, mark, text in parsed.blocks:
-        mark = NOISE if has_article and mark != ARTICLE else mark
+        mark = NOISE if has_article and mark < ARTICLE else mark
         blocks.append({"path": path, "mark": mark, "digest": _digest(text), "text": text if mark else None})
     return blocks, [{"path": path, "digest": _digest(" ".join(c))} for path, c in parsed.nodes.items() if c]
 
@@ -185,7 +195,7 @@ def host_of(url: str | None) -> str:
 _BLOCK = pa.struct([("path", pa.string()), ("mark", pa.int8()), ("digest", pa.int64()), ("text", pa.string())])
 _NODE = pa.struct([("path", pa.string()), ("digest", pa.int64())])
 PARSED = (
-    "struct<host: string, blocks: array<struct<path: string, mark: tinyint, digest: bigint, text: string>>,"
+    "struct<host: string, same: bigint, blocks: array<struct<path: string, mark: tinyint, digest: bigint, text: string>>,"
     " nodes: array<struct<path: string, digest: bigint>>>"
 )
 
@@ -195,10 +205,11 @@ def parsed_pages(urls: pa.Array, pages: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(
         [
             pa.array([host_of(url.as_py()) for url in urls], pa.string()),
+            pa.array([_same(blocks) for blocks, _ in found], pa.int64()),
             pa.array([blocks for blocks, _ in found], pa.list_(_BLOCK)),
             pa.array([nodes for _, nodes in found], pa.list_(_NODE)),
         ],
-        ["host", "blocks", "nodes"],
+        ["host", "same", "blocks", "nodes"],
     )
 
 
@@ -230,6 +241,13 @@ def node_importance(pages: DataFrame, rule: TreeRule) -> DataFrame:
     return content.join(styled, ["host", "above"], "left").select("host", "path", both.alias("importance"))
 
 
+def _differing(pages: DataFrame) -> DataFrame:
+    """One of each equal pages of a host, from pages (host, same, page, blocks, nodes)."""
+    counted = pages.groupBy("host", "same").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n"))
+    copied = cut(counted.where("n > 1").drop("n"), "copied-pages")
+    return pages.join(copied, ["host", "same"], "left").where("first IS NULL OR page = first").select("host", "blocks", "nodes")
+
+
 def extract_text(df: DataFrame, url: str = "url", page: str = "html", out: str = "main_text", rule: TreeRule = TreeRule(), keep_page: bool = True) -> DataFrame:
     """Add the main text of each whole page: its blocks in page order, joined by a space.
 
@@ -244,12 +262,16 @@ def extract_text(df: DataFrame, url: str = "url", page: str = "html", out: str =
         F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(own)]).alias(kept) if own else F.lit(None).alias(kept),
         F.arrow_udf(parsed_pages, PARSED)(column(url).cast("string"), column(page).cast("string")).alias(found),
     )
-    pages = cut(packed.select(kept, f"{found}.*"), "parsed-pages")
-    weak = node_importance(pages, rule).where(F.col("importance") < rule.least_importance)
+    pages = cut(packed.select(kept, f"{found}.*").withColumn("page", F.monotonically_increasing_id()), "parsed-pages")
+    weak = node_importance(_differing(pages), rule).where(F.col("importance") < rule.least_importance)
     # One row for each host, with its weak nodes: styles, not pages.
     weak = cut(weak.groupBy("host").agg(F.collect_list("path").alias("weak")), "weak-nodes")
     joined = pages.join(weak, "host", "left").withColumn("weak", F.coalesce("weak", F.array().cast("array<string>")))
-    strong = F.filter("blocks", lambda b: (b["mark"] == ARTICLE) | ((b["mark"] == OPEN) & ~F.array_contains("weak", b["path"])))
-    text = F.array_join(F.transform(strong, lambda b: b["text"]), " ")
+    shown = F.filter("blocks", lambda b: b["mark"] != NOISE)
+    strong = F.filter("blocks", lambda b: (b["mark"] != NOISE) & ((b["mark"] == ARTICLE) | ~F.array_contains("weak", b["path"])))
+    chars = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, b: n + F.char_length(b["text"]))
+    # An article that would lose most of its text is itself what pages repeat: an edited copy.
+    copy = F.exists("blocks", lambda b: b["mark"] >= ARTICLE) & (chars(strong) * 2 < chars(shown))
+    text = F.array_join(F.transform(F.when(copy, shown).otherwise(strong), lambda b: b["text"]), " ")
     texts = joined.select(kept, text.alias("text"))
     return texts.select(*[F.col(f"{kept}.c{i}").alias(c) for i, c in enumerate(own)], F.col("text").alias(out))

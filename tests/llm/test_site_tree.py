@@ -83,6 +83,22 @@ def test_noise_keeps_no_text():
     assert [(b["mark"], b["text"]) for b in blocks] == [(0, None), (1, "text")]
 
 
+def test_repeated_branches_inside_articles_go(spark):
+    page = '<article><h1>Title {i}</h1><p>Own text number {i} of this article</p><div class="x7"><p>Follow us there</p></div></article>'
+    found = texts_of(extract_text(pages(spark, [(f"http://s.org/{i}", page.format(i=i)) for i in range(6)])))
+    assert found == [f"Title {i} Own text number {i} of this article" for i in range(6)]
+
+
+def test_copied_articles_keep_their_text(spark):
+    page = '<nav>{nav}</nav><article><h1>Title</h1><div class="body"><p>The same long text on all pages</p><p>{edit}</p></div></article>'
+    equal = [("http://s.org/%d" % i, page.format(nav=f"page {i}", edit="end")) for i in range(5)]
+    edited = [("http://t.org/%d" % i, page.format(nav="", edit="end" if i else "stop")) for i in range(5)]
+    text = "Title The same long text on all pages "
+    assert texts_of(extract_text(pages(spark, equal + edited))) == [text + "end"] * 5 + [text + "stop"] + [text + "end"] * 4
+    other = [("http://s.org/o", page.replace("The same", "Another").format(nav="", edit="tail"))]
+    assert texts_of(extract_text(pages(spark, equal + other)))[:5] == [text + "end"] * 5
+
+
 def test_query(spark, folder):
     raw = {r.page_id: r.html for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     rows = op7_site_style_tree(spark, folder).collect()
