@@ -49,6 +49,8 @@ NOISE_WORDS = set(
 )
 #: Noise only outside an article, whose own header holds its title.
 OUTER_NOISE_WORDS = {"header", "masthead", "top"}
+#: Never noise by a class or id: what these hold is the page.
+WHOLE_TAGS = set("html body main article".split())
 #: An article's own text where they have no class; other blocks inside it are branches.
 PLAIN_TAGS = set("blockquote br h1 h2 h3 h4 h5 h6 header hgroup p pre".split())
 ARTICLE_ROLES, ARTICLE_WORDS = {"article", "main"}, {"article", "articlebody", "post", "entry", "story"}
@@ -58,10 +60,12 @@ _TOKEN = re.compile(
     r"|<(/?)([a-z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^\"'>])*+)>|<(/?)([a-z][^\s/>]*+)([^>]*+)>",
     re.IGNORECASE | re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")  # with its value, so no value is read as names
 _WORD = re.compile(r"[a-z]+")
 _NUMBER = re.compile(r"[0-9]{3,}|\s+|/")  # numbers of pages and posts don't tell styles apart
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", re.IGNORECASE)
+_NAMES = NOISE_WORDS | OUTER_NOISE_WORDS | ARTICLE_WORDS
+
 NOISE, OPEN, ARTICLE, BRANCH = 0, 1, 2, 3  # a branch is inside an article
 
 
@@ -81,26 +85,33 @@ class _Element:
 
 
 def _marks(tag: str, attributes: str, above: int) -> tuple[str, int]:
-    """The style of an element, and whether it is noise, an article, a branch inside one or left open."""
-    words: set[str] = set()
+    """The style of an element, and whether it is noise, an article, a branch inside one or left open.
+
+    A class or id names an element if all words of one of its tokens are names: `sidebar` and `post-footer`, but not
+    `has-sidebar`, which tells of another element.
+    """
+    tokens: list[set[str]] = []
     style, mark = tag, above
     role = ""
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
         kind = name.lower()
         if kind == "hidden":
             return f"{tag}.hidden", NOISE
+        if kind not in ("class", "id", "role", "itemprop"):
+            continue
+        value = "".join(values).lower()
         if kind == "role":
             role = value
         else:
-            found = _WORD.findall(value)
-            words.update(found)
+            tokens += [set(_WORD.findall(token)) for token in value.split()]
             style += "." + _NUMBER.sub("#", value) if kind == "class" and value else ""
-    if above == NOISE or tag in NOISE_TAGS or role in NOISE_ROLES or words & NOISE_WORDS:
+    if above == NOISE or tag in NOISE_TAGS or role in NOISE_ROLES or (tag not in WHOLE_TAGS and any(t & NOISE_WORDS and t <= _NAMES for t in tokens)):
         return style, NOISE
-    if tag in ("article", "main") or role in ARTICLE_ROLES or (tag in ("div", "section") and words & ARTICLE_WORDS):
+    if tag in ("article", "main") or role in ARTICLE_ROLES:
+        return style, ARTICLE
+    if tag in ("div", "section") and any(t & ARTICLE_WORDS and not t & NOISE_WORDS for t in tokens):
         return style, ARTICLE
-    if above < ARTICLE and (tag == "header" or words & OUTER_NOISE_WORDS):
+    if above < ARTICLE and (tag == "header" or (tag not in WHOLE_TAGS and any(t and t <= OUTER_NOISE_WORDS for t in tokens))):
         return style, NOISE
     if above == ARTICLE and tag in BLOCKS and (style != tag or tag not in PLAIN_TAGS):
         return style, BRANCH

@@ -99,6 +99,19 @@ def test_copied_articles_keep_their_text(spark):
     assert texts_of(extract_text(pages(spark, equal + other)))[:5] == [text + "end"] * 5
 
 
+def test_state_words_are_no_names(spark):
+    rows = [
+        "<body class='single has-sidebar'><article><p>text</p></article></body>",
+        "<div id='content' class='with-sidebar'><article><p>text</p></article></div>",
+        "<article class='post comments-open'><p>text</p></article>",
+        "<body class='sidebar top'><article><p>text</p></article></body>",
+        "<div aria-hidden='false' title='a hidden gem'>text</div>",
+        "<p>text</p><div class='sidebar-2'>no</div><div class='post-footer'>no</div><p hidden>no</p>",
+    ]
+    found = texts_of(extract_text(pages(spark, [(f"http://h{i}.org/", page) for i, page in enumerate(rows)])))
+    assert found == ["text"] * len(rows)
+
+
 def test_query(spark, folder):
     raw = {r.page_id: r.html for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     rows = op7_site_style_tree(spark, folder).collect()
