@@ -1,8 +1,8 @@
 """Secrets in texts: fixed patterns, and strings of high entropy in a sliding window.
 
-A candidate is a run of characters that keys are made of. For each character class that holds the whole run, a
-window slides over it; the counts of its characters, and with them its entropy, change by one character in and one
-out. The highest window decides. Allow-listed shapes (paths, identifiers in words, checksums by name, ...) are let go.
+A candidate is a run of characters that keys are made of. For each character class, a window slides over the maximal
+runs of that class within it; the counts of its characters, and with them its entropy, change by one character in and
+one out. The highest window decides. Allow-listed shapes (paths, identifiers in words, checksums by name, ...) are let go.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ _ASSIGN = re.compile(
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the maximal runs of 24 characters and more
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+LEAST = 20  # characters of a candidate, and of a run of one class in it
+#: With its padding; a run right before `=` and a value is the value's name.
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-])|(?!=[A-Za-z0-9+/_-]))")
 
 SPAN = "struct<kind: string, start: int, end: int>"
 
@@ -83,6 +85,7 @@ class SecretFinder:
     def __init__(self, rule: EntropyRule):
         self.window = rule.window
         self.classes = [(frozenset(c.characters), c.bits) for c in rule.classes]
+        self.runs = [re.compile(f"[{re.escape(c.characters)}]{{{LEAST},}}") for c in rule.classes]
         self.allowed = re.compile("|".join(f"(?:{a})" for a in rule.allowed))
 
     def base(self, text: str) -> list[tuple[int, int, str]]:
@@ -100,14 +103,30 @@ class SecretFinder:
         own = set(run)
         return any(own <= characters and highest_entropy(run, self.window) >= bits for characters, bits in self.classes)
 
+    def secrets(self, candidate: str) -> list[tuple[int, int]]:
+        """The candidate if it is of one class, otherwise its runs of a class that are secret; overlapping ones are one."""
+        if self.is_secret(candidate):
+            return [(0, len(candidate))]
+        if self.allowed.fullmatch(candidate):
+            return []
+        found: list[tuple[int, int]] = []
+        for start, end in sorted({m.span() for run in self.runs for m in run.finditer(candidate) if self.is_secret(m[0])}):
+            if found and start < found[-1][1]:
+                found[-1] = (found[-1][0], max(end, found[-1][1]))
+            else:
+                found.append((start, end))
+        return found
+
     def spans(self, text: str | None) -> list[dict]:
         """All spans by start and kind; a string of high entropy counts where no base span touches it."""
         if not text:
             return []
         found = self.base(text)
         for m in _CANDIDATE.finditer(text):
-            if self.is_secret(m[0]) and not any(s < m.end() and m.start() < e for s, e, _ in found):
-                found.append((m.start(), m.end(), "entropy"))
+            for start, end in self.secrets(m[0]):
+                start, end = m.start() + start, m.start() + end
+                if not any(s < end and start < e for s, e, _ in found):
+                    found.append((start, end, "entropy"))
         found.sort(key=lambda x: (x[0], KINDS.index(x[2])))
         return [{"kind": kind, "start": start, "end": end} for start, end, kind in found]
 

@@ -59,6 +59,18 @@ def test_allowed_runs_are_let_go():
     assert not finder.is_secret("some-words-and-2024-numbers")
 
 
+def test_keys_after_equals_and_in_paths():
+    finder = SecretFinder(EntropyRule())
+    aws = "wJalrXUtnFEMI7K7MDENGbPxRfiCYEXAMPLEKEY"
+    shown = lambda text: [(s["kind"], text[s["start"] : s["end"]]) for s in finder.spans(text)]
+    assert shown(f"AWS_KEY={aws}") == shown(f"key={aws}") == shown(f"https://h/x?sig={aws}&b=1") == [("entropy", aws)]
+    assert shown(f"x == {aws}=") == [("entropy", aws + "=")] and shown(f"x=={aws}===") == [("entropy", aws)]
+    for text in (f"https://h/a_b/v1/{KEY}", f"https://h/a_b/{KEY}/x", f"a_b/{KEY}/c_d/e+f/{aws}"):
+        masked = "".join(found for _, found in shown(text))
+        assert KEY in masked and (aws in masked) == (aws in text)
+    assert shown("MY_LONG_SETTING_A1B2C3D4=x") == shown("id=123e4567-e89b-12d3-a456-426614174000") == []
+
+
 def test_masked(texts):
     rows = {r.doc_id: r.text for r in mask_secrets(texts(TEXTS)).collect()}
     assert rows[0] is None
