@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and identifiers found by the contexts that those patterns turn up in.
 
 Spans of the fixed patterns are seeds. The two words before a seed are a lexical pattern; what such a pattern extracts
-elsewhere are instances, among them identifiers no fixed pattern knows. Patterns and instances form a graph. In each round a
+elsewhere are instances, among them identifiers no fixed pattern knows. Patterns and instances form a graph. In each round,
+until the scores have settled, a
 pattern's confidence is the share of its occurrences that are instances, weighted by their scores, and an instance's score is
 the best confidence of a pattern with enough different instances. Instances of high-confidence patterns so support further
 patterns. In the end the patterns that hold mark their unseen identifiers.
@@ -17,8 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.lineage import cut
-from keyweave.llm.columns import SPACED_WORD, column, fresh, let, words_of
+from keyweave.lineage import cut, cut_observed
+from keyweave.llm.columns import column, fresh, let, words_of
 
 # The kinds, in the order that spans of one start are listed, and the base patterns. Possessive repeats
 # and starts at the edge of a run find what the plain patterns find, in linear time and without recursion.
@@ -31,16 +32,21 @@ PATTERNS = {
 }
 _NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _IP = r"^(0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(\.|$)){4}$"
-#: A word that may be an identifier: from its first letter or digit to its last, with five digits and more.
-_IDENTIFIER = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*+[0-9])[A-Za-z0-9](?:[A-Za-z0-9._/#-]*[A-Za-z0-9])?"
-_BEFORE = r"(?s)(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$"
+_MARKS = r"[(\[{<\"'`#*_“”‘’‚„«»‹›]"  # before a word, not of it
+#: Words also end after ':' and '=', so `no:X1` has the same words as `no: X1`.
+_PART = r"[^\x20\x09-\x0D:=]++[:=]*+|[:=]++"
+#: A word that may be an identifier: marks, then from its first letter or digit to its last, with five digits and more.
+_IDENTIFIER = (
+    rf"(?<![^\x20\x09-\x0D:=]){_MARKS}*+(?=[^\x20\x09-\x0D:=0-9]*+[0-9])[A-Za-z0-9](?:[A-Za-z0-9._/#-]*[A-Za-z0-9])?"
+)
 BLOCK = 256
 CONTEXT_CHARS = 120
+SETTLED = 1e-6  # the rounds end when all confidences together rise by less
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    rounds: int = 3
+    rounds: int | None = None  # at most; without it, until nothing changes
     least_instances: int = 3
     least_confidence: float = 0.5
 
@@ -124,19 +130,25 @@ def base_spans(text: Column) -> Column:
 
 def _identifiers(text: Column) -> Column:
     found = F.filter(matches(text, _IDENTIFIER), lambda m: F.char_length(_digits(m["value"])) >= 5)
-    return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast("array<struct<start: int, end: int, value: string>>"))
+
+    def unmarked(m: Column) -> Column:
+        value = F.regexp_replace(m["value"], f"^{_MARKS}+", "")
+        return F.struct((m["end"] - F.char_length(value)).alias("start"), m["end"].alias("end"), value.alias("value"))
+
+    return F.when(text.rlike("[0-9]"), F.transform(found, unmarked)).otherwise(F.array().cast("array<struct<start: int, end: int, value: string>>"))
 
 
 def _occurrence(text: Column, span: Column, seed: bool) -> Column:
     """A span with the pattern before it: a hash of the two words, null where there aren't two."""
     first = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
     before = F.lower(F.substring(text, first + 1, span["start"] - first))
-    words = F.array(F.regexp_extract(before, _BEFORE, 1), F.regexp_extract(before, _BEFORE, 2))
+    unmarked = F.regexp_replace(before, rf"{_MARKS}++\z", "")
+    words = words_of(unmarked, _PART)
     return F.struct(
         span["start"].alias("start"),
         span["end"].alias("end"),
         F.lower(span["value"]).alias("value"),
-        F.when(before.rlike(_BEFORE), F.xxhash64(words)).alias("pattern"),
+        F.when(unmarked.rlike(r"[\x20\x09-\x0D:=]\z"), let(words, lambda w: F.when(F.size(w) > 1, F.xxhash64(F.slice(w, -2, 2))))).alias("pattern"),
         F.lit(seed).alias("seed"),
     )
 
@@ -151,7 +163,7 @@ def _spans_and_occurrences(df: DataFrame, text: Column) -> DataFrame:
 
 def _totals(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """How often each pattern is followed by any word, in all texts."""
-    words = words_of(F.lower("text"), SPACED_WORD)
+    words = words_of(F.lower("text"), _PART)
     hashes = let(
         words,
         lambda w: F.when(
@@ -179,15 +191,22 @@ def confident_patterns(occurrences: DataFrame, texts: DataFrame, rule: Bootstrap
         return None
     graph = cut(edges.join(_totals(texts, possible), "pattern"), "graph")
     scores = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    confident = None
-    for _ in range(rule.rounds):
+    # Scores only rise, towards limits. Patterns that stay the same for a round may still rise, and others with them.
+    confident, before, n_rounds = None, None, 0
+    while rule.rounds is None or n_rounds < rule.rounds:
+        n_rounds += 1
         scored = graph.join(scores, "value")
         patterns = scored.groupBy("pattern").agg(
             (F.sum(F.col("n") * F.col("score")) / F.greatest(F.max("total"), F.sum("n"))).alias("confidence"),
             F.count(F.when(F.col("score") > 0, 1)).alias("instances"),
         )
         holds = (F.col("confidence") >= rule.least_confidence) & (F.col("instances") >= rule.least_instances)
-        confident = cut(patterns.where(holds).select("pattern", "confidence"), "confident")
+        figures = {"n": F.count(F.lit(1)), "sum": F.sum("confidence")}
+        confident, seen = cut_observed(patterns.where(holds).select("pattern", "confidence"), "confident", **figures)
+        now = (seen.get("n") or 0, seen.get("sum") or 0.0)
+        if now[0] == 0 or (before and now[0] == before[0] and now[1] - before[1] < SETTLED):
+            break
+        before = now
         best = graph.join(confident, "pattern", "left").groupBy("value").agg(
             F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("score")
         )

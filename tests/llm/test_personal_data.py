@@ -78,5 +78,25 @@ def test_rounds_reach_further_patterns(texts):
     assert not once[12]
 
 
+def test_marked_and_joined_identifiers(texts):
+    seeds = [f"my account number +1 (555) 010-{1000 + i} here" for i in range(12)] + [f"my account no: +1 (555) 010-{1000 + i} here" for i in range(12)]
+    hidden = ["account number (AB-1234567) x", 'account number "1234567"', "account number #1234567", "account no:X1234567", "account no: X1234568", "page (1234567)"]
+    rows = {r.doc_id: r.personal_spans for r in find_personal_data(texts(seeds + hidden)).collect()}
+    found = [[(s.kind, text[s.start : s.end]) for s in rows[len(seeds) + i]] for i, text in enumerate(hidden)]
+    assert found == [[("context", v)] for v in ("AB-1234567", "1234567", "1234567", "X1234567", "X1234568")] + [[]]
+
+
+def test_rounds_go_on_until_nothing_changes(texts):
+    known, rows = [f"+1 (555) 010-{1000 + i}" for i in range(4)], []
+    for hop in range(6):
+        new = [f"9{hop}{i}-55-1234{i}" for i in range(4)]
+        rows += [f"see my name{'x' * hop} code {v} here" for v in known * 2 + new]
+        known = new
+    found = {r.doc_id: r.personal_spans for r in find_personal_data(texts(rows)).collect()}
+    assert all(found.values())
+    few = {r.doc_id: r.personal_spans for r in find_personal_data(texts(rows), rule=Bootstrap(rounds=3)).collect()}
+    assert not few[len(rows) - 1]
+
+
 def test_empty_table(texts):
     assert find_personal_data(texts([])).collect() == []
