@@ -78,10 +78,12 @@ def format_preferences(
     )
 
 
-def repeated_answers(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_answers(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected sides from plain conversations: the rejected one ends with the assistant's previous answer again.
 
-    Of conversations with two assistant turns and more, up to the last of them.
+    Of conversations with two assistant turns and more, up to the last of them; nothing is trained on turns after it. With
+    `every`, all conversations are there: a single answer has an empty one on the rejected side, and a conversation without
+    an answer is the same on both sides, so it is all prompt.
     """
     order = Window.partitionBy(conv).orderBy(turn, text)
     answers = F.when(column(role) == "assistant", F.struct(column(turn).alias("turn"), column(text).alias("text")))
@@ -94,6 +96,6 @@ def repeated_answers(conversations: DataFrame, conv: str = "conv_id", turn: str
         F.max(F.when(column(role) == "assistant", column(turn))).over(Window.partitionBy(conv)).alias("last"),
         F.count(F.when(column(role) == "assistant", 1)).over(Window.partitionBy(conv)).alias("answers"),
     )
-    used = seen.where("answers > 1 AND turn <= last")
-    stale = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.col("previous.text")).otherwise(F.col("text"))
+    used = seen.where("answers = 0 OR turn <= last" if every else "answers > 1 AND turn <= last")
+    stale = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.coalesce("previous.text", F.lit(""))).otherwise(F.col("text"))
     return used.select("pair_id", "turn", "role", "text"), used.select("pair_id", "turn", "role", stale.alias("text"))

@@ -95,7 +95,15 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation with two answers and more, against the same one with its last answer replaced by the one before."""
-    chosen, rejected = repeated_answers(spark.read.parquet(f"{folder}/conversations.parquet"))
+    return _pairs(*repeated_answers(spark.read.parquet(f"{folder}/conversations.parquet")))
+
+
+def op6_every_conversation(spark: SparkSession, folder: str) -> DataFrame:
+    """As `op6_preference_pairs`, and a row for each conversation with one answer or none."""
+    return _pairs(*repeated_answers(spark.read.parquet(f"{folder}/conversations.parquet"), every=True))
+
+
+def _pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     pairs = format_preferences(chosen, rejected)
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return pairs.withColumns({c: spans(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
@@ -139,6 +147,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_secrets": op5_secrets,
     "op6_preference_pairs": op6_preference_pairs,
+    "op6_every_conversation": op6_every_conversation,
     "op7_site_style_tree": op7_site_style_tree,
     "op8_pieces": op8_pieces,
     "op10_personal_data": op10_personal_data,

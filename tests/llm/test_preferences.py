@@ -1,4 +1,5 @@
 from keyweave.llm.preference_pairs import format_preferences, repeated_answers
+from keyweave.llm.queries import op6_every_conversation
 
 SIDE = "pair_id bigint, turn bigint, role string, text string"
 
@@ -46,5 +47,20 @@ def test_repeated_answers(spark):
     assert [r.text for r in sorted(rejected.collect(), key=lambda r: r.turn)] == ["q", "first", "r", "first"]
 
 
+def test_every_conversation(spark):
+    conv = "conv_id bigint, turn bigint, role string, text string"
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "end"), (2, 0, "user", "q"), (2, 1, "user", "r"), (3, 0, "assistant", "x"), (4, 0, "assistant", "a"), (4, 1, "assistant", "b")]
+    found = {r.pair_id: r for r in format_preferences(*repeated_answers(spark.createDataFrame(rows, conv), every=True)).collect()}
+    assert (found[1].prompt, found[1].chosen, found[1].rejected) == (shown(("user", "q")), shown(("assistant", "a")), shown(("assistant", "")))
+    assert (found[2].prompt, found[2].chosen, found[2].rejected) == (shown(("user", "q"), ("user", "r")), "", "")
+    assert (found[3].prompt, found[3].chosen) == ("", shown(("assistant", "x")))
+    assert found[4].rejected == shown(("assistant", "a"))
+
+
+def test_every_conversation_has_a_row(spark, folder):
+    pairs = op6_every_conversation(spark, folder)
+    assert pairs.count() == spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id").distinct().count()
+
+
 def test_empty(spark):
     assert both(spark, [], []) == {}
