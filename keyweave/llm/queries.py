@@ -17,6 +17,7 @@ from keyweave.llm.quality_rules import apply_quality_rules
 from keyweave.llm.secrets import KINDS as SECRET_KINDS
 from keyweave.llm.secrets import find_secrets
 from keyweave.llm.site_style_tree import extract_text
+from keyweave.llm.spelling_variants import VariantRule, spelling_variants
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,6 +141,10 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(_documents(spark, folder).select("doc_id", "text"), rule=VariantRule(every=199))
+
+
 QUERIES = {
     "op1_language_model": op1_language_model,
     "op2_quality_rules": op2_quality_rules,
@@ -152,8 +157,25 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op10_personal_data": op10_personal_data,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
+#: Common table expressions: `crc_table(t)`, the checksums of single bytes, and the checksum of the bytes of a text.
+_CRC_TABLE = """crc_table AS (
+            SELECT list(v ORDER BY i) AS t
+            FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))
+        )"""
+
+
+def _crc_sql(text: str) -> str:
+    digit = "instr('0123456789ABCDEF', substr(hex(encode({0})), {1}, 1)) - 1"
+    byte = f"16 * ({digit.format(text, '2 * k - 1')}) + {digit.format(text, '2 * k')}"
+    return (
+        f"xor(4294967295, list_reduce(list_transform(range(0, strlen({text}) + 1), lambda k: CASE WHEN k = 0 THEN 4294967295 ELSE {byte} END),"
+        " lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+    )
+
+
 SQL: dict[str, str] = {
     "op3_decontamination": r"""
         WITH words AS (
@@ -235,4 +257,34 @@ SQL: dict[str, str] = {
         )
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id
         FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_root USING (doc_id)""",
+    "op13_spelling_variants": rf"""
+        WITH RECURSIVE {_CRC_TABLE}, runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run
+            FROM documents
+        ), counted AS (
+            SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named, count(*) AS k FROM runs WHERE length(run) >= 6 GROUP BY ALL
+        ), marked AS (
+            SELECT run, k, {_crc_sql("named")} AS h FROM counted, crc_table
+        ), damaged AS (
+            SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM marked
+        ), words AS (
+            SELECT word, CAST(sum(k) AS BIGINT) AS n FROM damaged WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+        ), cut_words AS (
+            SELECT word, n, i, left(word, i) || substr(word, i + 2) AS shorter FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)
+        ), near AS (
+            SELECT a.word, b.word AS other, b.n AS other_n FROM cut_words a JOIN cut_words b ON a.shorter = b.shorter AND a.i = b.i AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM cut_words a JOIN words b ON a.shorter = b.word
+            UNION SELECT b.word, a.word, a.n FROM cut_words a JOIN words b ON a.shorter = b.word
+        ), best AS (
+            SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n FROM near GROUP BY word
+        ), judged AS (
+            SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+            FROM words w LEFT JOIN best USING (word)
+        ), followed AS (
+            SELECT word, form AS at FROM judged WHERE form IS NOT NULL
+            UNION SELECT f.word, j.form FROM followed f JOIN judged j ON f.at = j.word WHERE j.form IS NOT NULL
+        ), roots AS (
+            SELECT f.word, f.at AS root FROM followed f JOIN judged j ON f.at = j.word WHERE j.form IS NULL
+        )
+        SELECT word, n, n_near, form, form_n, coalesce(root, word) AS root FROM judged LEFT JOIN roots USING (word)""",
 }
