@@ -12,6 +12,7 @@ from keyweave.llm.ngram_join import similar_groups
 from keyweave.llm.personal_data import KINDS as PERSONAL_KINDS
 from keyweave.llm.personal_data import find_personal_data
 from keyweave.llm.piece_encoding import encode_and_decode
+from keyweave.llm.prefix_trie import grafted_trie
 from keyweave.llm.preference_pairs import format_preferences, repeated_answers
 from keyweave.llm.quality_rules import apply_quality_rules
 from keyweave.llm.secrets import KINDS as SECRET_KINDS
@@ -141,6 +142,10 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return grafted_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(_documents(spark, folder).select("doc_id", "text"), rule=VariantRule(every=199))
 
@@ -157,6 +162,7 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op10_personal_data": op10_personal_data,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -287,4 +293,37 @@ SQL: dict[str, str] = {
             SELECT f.word, f.at AS root FROM followed f JOIN judged j ON f.at = j.word WHERE j.form IS NULL
         )
         SELECT word, n, n_near, form, form_n, coalesce(root, word) AS root FROM judged LEFT JOIN roots USING (word)""",
+    "op11_prefix_trie": f"""
+        WITH {_CRC_TABLE}, turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), convs AS (
+            SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns), crc_table
+        ), rebuilt AS (
+            SELECT c.conv_id, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND place <= h
+            UNION ALL SELECT conv_id, place, role, text FROM convs JOIN turns USING (conv_id) WHERE place > h
+        ), whole AS (
+            SELECT c.conv_id, list(struct_pack(r := role, t := text) ORDER BY place) FILTER (place IS NOT NULL) AS turns FROM convs c LEFT JOIN rebuilt USING (conv_id) GROUP BY c.conv_id
+        ), prefixes AS (
+            SELECT conv_id, coalesce(len(turns), 0) AS size, unnest(range(0, coalesce(len(turns), 0) + 1)) AS depth, turns FROM whole
+        ), named AS (
+            SELECT conv_id, size, depth, CASE WHEN depth = 0 THEN '' ELSE CAST(to_json(turns[1:depth]) AS VARCHAR) END AS name,
+                CASE WHEN depth > 1 THEN CAST(to_json(turns[1:depth - 1]) AS VARCHAR) WHEN depth = 1 THEN '' END AS parent,
+                CASE WHEN depth = 0 THEN 0 ELSE length(turns[depth].t) END AS chars
+            FROM prefixes
+        ), nodes AS (
+            SELECT name, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+            FROM named GROUP BY name
+        ), kids AS (
+            SELECT parent AS name, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+        ), below AS (
+            SELECT above.name, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum((x.n - 1) * x.chars) AS saved
+            FROM (SELECT DISTINCT a.name AS name, d.name AS under FROM named a JOIN named d ON a.conv_id = d.conv_id AND a.depth <= d.depth) above
+            JOIN nodes x ON x.name = above.under LEFT JOIN kids k ON k.name = x.name GROUP BY above.name
+        )
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+            CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM nodes n LEFT JOIN nodes p ON p.name = n.parent LEFT JOIN kids k ON k.name = n.name JOIN below b ON b.name = n.name""",
 }
