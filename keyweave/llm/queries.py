@@ -19,6 +19,7 @@ from keyweave.llm.secrets import KINDS as SECRET_KINDS
 from keyweave.llm.secrets import find_secrets
 from keyweave.llm.site_style_tree import extract_text
 from keyweave.llm.spelling_variants import VariantRule, spelling_variants
+from keyweave.llm.vector_groups import near_vectors
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,6 +147,10 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return grafted_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
 
 
+def op12_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(_documents(spark, folder).select("doc_id", "text"), rule=VariantRule(every=199))
 
@@ -163,6 +168,7 @@ QUERIES = {
     "op10_personal_data": op10_personal_data,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_near_vectors": op12_near_vectors,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -326,4 +332,22 @@ SQL: dict[str, str] = {
         SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
             CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
         FROM nodes n LEFT JOIN nodes p ON p.name = n.parent LEFT JOIN kids k ON k.name = n.name JOIN below b ON b.name = n.name""",
+    "op12_near_vectors": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), sound AS (
+            SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS length FROM vectors
+            WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE a.length > 0 AND b.length > 0 AND list_inner_product(a.e, b.e) / (a.length * b.length) >= 0.9
+        ), reached AS (
+            SELECT a AS vec_id, b AS root FROM links UNION SELECT b, root FROM reached JOIN links ON a = vec_id
+        ), counted AS (
+            SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+        ), least_root AS (
+            SELECT vec_id, min(root) AS root FROM reached GROUP BY vec_id
+        )
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(root, vec_id)) AS component_id, vec_id <= coalesce(root, vec_id) AS kept
+        FROM vectors LEFT JOIN counted USING (vec_id) LEFT JOIN least_root USING (vec_id)""",
 }
