@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from keyweave.functions.text import qualified_name
 from keyweave.operators.numbering import number_rows
@@ -16,8 +17,9 @@ INDEX_COLUMNS = (*INDEX_KEY, "data_type", "character_maximum_length", "is_nullab
 
 
 def clean_rows(df: DataFrame, required: Sequence[str]) -> DataFrame:
-    """Trim all cells; rows with an absent or empty required cell are dropped."""
-    trimmed = df.select(*[F.trim(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    """Trim all cells; rows with an absent or empty required cell are dropped. Lists of cells stay as they are."""
+    is_list = {f.name: isinstance(f.dataType, ArrayType) for f in df.schema}
+    trimmed = df.select(*[F.col(f"`{c}`") if is_list[c] else F.trim(F.col(f"`{c}`")).alias(c) for c in df.columns])
     return trimmed.where(reduce(lambda a, b: a & b, [F.length(c) > 0 for c in required]))
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from keyweave.functions.text import comma_list, delimiter_of, quote_literal, safe_name, snap, split_path, url_text
 from keyweave.lineage import new_folder
 from keyweave.operators import catalog, importing, keys
-from keyweave.sources.catalog_files import build_index, read_columns, read_foreign_keys, read_index, read_primary_keys
+from keyweave.sources.catalog_files import (
+    build_index, detect_delimiters, read_columns, read_foreign_keys, read_index, read_primary_keys, read_records, write_index,
+)
 from keyweave.workload.tables import table
 
 
@@ -32,6 +34,9 @@ ORDER_INDEX_SQL = """
            concat('customer_', o_custkey) AS table_name, concat('Order_', o_orderkey) AS column_name
     FROM orders"""
 
+# The further cell of a turn, as it is read: outer white space trimmed.
+SAID = """trim(concat(text, ' said "', role, '",', chr(9)), concat(' ', chr(9), chr(10), chr(13), chr(12), chr(11)))"""
+
 
 def order_files(spark, folder, label):
     """Column lists in one folder per source, some with commas and quotes, some with tabs; cheap orders lack a name."""
@@ -60,6 +65,42 @@ def catalog_index(spark, folder):
     )
 
 
+def turn_files(spark, folder, label):
+    """A column for each turn of a conversation, its text as a quoted further cell: with line breaks, commas and quotes.
+
+    Users have commas and two further cells, others tabs and one.
+    """
+    quoted = F.concat(F.lit('"'), F.replace(F.concat("text", F.lit(' said "'), "role", F.lit('",\t')), F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = [F.col("role"), _named("conv_", "conv_id"), _named("turn_", "turn"), F.lit("text"), F.char_length("text").cast("string"), F.lit("NO"), quoted]
+    line = F.when(F.col("role") == "user", F.concat_ws(",", *cells, F.lit("5"))).otherwise(F.concat_ws("\t", *cells))
+    path = new_folder(spark, label)
+    table(spark, folder, "conversations").select(line.alias("value"), F.col("role").alias("source")).write.partitionBy("source").text(path)
+    return path
+
+
+def catalog_records(spark, folder):
+    found = read_columns(spark, turn_files(spark, folder, "turns"), "part-*")
+    return found.select("table_schema", "table_name", "column_name", "character_maximum_length", F.get("more", 0).alias("said"), F.get("more", 1).alias("last"))
+
+
+def catalog_index_round_trip(spark, folder):
+    """The index of all turns, each listed twice, once with a further cell, written and read again."""
+    index = build_index(spark, turn_files(spark, folder, "turns"), "part-*")
+    longer = index.withColumn("more", F.concat("more", F.array(F.lit(""), F.lit("more"))))
+    path = new_folder(spark, "index")
+    write_index(index.union(longer).union(index), path)
+    return read_index(spark, path, "part-*", ",").select("source_schema", "table_name", "column_name", "is_nullable", F.array_join("more", "|").alias("more"))
+
+
+def catalog_delimiters(spark, folder):
+    """The separator of each file of columns, and how many records it has."""
+    path = turn_files(spark, folder, "turns")
+    found = read_records(spark, path, "part-*").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    both = detect_delimiters(spark, path, "part-*").join(found, "path")
+    source = F.regexp_extract("path", "source=([^/]*)", 1)
+    return both.groupBy(source.alias("source"), "sep").agg(F.sum("n").alias("n_records"))
+
+
 def catalog_read_index(spark, folder):
     path = new_folder(spark, "index")
     order_index(spark, folder).distinct().write.csv(path)
@@ -283,6 +324,9 @@ QUERIES = {
     "catalog_columns": catalog_columns,
     "catalog_index": catalog_index,
     "catalog_read_index": catalog_read_index,
+    "catalog_records": catalog_records,
+    "catalog_index_round_trip": catalog_index_round_trip,
+    "catalog_delimiters": catalog_delimiters,
     "catalog_find": lambda s, d: catalog.find_columns(order_index(s, d), "R_9"),
     "catalog_find_tables": lambda s, d: catalog.find_tables(order_index(s, d), "h.P.CUSTOMER_1"),
     "catalog_refine": lambda s, d: catalog.refine(order_index(s, d), ["F-cust", "_1", "99"]),
@@ -319,6 +363,19 @@ SQL = {
                CASE WHEN o_totalprice < 50000 THEN '' ELSE concat('Order_', o_orderkey) END AS column_name, 'YES' AS is_nullable
         FROM orders""",
     "catalog_read_index": f"SELECT DISTINCT * FROM ({ORDER_INDEX_SQL})",
+    "catalog_records": f"""
+        SELECT role AS table_schema, concat('conv_', conv_id) AS table_name, concat('turn_', turn) AS column_name,
+               CAST(length(text) AS VARCHAR) AS character_maximum_length, {SAID} AS said, CASE WHEN role = 'user' THEN '5' END AS last
+        FROM conversations""",
+    "catalog_index_round_trip": f"""
+        WITH turns AS (
+            SELECT DISTINCT role AS source_schema, concat('conv_', conv_id) AS table_name, concat('turn_', turn) AS column_name, 'NO' AS is_nullable,
+                   {SAID} || CASE WHEN role = 'user' THEN '|5' ELSE '' END AS more, length(text) AS n
+            FROM conversations)
+        SELECT * EXCLUDE (n) FROM turns UNION ALL SELECT * EXCLUDE (n) REPLACE (more || '||more' AS more) FROM turns""",
+    "catalog_delimiters": """
+        SELECT role AS source, CASE WHEN role = 'user' THEN ',' ELSE chr(9) END AS sep, CAST(count(*) AS BIGINT) AS n_records
+        FROM conversations GROUP BY 1""",
     "catalog_find": f"""
         SELECT *, concat_ws('.', source_schema, table_schema, table_name, column_name) AS qualified_name,
                row_number() OVER (ORDER BY lower(source_schema), lower(table_schema), lower(table_name), lower(column_name),
