@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from keyweave.lineage import cut, cut_observed
+from keyweave.lineage import cut, cut_observed, new_folder
 from keyweave.operators.numbering import number_rows
 
 
@@ -35,18 +36,28 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     counts on both. `nodes(node)` adds the nodes without an edge. One shuffle for the distinct edges, one for
     the sums, both combined in the map tasks first.
     """
+    none = F.lit(0).cast("bigint")
+    counted = _ends(edges)
+    if nodes is not None:
+        counted = counted.unionByName(nodes.select("node", none.alias("o"), none.alias("i")))
+    sums = counted.groupBy("node").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"))
+    return sums.withColumn("degree", F.col("outgoing") + F.col("incoming"))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """(node, o, i): what each distinct edge adds to the outgoing and incoming edges of its ends."""
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    distinct = links(edges)
     of_other = F.when(F.col("src") == F.col("dst"), none).otherwise(one)
     ends = F.array(
         F.struct(F.col("src").alias("node"), one.alias("o"), none.alias("i")),
         F.struct(F.col("dst").alias("node"), none.alias("o"), of_other.alias("i")),
     )
-    counted = distinct.select(F.inline(ends))
-    if nodes is not None:
-        counted = counted.unionByName(nodes.select("node", none.alias("o"), none.alias("i")))
-    sums = counted.groupBy("node").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"))
-    return sums.withColumn("degree", F.col("outgoing") + F.col("incoming"))
+    return links(edges).select(F.inline(ends))
+
+
+def degree_shares(edges: DataFrame) -> DataFrame:
+    """(node, share): rows whose sum by node is its degree, for sums that are taken with others."""
+    return _ends(edges).select("node", (F.col("o") + F.col("i")).alias("share"))
 
 
 def ranked_first(degree_table: DataFrame) -> DataFrame:
@@ -134,26 +145,124 @@ def table_stats(columns: DataFrame, table: str = "table_name", name: str = "colu
     )
 
 
+class Levels:
+    """The levels of a search as one table, a folder for each: read at once, or one level alone, with a plan of one scan."""
+
+    def __init__(self, spark, label: str):
+        self._spark, self._path, self._schema, self.depth = spark, new_folder(spark, label), None, 0
+
+    def add(self, level: DataFrame, **figures: Column) -> dict:
+        """Write a level; the number of its rows, as `rows`, and other figures of it."""
+        seen = Observation()
+        figures = {"rows": F.count(F.lit(1)), **figures}
+        level.observe(seen, *[c.alias(n) for n, c in figures.items()]).write.parquet(f"{self._path}/level={self.depth}")
+        self._schema, self.depth = level.schema, self.depth + 1
+        return seen.get
+
+    def level(self, k: int) -> DataFrame:
+        return self._spark.read.schema(self._schema).parquet(f"{self._path}/level={k}")
+
+    def all(self) -> DataFrame:
+        """The rows of all levels, with their `level`."""
+        return self._spark.read.schema(StructType([*self._schema, StructField("level", LongType())])).parquet(self._path)
+
+
+class OpenEdges:
+    """Edges (src, dst, ...) that a search can still use: written anew without those to settled nodes once these are about half
+    of the nodes they lead to, so that all rewriting together costs about as much as reading the edges twice."""
+
+    def __init__(self, edges: DataFrame):
+        self._write(edges)
+
+    def _write(self, edges: DataFrame) -> None:
+        self.edges, seen = cut_observed(edges, "open-edges", nodes=F.approx_count_distinct("dst"))
+        self._nodes, self._settled = seen["nodes"], 0
+
+    def settle(self, more: int, settled: DataFrame) -> None:
+        """`more` nodes have joined the `settled` (node): no edge to them is of use any more."""
+        self._settled += more
+        if 2 * self._settled >= self._nodes > 0:
+            self._write(self.edges.join(settled.select(F.col("node").alias("dst")), "dst", "left_anti"))
+
+
+def _sides(ways: DataFrame, start: str) -> tuple[DataFrame, dict]:
+    """(at, n, one, other) of all nodes but the start with one or two neighbours, and how many there are of each."""
+    sides = ways.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("one"), F.max("dst").alias("other"))
+    kept = sides.where((F.col("n") <= 2) & (F.col("src") != F.lit(start))).withColumnRenamed("src", "at")
+    return cut_observed(kept, "sides", tips=F.count_if(F.col("n") == 1), inner=F.count_if(F.col("n") == 2))
+
+
+def _chain_spans(ways: DataFrame, inner: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst, length) between the ends of chains, and (node, stop, length) for the nodes within them.
+
+    A node with two neighbours, other than the start, lies within a chain (`inner`): from an edge into it only one edge goes
+    on. Each round joins what follows to what has been followed, so a chain of n edges takes log n rounds. Rings without any
+    end can't be reached from the start; they are what is left when a round ends no chain.
+    """
+    inner = inner.where("n = 2").select("at", "one", "other")
+    onward = F.when(F.col("one") == F.col("src"), F.col("other")).otherwise(F.col("one"))
+    first = ways.join(inner, F.col("dst") == F.col("at"), "left").select(
+        "src", "dst", F.coalesce("at", "src").alias("from"), F.when(F.col("at").isNotNull(), onward).otherwise(F.col("dst")).alias("to"),
+        F.when(F.col("at").isNotNull(), 2).otherwise(1).cast("bigint").alias("length"), F.col("at").isNotNull().alias("going"),
+    )
+    # An edge whose end is within a chain goes on with the edge (from, to), whose own length counts anew.
+    steps = first.join(inner.select(F.col("at").alias("to_inner")), F.col("to") == F.col("to_inner"), "left")
+    steps = steps.select("src", "dst", "from", "to", "length", (F.col("going") & F.col("to_inner").isNotNull()).alias("going"))
+    now, seen = cut_observed(steps, "chains", going=F.count_if("going"))
+    going = seen["going"] + 1
+    while 0 < seen["going"] < going:
+        going = seen["going"]
+        ahead = now.select(*[F.col(c).alias(f"{c}_") for c in now.columns])
+        met = now.where("going").join(ahead, (F.col("from") == F.col("src_")) & (F.col("to") == F.col("dst_")))
+        moved = met.select("src", "dst", F.col("from_").alias("from"), F.col("to_").alias("to"), (F.col("length") + F.col("length_") - 1).alias("length"), F.col("going_").alias("going"))
+        now, seen = cut_observed(now.where("NOT going").union(moved), "chains", going=F.count_if("going"))
+    ended = now.where("NOT going")
+    outer = ended.join(inner.select(F.col("at").alias("src")), "src", "left_anti")
+    edges = outer.where("src <> to").groupBy("src", F.col("to").alias("dst")).agg(F.min("length").alias("length"))
+    within = ended.join(inner.select(F.col("at").alias("src")), "src", "left_semi").select(F.col("src").alias("node"), F.col("to").alias("stop"), "length")
+    return edges, within
+
+
 def hops(edges: DataFrame, start: str) -> DataFrame:
-    """(node, hops): fewest edges from `start`, in either direction.
+    """(node, hops): fewest edges from `start`, in either direction; no row if the start has no edge.
 
-    One round per level; each level is a written table, so the plan of a round stays one join long. A
-    neighbour of a level lies in the level before it, in itself or in the next one, so only two levels have
-    to be subtracted.
+    Nodes with one neighbour lead nowhere and are left out until the end. Chains are followed by doubling first and count as
+    one edge of their length, so rounds are as many as there are branchings on the way, not edges. Each round reads the last level and the edges that can still better something, and
+    writes what it has bettered as the next level.
     """
     spark = edges.sparkSession
-    ways = cut(both_ways(edges), "ways")
+    ways = inward = cut(both_ways(edges), "ways")
+    sides, seen = _sides(ways, start)
+    tips = sides.where("n = 1").select(F.col("at").alias("node"), F.col("one").alias("stop")) if seen["tips"] else None
+    if tips is not None:
+        inward = ways.join(tips.select(F.col("node").alias("dst")), "dst", "left_anti").join(tips.select(F.col("node").alias("src")), "src", "left_anti")
+        inward = cut(inward.select("src", "dst"), "inward")
+        sides, seen = _sides(inward, start)
+    between, within = inward.withColumn("length", F.lit(1).cast("bigint")), None
+    if seen["inner"]:
+        between, within = _chain_spans(inward, sides)
+    levels, still = Levels(spark, "hops"), OpenEdges(between)
     first = spark.range(1).select(F.lit(start).alias("node"), F.lit(0).cast("bigint").alias("hops"))
-    level, seen = cut_observed(first.join(ways, F.col("node") == F.col("src"), "left_semi"), "hops", rows=F.count(F.lit(1)))
-    before, levels = level.limit(0), [level]
-    while seen["rows"]:
-        known = before.select("node").unionByName(level.select("node"))
-        found = ways.join(level, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct()
-        fresh = found.join(known, "node", "left_anti").withColumn("hops", F.lit(len(levels)).cast("bigint"))
-        before = level
-        level, seen = cut_observed(fresh, "hops", rows=F.count(F.lit(1)))
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+    levels.add(first.join(ways, F.col("node") == F.col("src"), "left_semi"))
+    figures = {"rows": 1}
+    while figures["rows"]:
+        last = levels.level(levels.depth - 1)
+        known = levels.all().groupBy("node").agg(F.min("hops").alias("known"))
+        found = still.edges.join(last, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("hops") + F.col("length")).alias("hops"))
+        better = found.join(known, "node", "left").where("known IS NULL OR hops < known").select("node", "hops")
+        figures = levels.add(better, least=F.min("hops"))
+        if figures["rows"]:
+            # What is reached with no more hops than any later level can bring stays as it is.
+            done = levels.all().groupBy("node").agg(F.min("hops").alias("hops")).where(F.col("hops") <= figures["least"] + 1)
+            still.settle(figures["rows"], done)
+    found = levels.all().groupBy("node").agg(F.min("hops").alias("hops"))
+    if within is not None:
+        ends = found.select(F.col("node").alias("stop"), F.col("hops").alias("before"))
+        found = found.union(within.join(ends, "stop").groupBy("node").agg(F.min(F.col("before") + F.col("length")).alias("hops")))
+    if tips is not None:
+        found = cut(found, "hops")
+        found = found.union(tips.join(found.select(F.col("node").alias("stop"), "hops"), "stop").select("node", (F.col("hops") + 1).alias("hops")))
+    return found
 
 
 def hub_clusters(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Inputs are extracts of `information_schema`, `pg_catalog` or CUBRID catalogue tables as DataFrames with
 lower-case column names, read by `spark.read.jdbc` or from files. An extract over several schemas has a `table_schema`
-column; where it is there, columns and keys are told apart by it and carry it in front.
+column; where it is there, a table is the pair of its schema and its name: tables, columns and keys are told apart by both and
+carry the schema in front, relations carry `child_schema` and `parent_schema`.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ def _schema_of(df: DataFrame) -> list[str]:
 def import_tables(classes: DataFrame, comments: DataFrame) -> DataFrame:
     """(table_name, comment) of ordinary, non-system tables.
 
-    classes(oid, relname, relkind), comments(oid, comment).
+    classes(oid, relname, relkind[, table_schema]), comments(oid, comment).
     """
     own = classes.where((F.col("relkind") == "r") & ~F.col("relname").rlike("^(pg_|sql_)"))
-    return own.join(comments, "oid", "left").select(F.col("relname").alias("table_name"), "comment")
+    return own.join(comments, "oid", "left").select(*_schema_of(classes), F.col("relname").alias("table_name"), "comment")
 
 
 def import_class_names(classes: DataFrame) -> DataFrame:
@@ -55,12 +56,20 @@ def import_columns(columns: DataFrame, *more: Column) -> DataFrame:
 
 
 def import_relations(key_usage: DataFrame, constraints: DataFrame) -> DataFrame:
-    """Foreign keys of KEY_COLUMN_USAGE; the constraint is found by schema, table and name."""
+    """Foreign keys of KEY_COLUMN_USAGE; the constraint is found by schema, table and name.
+
+    Usage with a `referenced_table_schema` keeps the schemas of both ends.
+    """
+    child_schema = parent_schema = []
+    if "referenced_table_schema" in key_usage.columns:
+        child_schema, parent_schema = [F.col("table_schema").alias("child_schema")], [F.col("referenced_table_schema").alias("parent_schema")]
     fk = constraints.where("constraint_type = 'FOREIGN KEY'").select("table_schema", "table_name", "constraint_name")
     return key_usage.join(fk, ["table_schema", "table_name", "constraint_name"], "left_semi").select(
         "constraint_name",
+        *child_schema,
         F.col("table_name").alias("child"),
         F.col("column_name").alias("child_column"),
+        *parent_schema,
         F.col("referenced_table_name").alias("parent"),
         F.col("referenced_column_name").alias("parent_column"),
     )
@@ -69,29 +78,24 @@ def import_relations(key_usage: DataFrame, constraints: DataFrame) -> DataFrame:
 def import_relations_pg(constraints: DataFrame, key_usage: DataFrame, column_usage: DataFrame) -> DataFrame:
     """Foreign keys from key_column_usage (child) and constraint_column_usage (parent).
 
-    The parts of a multi-column key are paired by ordinal, not crossed.
+    The parts of a multi-column key are paired by ordinal, not crossed. The constraint is found by its schema and name, and by
+    its table where both extracts have one schema for it; usages with a `table_schema` keep the schemas of both ends.
     """
-    fk = constraints.where("constraint_type = 'FOREIGN KEY'").select("constraint_schema", "constraint_name")
-    child = key_usage.select(
-        "constraint_schema",
-        "constraint_name",
-        F.col("ordinal_position").alias("_part"),
-        F.col("table_name").alias("child"),
-        F.col("column_name").alias("child_column"),
-    )
-    parent = column_usage.select(
-        "constraint_schema",
-        "constraint_name",
-        F.col("ordinal_position").alias("_part"),
-        F.col("table_name").alias("parent"),
-        F.col("column_name").alias("parent_column"),
-    )
     name = ["constraint_schema", "constraint_name"]
-    return (
-        child.join(fk, name, "left_semi")
-        .join(parent, [*name, "_part"])
-        .select("constraint_name", "child", "child_column", "parent", "parent_column")
-    )
+    by_table = ["table_schema", "table_name"] if all("table_schema" in df.columns for df in (constraints, key_usage)) else []
+    fk = constraints.where("constraint_type = 'FOREIGN KEY'").select(*name, *by_table)
+
+    def end(usage: DataFrame, side: str) -> DataFrame:
+        schema = [F.col(c).alias(f"{side}_schema") for c in _schema_of(usage)]
+        return usage.select(
+            *name, F.col("ordinal_position").alias("_part"), *schema, F.col("table_name").alias(side), F.col("column_name").alias(f"{side}_column")
+        )
+
+    child = end(key_usage.join(fk, [*name, *by_table], "left_semi"), "child")
+    parent = end(column_usage, "parent")
+    schemas = [c for c in ("child_schema", "parent_schema") if c in [*child.columns, *parent.columns]]
+    kept = ["constraint_name", *schemas[:1], "child", "child_column", *schemas[1:], "parent", "parent_column"]
+    return child.join(parent, [*name, "_part"]).select(*kept)
 
 
 def key_type(name: Column, non_unique: Column, index_type: Column) -> Column:
@@ -120,14 +124,19 @@ def import_keys(statistics: DataFrame) -> DataFrame:
 
 def import_keys_pg(constraints: DataFrame, key_usage: DataFrame) -> DataFrame:
     """(table_name, key_name, key_type, part, column_name); CHECK and FOREIGN KEY are no keys."""
+    scope = _schema_of(constraints)
     kept = constraints.where("constraint_type NOT IN ('FOREIGN KEY', 'CHECK')").select(
         "constraint_schema",
         "constraint_name",
-        F.col("table_name").alias("table_name"),
+        *scope,
+        "table_name",
         F.when(F.col("constraint_type") == "PRIMARY KEY", "PRIMARY").otherwise(F.col("constraint_type")).alias("key_type"),
     )
-    used = key_usage.select("constraint_schema", "constraint_name", "ordinal_position", "column_name")
-    return kept.join(used, ["constraint_schema", "constraint_name"], "left").select(
+    by_table = [*scope, "table_name"] if scope and _schema_of(key_usage) else []
+    on = ["constraint_schema", "constraint_name", *by_table]
+    used = key_usage.select(*on, "ordinal_position", "column_name")
+    return kept.join(used, on, "left").select(
+        *scope,
         "table_name",
         F.col("constraint_name").alias("key_name"),
         "key_type",
@@ -144,19 +153,21 @@ def drop_not_null_checks(constraints: DataFrame) -> DataFrame:
 def import_index_columns(indexes: DataFrame, classes: DataFrame, attributes: DataFrame) -> DataFrame:
     """(table_name, key_name, key_type, part, column_name) of plain indexes.
 
-    indexes(indexrelid, indrelid, indkey array, indisunique, indisprimary), classes(oid, relname),
+    indexes(indexrelid, indrelid, indkey array, indisunique, indisprimary), classes(oid, relname[, table_schema]),
     attributes(attrelid, attnum, attname). Unique and primary indexes are constraints already.
     """
     plain = indexes.where("NOT indisunique AND NOT indisprimary")
     parts = plain.select("indexrelid", "indrelid", F.posexplode("indkey").alias("_pos", "attnum"))
     name = classes.select(F.col("oid").alias("indexrelid"), F.col("relname").alias("key_name"))
-    table = classes.select(F.col("oid").alias("indrelid"), F.col("relname").alias("table_name"))
+    scope = _schema_of(classes)
+    table = classes.select(F.col("oid").alias("indrelid"), *scope, F.col("relname").alias("table_name"))
     attribute = attributes.select(F.col("attrelid").alias("indrelid"), "attnum", F.col("attname").alias("column_name"))
     return (
         parts.join(attribute, ["indrelid", "attnum"])
         .join(name, "indexrelid")
         .join(table, "indrelid")
         .select(
+            *scope,
             "table_name",
             "key_name",
             F.lit("INDEX").alias("key_type"),

@@ -51,9 +51,13 @@ def design_from_keys(primary_keys: DataFrame, foreign_keys: DataFrame) -> Design
 def import_catalog(
     tables: DataFrame, columns: DataFrame, key_usage: DataFrame, constraints: DataFrame, statistics: DataFrame
 ) -> Design:
-    """The design of a MySQL `information_schema`: TABLES, COLUMNS, KEY_COLUMN_USAGE, TABLE_CONSTRAINTS, STATISTICS."""
+    """The design of a MySQL `information_schema`: TABLES, COLUMNS, KEY_COLUMN_USAGE, TABLE_CONSTRAINTS, STATISTICS.
+
+    Extracts over several schemas have a `table_schema` (and key usage a `referenced_table_schema`); the design then tells
+    tables apart by it.
+    """
     return Design(
-        _tables(tables.select("table_name", F.nullif("table_comment", F.lit("")).alias("comment"))),
+        _tables(tables.select(*_scope(tables), "table_name", F.nullif("table_comment", F.lit("")).alias("comment"))),
         _columns(columns),
         importing.import_relations(key_usage, constraints).drop("constraint_name"),
         _placed(importing.import_keys(statistics)),
@@ -70,22 +74,29 @@ def import_catalog_pg(
     indexes: DataFrame,
     attributes: DataFrame,
 ) -> Design:
-    """The design of a PostgreSQL catalogue: `pg_class`, its comments, `information_schema`, `pg_index`, `pg_attribute`."""
+    """The design of a PostgreSQL catalogue: `pg_class`, its comments, `information_schema`, `pg_index`, `pg_attribute`.
+
+    Over several schemas, all but comments, indexes and attributes have a `table_schema`, and tables are told apart by it.
+    """
     tables = importing.import_tables(classes, comments)
     own = _columns(columns.withColumns({"column_type": F.col("data_type"), "extra": F.lit("")}))
     keys = importing.import_keys_pg(constraints, key_usage).where("column_name IS NOT NULL")
     plain = importing.import_index_columns(indexes, classes, attributes)
     return Design(
         _tables(tables),
-        own.join(tables.select("table_name"), "table_name", "left_semi"),
+        own.join(tables.select(*_scope(tables), "table_name"), [*_scope(tables), "table_name"], "left_semi"),
         importing.import_relations_pg(constraints, key_usage, column_usage).drop("constraint_name"),
         _placed(keys.unionByName(plain)),
     )
 
 
+def _scope(df: DataFrame) -> list[str]:
+    return [c for c in ("table_schema",) if c in df.columns]
+
+
 def _tables(named: DataFrame) -> DataFrame:
     nowhere = F.lit(None).cast("double")
-    return named.select("table_name", nowhere.alias("x"), nowhere.alias("y"), "comment")
+    return named.select(*_scope(named), "table_name", nowhere.alias("x"), nowhere.alias("y"), "comment")
 
 
 def _columns(columns: DataFrame) -> DataFrame:
@@ -97,6 +108,7 @@ def _columns(columns: DataFrame) -> DataFrame:
 
 def _placed(keys: DataFrame) -> DataFrame:
     """Keys with their position in the table, by name."""
-    names = keys.select("table_name", "key_name").distinct()
-    positions = number_rows(names, [F.col("key_name")], within=["table_name"], name="key_position", distinct_rows=True)
-    return keys.join(positions, ["table_name", "key_name"])
+    table = [*_scope(keys), "table_name"]
+    names = keys.select(*table, "key_name").distinct()
+    positions = number_rows(names, [F.col("key_name")], within=table, name="key_position", distinct_rows=True)
+    return keys.join(positions, [*table, "key_name"])

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.functions.text import column
-from keyweave.lineage import cut, cut_observed
+from keyweave.lineage import cut
+from keyweave.operators.graph import Levels, OpenEdges
+from keyweave.operators.keys import by_table_id
 
 EDGE_COLUMNS = ["edge_ord", "child", "child_columns", "parent", "parent_columns"]
 
@@ -16,9 +18,11 @@ EDGE_COLUMNS = ["edge_ord", "child", "child_columns", "parent", "parent_columns"
 def relations_as_edges(fk: DataFrame) -> DataFrame:
     """One edge per relation: (edge_ord, child, child_columns, parent, parent_columns).
 
-    Input is (edge_ord, child, child_column, parent, parent_column[, constraint_name]). With a constraint
-    name all its parts form one edge, in edge_ord order; without one each row is its own edge.
+    Input is (edge_ord, child, child_column, parent, parent_column[, constraint_name][, child_schema, parent_schema]). With a
+    constraint name all its parts form one edge, in edge_ord order; without one each row is its own edge. With schemas,
+    tables are named by `table_id`.
     """
+    fk = by_table_id(fk)
     if "constraint_name" not in fk.columns:
         return fk.select(
             "edge_ord",
@@ -51,25 +55,35 @@ def shortest_path(ways: DataFrame, start: str, end: str) -> DataFrame:
 
     Among paths of equal length the one with the smallest edge_ord list wins: it is the one a queue meets
     first when it takes the edges of a table in edge_ord order.
+
+    The search goes from `end` back to `start`, so each node it reaches needs one pointer, to the next node on the best way
+    to `end`; rows of all levels have the same width. The path is read from `start` on, one row of each level.
     """
     spark = ways.sparkSession
-    nowhere = F.array().cast("array<struct<edge_ord:bigint,table:string>>")
-    level = spark.range(1).select(F.lit(start).alias("node"), nowhere.alias("path"))
-    before, rows, arrived = level.limit(0), 1, start == end
-    while rows and not arrived:
-        step = F.struct(F.col("edge_ord").cast("bigint").alias("edge_ord"), F.col("dst").alias("table"))
-        steps = ways.join(level, F.col("src") == F.col("node")).select(
-            F.col("dst").alias("node"), F.array_append("path", step).alias("path")
-        )
-        best = steps.groupBy("node").agg(F.min("path").alias("path"))
+    levels = Levels(spark, "path")
+    nothing = [F.lit(None).cast("bigint").alias("edge_ord"), F.lit(None).cast("string").alias("next")]
+    arrived = F.count_if(F.col("node") == F.lit(start))
+    seen = levels.add(spark.range(1).select(F.lit(end).alias("node"), *nothing), arrived=arrived)
+    still = OpenEdges(ways.select("src", "dst", F.col("edge_ord").cast("bigint").alias("edge_ord"))) if not seen["arrived"] else None
+    while seen["rows"] and not seen["arrived"]:
+        last = levels.level(levels.depth - 1).select(F.col("node").alias("src"))
+        # An edge has both directions, so `dst` refers to `src` as well.
+        steps = still.edges.join(last, "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("edge_ord", "src")).alias("step"))
         # A neighbour of a level lies in the level before it, in itself or in the next one.
-        known = before.select("node").unionByName(level.select("node"))
-        before = level
-        level, seen = cut_observed(
-            best.join(known, "node", "left_anti"), "path", rows=F.count(F.lit(1)), arrived=F.count_if(F.col("node") == F.lit(end))
-        )
-        rows, arrived = seen["rows"], seen["arrived"] > 0
-    return level.where(F.col("node") == F.lit(end))
+        known = levels.level(levels.depth - 1).select("node")
+        if levels.depth > 1:
+            known = known.union(levels.level(levels.depth - 2).select("node"))
+        fresh = steps.join(known, "node", "left_anti").select("node", "step.edge_ord", F.col("step.src").alias("next"))
+        seen = levels.add(fresh, arrived=arrived)
+        if seen["rows"] and not seen["arrived"]:
+            still.settle(seen["rows"], levels.all())
+    path, node = [], start
+    for k in range(levels.depth - 1, 0, -1) if seen["arrived"] else ():
+        row = levels.level(k).where(F.col("node") == F.lit(node)).first()  # one row for each table on the path
+        path.append((row["edge_ord"], row["next"]))
+        node = row["next"]
+    rows = [(end, path)] if seen["arrived"] else []
+    return spark.createDataFrame(rows, "node string, path array<struct<edge_ord:bigint,table:string>>")
 
 
 def join_path_plan(edges: DataFrame, start: str, end: str) -> DataFrame:
@@ -105,7 +119,7 @@ def join_path(tables: Mapping[str, DataFrame], fk: DataFrame, start: str, end: s
 
     Columns are named `t0__col`, `t1__col`, ... in path order. The rows of the path are read by the driver to
     build the plan: one per table. Join order and strategy are left to the optimizer. With no path, the
-    result is `start` without rows.
+    result is `start` without rows. If the relations have schemas, `tables`, `start` and `end` go by `table_id`: `schema.table`.
     """
     steps = sorted(join_path_plan(relations_as_edges(fk), start, end).collect(), key=lambda row: row.step)
     if not steps:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyweave.operators.graph import degrees
+from keyweave.operators.graph import degree_shares
+from keyweave.operators.keys import by_table_id, table_id
 
 TABLE_SCHEMA = """
     _name STRING, _x DOUBLE, _y DOUBLE,
@@ -26,7 +28,9 @@ class Design:
     """tables(table_name, x, y, comment),
     columns(table_name, position, column_name, data_type, nullable, autoincrement, default, comment),
     relations(child, child_column, parent, parent_column),
-    keys(table_name, key_position, key_name, key_type, part, column_name)."""
+    keys(table_name, key_position, key_name, key_type, part, column_name).
+
+    Over several schemas, tables, columns and keys have a `table_schema`, relations a `child_schema` and a `parent_schema`."""
 
     tables: DataFrame
     columns: DataFrame
@@ -73,54 +77,79 @@ def read_design(spark: SparkSession, paths: str | Sequence[str]) -> Design:
     return Design(tables, columns, relations, keys)
 
 
-def write_design(design: Design, path: str) -> None:
-    """Write a design: tables by degree, columns by position with their relations, keys with their parts in order.
+def one_name(design: Design) -> Design:
+    """A design over several schemas with `table_id` as table names; others as they are."""
 
-    The format has one element for each table, so all its columns and keys meet in one row.
+    def named(df: DataFrame) -> DataFrame:
+        if "table_schema" not in df.columns:
+            return df
+        return df.withColumn("table_name", table_id(F.col("table_schema"), F.col("table_name"))).drop("table_schema")
+
+    return Design(named(design.tables), named(design.columns), by_table_id(design.relations), named(design.keys))
+
+
+def design_elements(design: Design) -> DataFrame:
+    """One row for each table, as the format nests it: by degree, columns by position with their relations, keys with their parts.
+
+    All that a table has meets in one shuffle by table; degrees are sums, which combine in the map tasks before it, so a table
+    that very many refer to costs a row for each task. Of a table given several times, the greatest (x, y, comment) counts;
+    relations of columns that do not exist are left out.
     """
-    target = F.struct(F.col("parent").alias("_table"), F.col("parent_column").alias("_row"))
-    targets = design.relations.groupBy("child", "child_column").agg(
-        F.array_sort(F.collect_list(target)).alias("relation")
-    )
-    with_targets = design.columns.join(
-        targets.select(F.col("child").alias("table_name"), F.col("child_column").alias("column_name"), "relation"),
-        ["table_name", "column_name"],
-        "left",
-    )
-    row = F.struct(
+    design = one_name(design)
+    column = F.struct(
+        F.col("position").alias("at"),
         F.col("column_name").alias("_name"),
         F.col("nullable").cast("int").alias("_null"),
         F.col("autoincrement").cast("int").alias("_autoincrement"),
         F.col("data_type").alias("datatype"),
         "default",
-        "relation",
         "comment",
     )
-    rows = with_targets.groupBy("table_name").agg(_in_order("position", row).alias("row"))
-
-    parts = design.keys.groupBy("table_name", "key_position", "key_name", "key_type").agg(
-        _in_order("part", F.col("column_name")).alias("part")
-    )
-    key = F.struct(F.col("key_type").alias("_type"), F.col("key_name").alias("_name"), "part")
-    keys = parts.groupBy("table_name").agg(_in_order("key_position", key).alias("key"))
-
-    degree = degrees(design.relations.select(F.col("child").alias("src"), F.col("parent").alias("dst")))
-    elements = (
-        design.tables.join(rows, "table_name", "full")
-        .join(keys, "table_name", "full")
-        .join(degree.select(F.col("node").alias("table_name"), "degree"), "table_name", "left")
-        .orderBy(F.desc(F.coalesce("degree", F.lit(0))), "table_name")
+    target = F.struct(F.col("child_column").alias("of"), F.col("parent").alias("_table"), F.col("parent_column").alias("_row"))
+    part = F.struct("key_position", F.col("key_type").alias("_type"), F.col("key_name").alias("_name"), "part", "column_name")
+    kinds = {
+        "table": design.tables.select("table_name", F.struct("x", "y", "comment").alias("v")),
+        "column": design.columns.select("table_name", column.alias("v")),
+        "relation": design.relations.select(F.col("child").alias("table_name"), target.alias("v")),
+        "part": design.keys.select("table_name", part.alias("v")),
+        "degree": degree_shares(design.relations.select(F.col("child").alias("src"), F.col("parent").alias("dst"))).select(
+            F.col("node").alias("table_name"), F.col("share").alias("v")
+        ),
+    }
+    types = {kind: df.schema["v"].dataType.simpleString() for kind, df in kinds.items()}
+    rows = None
+    for kind, df in kinds.items():
+        lined = df.select("table_name", *[F.col("v").alias(k) if k == kind else F.lit(None).cast(t).alias(k) for k, t in types.items()])
+        rows = lined if rows is None else rows.union(lined)
+    met = rows.groupBy("table_name").agg(
+        F.max("table").alias("table"),
+        F.array_sort(F.collect_list("column")).alias("columns"),
+        F.array_sort(F.collect_list("relation")).alias("relations"),
+        F.array_sort(F.collect_list("part")).alias("parts"),
+        F.sum("degree").alias("degree"),
     )
-    elements.select(
+    met = met.where(F.col("table").isNotNull() | (F.size("columns") > 0) | (F.size("parts") > 0))
+    targets = lambda c: F.transform(F.filter("relations", lambda r: r["of"] == c["_name"]), lambda r: F.struct(r["_table"], r["_row"]))
+    plain = ["_name", "_null", "_autoincrement", "datatype", "default"]
+    row = lambda c: F.struct(*[c[n].alias(n) for n in plain], targets(c).alias("relation"), c["comment"].alias("comment"))
+    same = lambda p, k: reduce(lambda x, y: x & y, [p[n].eqNullSafe(k[n]) for n in ("key_position", "_type", "_name")])
+    names = F.array_distinct(F.transform("parts", lambda p: F.struct(p["key_position"], p["_type"], p["_name"])))
+    key = lambda k: F.struct(k["_type"].alias("_type"), k["_name"].alias("_name"), F.transform(F.filter("parts", lambda p: same(p, k)), lambda p: p["column_name"]).alias("part"))
+    return met.select(
         F.col("table_name").alias("_name"),
-        F.col("x").alias("_x"),
-        F.col("y").alias("_y"),
-        "comment",
-        "row",
-        "key",
-    ).write.format("xml").option("rootTag", "sql").option("rowTag", "table").save(path)
+        F.col("table.x").alias("_x"),
+        F.col("table.y").alias("_y"),
+        F.col("table.comment").alias("comment"),
+        F.transform("columns", row).alias("row"),
+        F.transform(names, key).alias("key"),
+        F.coalesce("degree", F.lit(0)).alias("degree"),
+    )
 
 
-def _in_order(position: str, value: Column) -> Column:
-    listed = F.array_sort(F.collect_list(F.struct(F.col(position).alias("_at"), value.alias("_value"))))
-    return F.transform(listed, lambda item: item["_value"])
+def write_design(design: Design, path: str) -> None:
+    """Write a design, tables by degree; over several schemas, tables go by `table_id`.
+
+    The format has one element for each table, so all its columns and keys meet in one row.
+    """
+    elements = design_elements(design).orderBy(F.desc("degree"), "_name").drop("degree")
+    elements.write.format("xml").option("rootTag", "sql").option("rowTag", "table").save(path)

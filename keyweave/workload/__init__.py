@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from keyweave.workload import boxes, catalog, checks, design, graph, search, store
+from keyweave.workload import boxes, catalog, checks, design, graph, schemas, search, store
 
-FAMILIES = (search, checks, catalog, design, graph, boxes, store)
+FAMILIES = (search, checks, catalog, schemas, design, graph, boxes, store)
 
 
 def all_queries() -> dict:

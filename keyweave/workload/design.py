@@ -39,10 +39,17 @@ def order_design(spark, folder) -> Design:
     return Design(tables, columns, relations, keys)
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def _round_trip(spark, folder) -> Design:
-    path = new_folder(spark, "design")
-    write_design(order_design(spark, folder), path)
-    return read_design(spark, path)
+    """The design, written once for all queries of an application over one folder, and read."""
+    place = (spark.sparkContext.applicationId, folder)
+    if place not in _WRITTEN:
+        path = new_folder(spark, "design")
+        write_design(order_design(spark, folder), path)
+        _WRITTEN[place] = path
+    return read_design(spark, _WRITTEN[place])
 
 
 def design_from_key_files(spark, folder) -> Design:

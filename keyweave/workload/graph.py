@@ -75,6 +75,20 @@ def event_chain(spark, folder):
     return table(spark, folder, "events").select(_node("t", "event_id").alias("src"), _node("t", "user_id").alias("dst"))
 
 
+def document_line(spark, folder):
+    """Each document refers to the next one, and the event of a number to the document of its user: one long chain with fans."""
+    documents = table(spark, folder, "documents")
+    line = documents.select(_node("d", "doc_id").alias("src"), F.concat(F.lit("d"), (F.col("doc_id") + 1).cast("string")).alias("dst"))
+    return line.unionByName(table(spark, folder, "events").select(_node("e", "event_id").alias("src"), _node("d", "user_id").alias("dst")))
+
+
+def document_ring(spark, folder):
+    """As `document_line` without fans, closed to a ring by an edge from each hundredth document back to the first."""
+    documents = table(spark, folder, "documents")
+    line = documents.select(_node("d", "doc_id").alias("src"), F.concat(F.lit("d"), (F.col("doc_id") + 1).cast("string")).alias("dst"))
+    return line.unionByName(documents.where("doc_id % 100 = 0").select(_node("d", "doc_id").alias("src"), F.lit("d0").alias("dst")))
+
+
 def _customers(spark, folder):
     return table(spark, folder, "customer").select(_node("t", "c_custkey").alias("node"))
 
@@ -99,26 +113,37 @@ QUERIES = {
     "graph_table_stats": table_stats,
     "graph_hops": lambda s, d: graph.hops(relation_rows(s, d).select(F.col("child").alias("src"), F.col("parent").alias("dst")), "order_1"),
     "graph_hops_part_supplier": lambda s, d: graph.hops(part_supplier(s, d), "p1"),
+    "graph_hops_chain": lambda s, d: graph.hops(document_line(s, d), "d0"),
+    "graph_hops_ring": lambda s, d: graph.hops(document_ring(s, d), "d7"),
+    "graph_clusters_chain": lambda s, d: graph.hub_clusters(document_line(s, d)),
     "graph_clusters": lambda s, d: graph.hub_clusters(order_chain(s, d), _customers(s, d)),
     "graph_clusters_part_supplier": lambda s, d: graph.hub_clusters(part_supplier(s, d)),
 }
 
 
-def _hops_sql(edges: str, start: str, cap: int) -> str:
+def _hops_sql(edges: str, start: str) -> str:
+    """Rounds from the rows of the last one to what no round has reached, until one finds nothing."""
     return f"""
         WITH RECURSIVE e AS ({edges}),
         ways AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst),
-        reached(node, hops) AS (
+        reached(node, hops) USING KEY (node) AS (
             SELECT '{start}', 0::BIGINT
             UNION
-            SELECT dst, hops + 1 FROM reached JOIN ways ON node = src WHERE hops < {cap})
-        SELECT node, min(hops) AS hops FROM reached GROUP BY node"""
+            SELECT dst, min(hops + 1) FROM reached JOIN ways ON node = src
+            WHERE NOT EXISTS (SELECT 1 FROM recurring.reached r WHERE r.node = dst) GROUP BY dst)
+        SELECT node, hops FROM reached"""
 
 
 PART_SUPPLIER = "SELECT DISTINCT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem"
 ONE_SPACE = "SELECT concat('t', l_suppkey) AS src, concat('t', l_partkey) AS dst FROM lineitem"
 ORDER_CHAIN = "SELECT concat('t', o_orderkey) AS src, concat('t', o_custkey) AS dst FROM orders"
 EVENT_CHAIN = "SELECT concat('t', event_id) AS src, concat('t', user_id) AS dst FROM events"
+DOCUMENT_LINE = """
+    SELECT concat('d', doc_id) AS src, concat('d', doc_id + 1) AS dst FROM documents
+    UNION ALL SELECT concat('e', event_id), concat('d', user_id) FROM events"""
+DOCUMENT_RING = """
+    SELECT concat('d', doc_id) AS src, concat('d', doc_id + 1) AS dst FROM documents
+    UNION ALL SELECT concat('d', doc_id), 'd0' FROM documents WHERE doc_id % 100 = 0"""
 RELATION_ROWS = """
     SELECT concat('order_', o_orderkey) AS src, concat('customer_', o_custkey) AS dst FROM orders
     UNION ALL SELECT concat('order_', l_orderkey), concat('supplier_', l_suppkey) FROM lineitem
@@ -229,8 +254,11 @@ SQL = {
     "graph_table_stats": """
         SELECT concat('customer_', o_custkey) AS table_name, count(*) AS columns,
                max(length(concat(o_orderpriority, o_orderkey))) AS longest_name FROM orders GROUP BY 1""",
-    "graph_hops": _hops_sql(RELATION_ROWS, "order_1", 12),
-    "graph_hops_part_supplier": _hops_sql(PART_SUPPLIER, "p1", 8),
+    "graph_hops": _hops_sql(RELATION_ROWS, "order_1"),
+    "graph_hops_part_supplier": _hops_sql(PART_SUPPLIER, "p1"),
+    "graph_hops_chain": _hops_sql(DOCUMENT_LINE, "d0"),
+    "graph_hops_ring": _hops_sql(DOCUMENT_RING, "d7"),
+    "graph_clusters_chain": _clusters_sql(DOCUMENT_LINE),
     "graph_clusters": _clusters_sql(ORDER_CHAIN, CUSTOMERS),
     "graph_clusters_part_supplier": _clusters_sql(PART_SUPPLIER),
 }
