@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from keyweave.functions.text import column
 from keyweave.lineage import cut
 
-COPIES_PER_TASK = 100_000
+COPIES_PER_ROW = 1_000  # of a row that occurs more often, several rows are placed
 
 
 def running_sums(
@@ -64,35 +64,23 @@ def number_rows(
 ) -> DataFrame:
     """Add `name`: 1, 2, ... in `order_by` order inside each `within` group.
 
-    Equal order keys are ordered by a hash of the row. Exact copies are counted before the shuffle and
-    spread out again at the end, so a row with very many copies never fills one partition; pass
+    Equal order keys are ordered by a hash of the row. Exact copies are counted before the shuffle, placed by thousands and
+    spread out at the end, so a row with very many copies never fills one partition; pass
     `distinct_rows=True` when there are none to save that step.
     """
     columns = df.columns
     one = F.lit(1).cast("bigint")
+    tie = F.xxhash64(*[column(c) for c in columns])
     if distinct_rows:
-        counted = df.withColumn("_copies", one)
+        counted = df.withColumns({"_copies": one, "_before": F.lit(0).cast("bigint")})
     else:
-        counted = df.groupBy(*[column(c) for c in columns]).agg(F.count(F.lit(1)).alias("_copies"))
-    tie = F.xxhash64(*[column(c) for c in columns])
-    summed = running_sums(counted, [*order_by, tie], within, {"_last": "_copies"})
+        counted = df.groupBy(*[column(c) for c in columns]).agg(F.count(F.lit(1)).alias("_all"))
+        step = F.lit(COPIES_PER_ROW).cast("bigint")
+        starts = F.sequence(F.lit(0).cast("bigint"), F.col("_all") - 1, step)
+        counted = counted.select(*[column(c) for c in columns], "_all", F.explode(starts).alias("_before"))
+        counted = counted.withColumn("_copies", F.least(step, F.col("_all") - F.col("_before"))).drop("_all")
+    summed = running_sums(counted, [*order_by, tie, F.col("_before")], within, {"_last": "_copies"})
     if distinct_rows:
         return summed.select(*[column(c) for c in columns], F.col("_last").alias(name))
-    return _spread_copies(summed, columns, name)
-
-
-def _spread_copies(df: DataFrame, names: list[str], name: str) -> DataFrame:
-    columns = [column(c) for c in names]
-    first = F.col("_last") - F.col("_copies") + 1
-    step = F.lit(COPIES_PER_TASK).cast("bigint")
-    few = df.where(F.col("_copies") <= COPIES_PER_TASK).select(
-        *columns, F.explode(F.sequence(first, F.col("_last"))).alias(name)
-    )
-    chunk_end = F.least(F.col("_from") + (COPIES_PER_TASK - 1), F.col("_last"))
-    many = (
-        df.where(F.col("_copies") > COPIES_PER_TASK)
-        .select(*columns, "_last", F.explode(F.sequence(first, F.col("_last"), step)).alias("_from"))
-        .repartition(F.xxhash64(*columns), "_from")
-        .select(*columns, F.explode(F.sequence("_from", chunk_end)).alias(name))
-    )
-    return few.unionByName(many)
+    places = F.sequence(F.col("_last") - F.col("_copies") + 1, F.col("_last"))
+    return summed.select(*[column(c) for c in columns], F.explode(places).alias(name))

@@ -109,14 +109,32 @@ def _hits(rows: DataFrame, tests: Mapping[str, Column]) -> DataFrame:
     return long.where("match_count > 0")
 
 
+def _row_hash(rows: DataFrame) -> Column:
+    """A hash of the whole row; maps, which have no hash of their own, count as their text."""
+    is_map = lambda kind: "map<" in kind
+    return F.xxhash64(*[F.to_json(F.struct(column(c))) if is_map(kind) else column(c) for c, kind in rows.dtypes])
+
+
 def _sample_rows(rows: DataFrame, tests: Mapping[str, Column], key: Sequence[str], samples: int) -> DataFrame:
-    """(_hit, _row): up to `samples` rows of each column in key order; equal keys in the order of a hash of the row."""
+    """(_hit, _row): up to `samples` rows of each column in key order; equal keys in the order of a hash of the row.
+
+    Only keys and hashes are ranked. The rows they belong to are then fetched from a second scan: the list of them is as long
+    as `samples` times the number of columns at most, so it is sent to all tasks and no whole row is sorted.
+    """
     hit_columns = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
-    whole = F.struct(*[column(c) for c in rows.columns])
-    keys = F.struct(*[column(k).alias(f"k{i}") for i, k in enumerate(key)], F.xxhash64(F.to_json(whole)).alias("hash"))
-    per_hit = rows.select(F.explode(hit_columns).alias("_hit"), keys.alias("_key"), whole.alias("_row"))
+    keys = {f"_k{i}": column(k) for i, k in enumerate(key)} | {"_hash": _row_hash(rows)}
+    if not tests:
+        return rows.select(F.lit("").alias("_hit"), F.struct(*[column(c) for c in rows.columns]).alias("_row")).where(F.lit(False))
+    per_hit = rows.select(F.explode(hit_columns).alias("_hit"), *[c.alias(n) for n, c in keys.items()])
     # A limit on row_number is applied in each map task first, so at most `samples` rows of a column
     # leave a task however many rows match.
-    order = Window.partitionBy("_hit").orderBy("_key")
+    order = Window.partitionBy("_hit").orderBy(*keys)
     top = per_hit.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= samples)
-    return top.select("_hit", "_row")
+    chosen = top.groupBy("_hit", *keys).agg(F.count(F.lit(1)).alias("_copies"))
+    wanted = chosen.select("_hit", "_copies", *[F.col(n).alias(f"{n}_") for n in keys])
+    named = rows.where(reduce(lambda a, b: a | b, tests.values())).select(*[c.alias(n) for n, c in keys.items()], F.struct(*[column(c) for c in rows.columns]).alias("_row"))
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in keys])
+    met = named.join(F.broadcast(wanted), same)
+    # Copies are one row here; `collect_set` has one element and makes the grouping one by hash.
+    found = met.groupBy("_hit", *keys).agg(F.first("_row").alias("_row"), F.collect_set("_copies").alias("_n"))
+    return found.select("_hit", F.explode(F.array_repeat("_row", F.element_at("_n", 1).cast("int"))).alias("_row"))
