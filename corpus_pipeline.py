@@ -21,14 +21,17 @@ from keyweave.llm.secrets import mask_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts that the quality rules keep."""
     return apply_quality_rules(docs).where("kept").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One text of each group of near copies."""
     return one_of_each_group(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts without a passage of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return find_benchmark(docs, benchmark).where("NOT contaminated").select(*docs.columns)
 
@@ -39,6 +42,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of the pieces of each text, how many there are, and whether they decode to the text."""
     encoded = encode_and_decode(docs.select("doc_id", "lang", "source", "text"), tokenizer_file())
     return encoded.select("doc_id", "lang", "source", "ids", (F.size("ids").cast("long")).alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 

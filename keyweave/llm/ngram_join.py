@@ -397,11 +397,39 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", rule:
 
 
 def one_of_each_group(df: DataFrame, id: str = "doc_id", text: str = "text", rule: Similarity = Similarity()) -> DataFrame:
-    """The rows of `df` without near copies: of each group the one with the smallest id stays, once.
+    """The rows of `df` without near copies: of each group one row stays, that with the smallest (id, class).
 
-    A row with a null id can't be named, so it stays.
+    An id may name several rows with different texts. They are told apart by the class of their text, made again for the rows of
+    such ids alone, so each text stays or goes with its own group. Of rows that agree in id and class the one with the
+    smallest text stays; so do, for each id, one row of its empty texts. A row with a null id can't be named, so it stays.
     """
-    groups = similar_groups(df.where(column(id).isNotNull()), id, text, rule)
-    kept = cut(groups.where(column(id) == F.col("component_id")).select(column(id)).distinct(), "kept")
-    named = df.join(kept, id, "left_semi").dropDuplicates([id])
-    return named.unionByName(df.where(column(id).isNull()))
+    named = df.where(column(id).isNotNull())
+    members, links = join_similar(named, id, text, rule)
+    roots = components(links)
+    grouped = members.where("cls IS NOT NULL").join(roots, F.col("cls") == F.col("node"), "left")
+    chosen = grouped.groupBy(F.coalesce("root", "cls")).agg(F.min(F.struct("id", "cls")).alias("first")).select("first.id", "first.cls")
+    kept = cut(chosen.union(members.where("cls IS NULL").select("id", "cls").distinct()), "kept")
+    several = cut(members.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "several")
+    sole = kept.join(several, "id", "left_anti").select(F.col("id").alias("_kept_id"))
+    alone = named.join(sole, column(id) == F.col("_kept_id"), "left_semi")
+    if several.isEmpty():
+        return alone.unionByName(df.where(column(id).isNull()))
+    again = several.select(F.col("id").alias("_kept_id"))
+    rows = named.join(again, column(id) == F.col("_kept_id"), "left_semi")
+    whole = F.struct(*[column(c) for c in df.columns])
+    classed = _with_class(rows.select(column(id).alias("id"), column(text).cast("string").alias("text"), whole.alias("row")), rule.shingle)
+    least = classed.groupBy("id", "cls").agg(F.min_by("row", F.struct("text", F.xxhash64("row"))).alias("row"))
+    wanted = kept.select(F.col("id").alias("i"), F.col("cls").alias("c"))
+    found = least.join(wanted, (F.col("id") == F.col("i")) & F.col("cls").eqNullSafe(F.col("c")), "left_semi").select("row.*")
+    return alone.unionByName(found).unionByName(df.where(column(id).isNull()))
+
+
+def _with_class(rows: DataFrame, k: int) -> DataFrame:
+    """Add `cls`, as `sets_of` numbers the classes, to rows with a `text`."""
+
+    @F.arrow_udf(returnType="bigint")
+    def of(texts: pa.Array) -> pa.Array:
+        found = (shingle_set(spaced_words(t.as_py()), k) for t in texts)
+        return pa.array([class_of(s) if len(s) else None for s in found], pa.int64())
+
+    return rows.withColumn("cls", of("text"))

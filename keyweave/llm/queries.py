@@ -51,7 +51,8 @@ def op1_language_model(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = apply_quality_rules(_documents(spark, folder).select("doc_id", "text", "lang"), keep_text=False)
-    return judged.drop("lang")
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*first, *[c for c in judged.columns if c not in [*first, "lang"]])
 
 
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,9 +91,10 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     spans = F.col("secret_spans")
     return find_secrets(_documents(spark, folder).select("doc_id", "text")).select(
         "doc_id",
-        *[count_of(spans, kind).alias(f"n_{kind}") for kind in SECRET_KINDS],
+        *[count_of(spans, kind).alias(f"n_{kind}") for kind in SECRET_KINDS[:3]],
         base_digest(spans, SECRET_KINDS[:3]).alias("base_sha256"),
         spans_text(spans).alias("spans"),
+        *[count_of(spans, kind).alias(f"n_{kind}") for kind in SECRET_KINDS[3:]],
     )
 
 
@@ -137,9 +139,10 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = find_personal_data(_documents(spark, folder).select("doc_id", "text"), keep_text=False)
     return found.select(
         "doc_id",
-        *[count_of(spans, kind).alias(f"n_{kind}") for kind in PERSONAL_KINDS],
+        *[count_of(spans, kind).alias(f"n_{kind}") for kind in PERSONAL_KINDS[:4]],
         base_digest(spans, PERSONAL_KINDS[:4]).alias("base_sha256"),
         spans_text(spans).alias("spans"),
+        *[count_of(spans, kind).alias(f"n_{kind}") for kind in PERSONAL_KINDS[4:]],
     )
 
 

@@ -8,6 +8,7 @@ one out. The highest window decides. Allow-listed shapes (paths, identifiers in
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log2
 
@@ -29,6 +30,8 @@ LEAST = 20  # characters of a candidate, and of a run of one class in it
 #: With its padding; a run right before `=` and a value is the value's name.
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-])|(?!=[A-Za-z0-9+/_-]))")
 
+_URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+""")
+
 SPAN = "struct<kind: string, start: int, end: int>"
 
 
@@ -50,13 +53,14 @@ class EntropyRule:
         CharacterClass("url64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_=", 3.8),
     )
     #: Whole candidates that are no secrets: without a digit or without letters (words and plain numbers), repeated
-    #: identifiers (UUIDs), and words joined by separators.
+    #: identifiers (UUIDs), words joined by separators, and capitalised words and years run together.
     allowed: tuple[str, ...] = (
         r"[^0-9]*",
         r"[^A-Za-z]*",
         r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
         r"[A-Za-z]*([/_+-]+([A-Za-z]+|[0-9]+))*[/_+-]*",
         r"[A-Za-z]+[0-9]{1,4}=*",
+        r"[a-z]*([A-Z][a-z]{2,}|[0-9]{1,4})+",
     )
 
 
@@ -117,14 +121,27 @@ class SecretFinder:
                 found.append((start, end))
         return found
 
+    def candidates(self, text: str) -> Iterator[tuple[int, str]]:
+        """Candidates with their places; those in a URL are cut at `/`, for the parts of a path are no one string."""
+        urls = [m.span() for m in _URL.finditer(text)] if "://" in text else []
+        k = 0
+        for m in _CANDIDATE.finditer(text):
+            while k < len(urls) and urls[k][1] <= m.start():
+                k += 1
+            if k == len(urls) or m.start() < urls[k][0]:
+                yield m.start(), m[0]
+                continue
+            for part in re.finditer(rf"[^/]{{{LEAST},}}", m[0]):
+                yield m.start() + part.start(), part[0]
+
     def spans(self, text: str | None) -> list[dict]:
         """All spans by start and kind; a string of high entropy counts where no base span touches it."""
         if not text:
             return []
         found = self.base(text)
-        for m in _CANDIDATE.finditer(text):
-            for start, end in self.secrets(m[0]):
-                start, end = m.start() + start, m.start() + end
+        for at, candidate in self.candidates(text):
+            for start, end in self.secrets(candidate):
+                start, end = at + start, at + end
                 if not any(s < end and start < e for s, e, _ in found):
                     found.append((start, end, "entropy"))
         found.sort(key=lambda x: (x[0], KINDS.index(x[2])))

@@ -70,6 +70,16 @@ def test_one_of_each_group(spark, texts):
     assert kept[0].component_id == "own"
 
 
+def test_one_id_with_several_texts(spark):
+    """A text stays with its own group, whatever other texts its id names."""
+    rows = [(1, "a b c d e f"), (1, "g h i j k l"), (2, "g h i j k l"), (0, "a b c d e f"), (1, "m n o p q r"), (1, "M n o p  q r"), (1, None), (1, ""), (3, None), (2, "s t u v w x")]
+    df = spark.createDataFrame([(*r, "own") for r in rows], "doc_id bigint, text string, cls string")
+    kept = sorted((r.doc_id, r.text or "") for r in one_of_each_group(df).collect())
+    assert kept == [(0, "a b c d e f"), (1, ""), (1, "M n o p  q r"), (1, "g h i j k l"), (2, "s t u v w x"), (3, "")]
+    again = sorted((r.doc_id, r.text or "") for r in one_of_each_group(df.repartition(7)).collect())
+    assert again == kept
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "g h i j k l"), (None, "a b c d e f"), (7, "g h i j k l")]
     found = similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()

@@ -40,3 +40,13 @@ def test_stages_keep_the_columns(spark, texts, folder):
 def test_stages_take_the_kinds_in_order():
     names = [re.sub("[^a-z]", "", name.lower()) for name, _ in corpus_pipeline.STAGES]
     assert [n[:7] for n in names] == ["quality", "ngramja", "benchma", "secrets", "sentenc"]
+
+
+def test_stages_on_an_empty_table_null_ids_and_repeated_ids(spark, texts, folder):
+    none = texts([])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, folder).collect() == []
+    docs = spark.createDataFrame([(None, "one text", "en", "s", 8), (1, "one text", "en", "s", 8), (1, "quite another text", "en", "s", 18), (None, None, None, None, None)], none.schema)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        found = sorted((r.doc_id or 0, r.source or "") for r in stage(spark, docs, folder).collect())
+        assert found == [(0, ""), (0, "s"), (1, "s"), (1, "s")], name

@@ -84,3 +84,11 @@ def test_long_text_and_empty_table(texts):
     row = find_secrets(texts([text])).collect()[0]
     assert [s.start for s in row.secret_spans] == [1_000_000]
     assert find_secrets(texts([])).collect() == []
+
+
+def test_the_parts_of_a_url_are_judged_alone():
+    finder = SecretFinder(EntropyRule())
+    assert finder.spans("see https://example.com/path/ArticleTitle2021WithLongName/page12345 now") == []
+    key = "wJalrXUtnFEMI7K7MDENGbPxRfiCYEXAMPLEKEY"
+    text = f"https://h.example/a_b/v1/{key}/x and {key}"
+    assert [text[s["start"] : s["end"]] for s in finder.spans(text)] == [key, key]
