@@ -70,5 +70,13 @@ def url_text(text: Column) -> Column:
     return F.try_url_decode(text)
 
 
+def url_part(text: Column) -> Column:
+    """Text as a part of a URL: all but letters, digits and `- _ . ! ~ * ' ( )` as `%xx` of its bytes."""
+    encoded = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for kept in "!'()~":
+        encoded = F.replace(encoded, F.lit(f"%{ord(kept):02X}"), F.lit(kept))
+    return encoded
+
+
 def snap(value: Column, step: int) -> Column:
     return F.round(value / step) * step

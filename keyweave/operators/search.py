@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyweave.functions.text import column, parse_list
+from keyweave.operators.catalog import find_tables
 
 HITS = T.StructType([T.StructField("column_name", T.StringType()), T.StructField("match_count", T.LongType())])
 
@@ -100,6 +101,42 @@ def search_tables(tables: Mapping[str, DataFrame], value: str, **options) -> Dat
     return reduce(DataFrame.unionByName, found)
 
 
+@dataclass(frozen=True)
+class TableSearch:
+    """How one table is searched: each has its own filter, key for samples and columns to leave out."""
+
+    row_filter: str | None = None
+    exclude: tuple[str, ...] | str = ()
+    key: tuple[str, ...] = ()
+    mode: str = "contains"
+    ignore_case: bool = False
+
+
+def search_indexed(
+    index: DataFrame, fragment: str, tables: Mapping[str, DataFrame], value: str, searches: Mapping[str, TableSearch] | None = None, samples: int = 5
+) -> tuple[DataFrame, DataFrame]:
+    """Hits and samples over the tables of a catalogue whose qualified name holds the fragment.
+
+    `tables` and `searches` go by `source.schema.table`; a table of the index that is not in `tables` is left out, one that is not
+    in `searches` is searched by the defaults. (table_name, column_name, match_count), and (table_name, column_name, row_json)
+    of the tables with a key. The names found are read by the driver, for a plan has a branch for each table.
+    """
+    named = [r["qualified_name"] for r in find_tables(index, fragment).select("qualified_name").distinct().orderBy("qualified_name").collect()]
+    hits = index.sparkSession.createDataFrame([], T.StructType([T.StructField("table_name", T.StringType()), *HITS]))
+    found = index.sparkSession.createDataFrame([], "table_name string, column_name string, row_json string")
+    for name in named:
+        if name not in tables:
+            continue
+        how = (searches or {}).get(name, TableSearch())
+        result = search_values(
+            tables[name], value, mode=how.mode, row_filter=how.row_filter, exclude=how.exclude, key=how.key, samples=samples, ignore_case=how.ignore_case, table=name
+        )
+        hits = hits.union(result.hits.select(F.lit(name).alias("table_name"), "column_name", "match_count"))
+        if result.samples is not None:
+            found = found.union(result.samples.select(F.lit(name).alias("table_name"), "column_name", "row_json"))
+    return hits, found
+
+
 def _hits(rows: DataFrame, tests: Mapping[str, Column]) -> DataFrame:
     if not tests:
         return rows.sparkSession.createDataFrame([], HITS)

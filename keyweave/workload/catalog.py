@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.functions.text import comma_list, delimiter_of, quote_literal, safe_name, snap, split_path, url_text
+from keyweave.functions.text import comma_list, delimiter_of, quote_literal, safe_name, snap, split_path, url_part, url_text
 from keyweave.lineage import new_folder
 from keyweave.operators import catalog, importing, keys
 from keyweave.sources.catalog_files import (
-    build_index, detect_delimiters, read_columns, read_foreign_keys, read_index, read_primary_keys, read_records, write_index,
+    build_index, detect_delimiters, find_datasets, read_columns, read_foreign_keys, read_index, read_primary_keys, read_records, write_index,
 )
 from keyweave.workload.tables import table
 
@@ -101,6 +104,42 @@ def catalog_delimiters(spark, folder):
     return both.groupBy(source.alias("source"), "sep").agg(F.sum("n").alias("n_records"))
 
 
+def catalog_datasets(spark, folder):
+    """A folder for each nation; those of the later regions hold a list of columns."""
+    nations = table(spark, folder, "nation")
+    path = new_folder(spark, "datasets")
+    lines = nations.select(F.concat_ws(",", F.lit("dbo"), "n_name", F.col("n_nationkey").cast("string")).alias("value"), "n_name", "n_regionkey")
+    lines.coalesce(1).write.partitionBy("n_regionkey", "n_name").text(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.globStatus(hadoop.Path(f"{path}/n_regionkey=[1-9]/*/part-*")):  # a file for each nation
+        files.rename(part.getPath(), hadoop.Path(part.getPath().getParent(), "columns.csv"))
+    found = [find_datasets(spark, f"{path}/n_regionkey={k}") for k in range(1, 5)]
+    return reduce(DataFrame.union, found).select("dataset", F.array_join("files", ",").alias("files"))
+
+
+def import_constraints(spark, folder):
+    """Constraints without the checks that only repeat NOT NULL."""
+    orders = table(spark, folder, "orders")
+    name = F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_totalprice") < 50_000, "_not_null").otherwise("_not_null_2"))
+    checks = orders.select(F.col("o_orderstatus").alias("constraint_schema"), name.alias("constraint_name"))
+    return importing.drop_not_null_checks(checks.union(orders.select("o_orderstatus", _named("fk_not_null_", "o_orderkey"))))
+
+
+def class_names(spark, folder):
+    classes = table(spark, folder, "customer").select(
+        F.col("c_name").alias("class_name"), F.when(F.col("c_acctbal") > 0, "CLASS").otherwise("VCLASS").alias("class_type"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "YES").otherwise("NO").alias("is_system_class"),
+    )
+    return importing.import_class_names(classes)
+
+
+def url_parts(spark, folder):
+    texts = table(spark, folder, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" a+b!~*'()é/?&")).alias("text"))
+    encoded = texts.select("conv_id", "turn", url_part(F.col("text")).alias("encoded"), "text")
+    return encoded.select("conv_id", "turn", "encoded", (url_text(F.col("encoded")) == F.col("text")).alias("decodes"))
+
+
 def catalog_read_index(spark, folder):
     path = new_folder(spark, "index")
     order_index(spark, folder).distinct().write.csv(path)
@@ -325,6 +364,10 @@ QUERIES = {
     "catalog_index": catalog_index,
     "catalog_read_index": catalog_read_index,
     "catalog_records": catalog_records,
+    "catalog_datasets": catalog_datasets,
+    "import_constraints": import_constraints,
+    "import_class_names": class_names,
+    "url_parts": url_parts,
     "catalog_index_round_trip": catalog_index_round_trip,
     "catalog_delimiters": catalog_delimiters,
     "catalog_find": lambda s, d: catalog.find_columns(order_index(s, d), "R_9"),
@@ -367,6 +410,15 @@ SQL = {
         SELECT role AS table_schema, concat('conv_', conv_id) AS table_name, concat('turn_', turn) AS column_name,
                CAST(length(text) AS VARCHAR) AS character_maximum_length, {SAID} AS said, CASE WHEN role = 'user' THEN '5' END AS last
         FROM conversations""",
+    "catalog_datasets": "SELECT concat('n_name=', n_name) AS dataset, 'columns.csv' AS files FROM nation WHERE n_regionkey > 0",
+    "import_constraints": """
+        SELECT o_orderstatus AS constraint_schema, concat(o_orderkey, '_not_null_2') AS constraint_name FROM orders WHERE o_totalprice >= 50000
+        UNION ALL SELECT o_orderstatus, concat('fk_not_null_', o_orderkey) FROM orders""",
+    "import_class_names": "SELECT c_name AS table_name FROM customer WHERE c_acctbal > 0 AND c_mktsegment <> 'BUILDING'",
+    "url_parts": """
+        SELECT conv_id, turn, true AS decodes,
+               replace(replace(replace(replace(replace(url_encode(concat(text, ' a+b!~*', chr(39), '()é/?&')), '%21', '!'), '%2A', '*'), '%27', chr(39)), '%28', '('), '%29', ')') AS encoded
+        FROM conversations""",
     "catalog_index_round_trip": f"""
         WITH turns AS (
             SELECT DISTINCT role AS source_schema, concat('conv_', conv_id) AS table_name, concat('turn_', turn) AS column_name, 'NO' AS is_nullable,

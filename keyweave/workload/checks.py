@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from keyweave.functions.text import parse_type
-from keyweave.functions.types import map_types
+from keyweave.functions.types import DIALECT_TYPES, map_types
 from keyweave.operators import checks
 from keyweave.operators.conform import DeclaredColumn, assign_ids, check_length, conform, fill_defaults
 from keyweave.plans.check_report import check_all
@@ -86,12 +86,40 @@ def type_map(spark, folder):
     return mapped.groupBy("spark_type", "mapped").agg(F.count(F.lit(1)).alias("n"))
 
 
+def dialect_types(dialect: str):
+    """Each line item declares a type of the dialect, in turn, some with a size, some in lower case, some unknown."""
+    names = sorted(DIALECT_TYPES[dialect])
+
+    def query(spark, folder):
+        name = F.element_at(F.array(*map(F.lit, names)), F.pmod("l_partkey", F.lit(len(names))).cast("int") + 1)
+        sized = F.when(F.col("l_linenumber") == 1, F.concat(name, F.lit("(6,2)"))).when(F.col("l_linenumber") == 2, F.lower(name)).otherwise(name)
+        declared = F.when(F.pmod("l_suppkey", F.lit(10)) == 0, "MYSTERY(3)").otherwise(sized)
+        mapped = map_types(table(spark, folder, "lineitem").select(declared.alias("data_type")), dialect)
+        return mapped.groupBy("data_type", "spark_type", "mapped").agg(F.count(F.lit(1)).alias("n"))
+
+    return query
+
+
+def dialect_types_sql(dialect: str) -> str:
+    rows = ", ".join(f"({i}, '{name}', '{base}')" for i, (name, base) in enumerate(sorted(DIALECT_TYPES[dialect].items())))
+    return f"""
+        WITH known(i, name, base) AS (VALUES {rows}),
+        declared AS (
+            SELECT CASE WHEN l_suppkey % 10 = 0 THEN 'MYSTERY(3)' WHEN l_linenumber = 1 THEN name || '(6,2)' WHEN l_linenumber = 2 THEN lower(name) ELSE name END AS data_type,
+                   l_suppkey % 10 <> 0 AS mapped, name, base, l_linenumber = 1 AS sized
+            FROM lineitem JOIN known ON i = l_partkey % {len(DIALECT_TYPES[dialect])})
+        SELECT data_type, CASE WHEN NOT mapped THEN 'STRING' WHEN base = 'DECIMAL' AND sized THEN 'DECIMAL(6,2)' WHEN base = 'DECIMAL' THEN 'DECIMAL(38,18)'
+                               WHEN name = 'BIT' AND base = 'BOOLEAN' AND sized THEN 'BINARY' ELSE base END AS spark_type,
+               mapped, count(*) AS n FROM declared GROUP BY ALL"""
+
+
 def autoincrement(spark, folder):
     events = table(spark, folder, "events").select("event_id", "ts", "user_id")
     return assign_ids(events, "new_id", [F.col("user_id"), F.desc("ts"), F.col("event_id")], table(spark, folder, "orders").select(F.col("o_orderkey").alias("new_id")))
 
 
 QUERIES = {
+    **{f"type_map_{dialect}": dialect_types(dialect) for dialect in DIALECT_TYPES},
     "check_pk_orders": lambda s, d: checks.check_primary_key(table(s, d, "orders"), ["o_orderkey"]),
     "check_pk_lineitem": lambda s, d: checks.check_primary_key(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]),
     "check_unique_part_name": lambda s, d: checks.check_unique(table(s, d, "part"), ["p_name"]),
@@ -144,6 +172,7 @@ LABELLED_SQL = "SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels US
 PAGE_NUMBERS_SQL = "SELECT page_id, regexp_extract(url, '/([^/]*)$', 1) AS page_number FROM pages"
 
 SQL = {
+    **{f"type_map_{dialect}": dialect_types_sql(dialect) for dialect in DIALECT_TYPES},
     "check_pk_orders": "SELECT o_orderkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1 OR o_orderkey IS NULL",
     "check_pk_lineitem": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "check_unique_part_name": "SELECT p_name, count(*) AS n FROM part WHERE p_name IS NOT NULL GROUP BY 1 HAVING count(*) > 1",

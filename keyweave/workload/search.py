@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from keyweave.operators.search import search_tables, search_values
+from pyspark.sql import functions as F
+
+from keyweave.operators.search import TableSearch, search_indexed, search_tables, search_values
+from keyweave.sources.live import catalog_of
 from keyweave.workload.tables import Tables, table
 
 TEXT_COLUMNS = {
@@ -34,7 +37,27 @@ def _search(name: str, value: str, **options):
     return lambda spark, folder: search_values(table(spark, folder, name), value, **options)
 
 
+def from_index(spark, folder):
+    """Search the tables whose name in the catalogue of all given tables begins with p; each in its own way."""
+    own = Tables(spark, folder)
+    columns = catalog_of(spark, own)
+    index = columns.select(F.lit("lake").alias("source_schema"), F.lit("main").alias("table_schema"), "table_name", "column_name")
+    searches = {
+        "lake.main.part": TableSearch(row_filter="p_size > 10", key=("p_partkey",), exclude="p_type"),
+        "lake.main.pages": TableSearch(key=("page_id",), ignore_case=True),
+    }
+    return search_indexed(index, "MAIN.P", {f"lake.main.{name}": df for name, df in own.items()}, "an", searches)
+
+
+def search_from_index_samples(spark, folder):
+    samples = from_index(spark, folder)[1]
+    key = F.coalesce(F.get_json_object("row_json", "$.p_partkey"), F.get_json_object("row_json", "$.page_id"))
+    return samples.select("table_name", "column_name", key.cast("bigint").alias("row_key"))
+
+
 QUERIES = {
+    "search_from_index": lambda s, d: from_index(s, d)[0],
+    "search_from_index_samples": search_from_index_samples,
     "search_contains": lambda s, d: _search("orders", "URG")(s, d).hits,
     "search_contains_documents": lambda s, d: _search("documents", "the")(s, d).hits,
     "search_like": lambda s, d: _search("part", "e%r_n", mode="like")(s, d).hits,
@@ -48,7 +71,19 @@ QUERIES = {
     "search_all_tables": lambda s, d: search_tables(Tables(s, d), "an"),
 }
 
+PART_HITS = "FROM part WHERE p_size > 10 AND contains({c}, 'an')"
+PAGE_HITS = "FROM pages WHERE contains(lower({c}), 'an')"
+
 SQL = {
+    "search_from_index": " UNION ALL ".join([
+        _hits_sql("part", "contains({c}, 'an')", ["p_name", "p_brand"], "p_size > 10", "'lake.main.part' AS table_name, "),
+        _hits_sql("pages", "contains(lower({c}), 'an')", extra="'lake.main.pages' AS table_name, "),
+    ]),
+    "search_from_index_samples": " UNION ALL ".join(
+        f"(SELECT 'lake.main.{t}' AS table_name, '{c}' AS column_name, {k}::BIGINT AS row_key {hits.format(c=c)} ORDER BY {k} LIMIT 5)"
+        for t, k, hits, columns in [("part", "p_partkey", PART_HITS, ["p_name", "p_brand"]), ("pages", "page_id", PAGE_HITS, ["url", "html"])]
+        for c in columns
+    ),
     "search_contains": _hits_sql("orders", "contains({c}, 'URG')"),
     "search_contains_documents": _hits_sql("documents", "contains({c}, 'the')"),
     "search_like": _hits_sql("part", "{c} LIKE '%e%r_n%'"),
