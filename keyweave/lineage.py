@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -23,8 +25,30 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_SCOPES: list[list[str]] = []  # of the scopes that are open, the innermost last: the folders named in each
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/keyweave/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/keyweave/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def written_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove all tables that are written within, when the results that need them have been used.
+
+    Without a scope they are left to the retention of the folder, because a DataFrame may be used at any time.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for path in _SCOPES.pop():
+            place = hadoop.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

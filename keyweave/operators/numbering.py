@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from keyweave.functions.text import column
 from keyweave.lineage import cut
 
-COPIES_PER_ROW = 1_000  # of a row that occurs more often, several rows are placed
+COPIES_PER_TASK = 1_000  # that one placed row stands for; a row that occurs more often is placed several times
 
 
 def running_sums(
@@ -75,7 +75,7 @@ def number_rows(
         counted = df.withColumns({"_copies": one, "_before": F.lit(0).cast("bigint")})
     else:
         counted = df.groupBy(*[column(c) for c in columns]).agg(F.count(F.lit(1)).alias("_all"))
-        step = F.lit(COPIES_PER_ROW).cast("bigint")
+        step = F.lit(COPIES_PER_TASK).cast("bigint")
         starts = F.sequence(F.lit(0).cast("bigint"), F.col("_all") - 1, step)
         counted = counted.select(*[column(c) for c in columns], "_all", F.explode(starts).alias("_before"))
         counted = counted.withColumn("_copies", F.least(step, F.col("_all") - F.col("_before"))).drop("_all")

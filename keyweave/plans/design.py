@@ -53,9 +53,10 @@ def import_catalog(
 ) -> Design:
     """The design of a MySQL `information_schema`: TABLES, COLUMNS, KEY_COLUMN_USAGE, TABLE_CONSTRAINTS, STATISTICS.
 
-    Extracts over several schemas have a `table_schema` (and key usage a `referenced_table_schema`); the design then tells
-    tables apart by it.
+    Extracts over several schemas have a `table_schema` (and key usage a `referenced_table_schema`); if all have, the design
+    tells tables apart by it, otherwise they count as extracts of one schema.
     """
+    tables, columns, statistics, key_usage = _of_one_kind("referenced_table_schema" in key_usage.columns, tables, columns, statistics, key_usage)
     return Design(
         _tables(tables.select(*_scope(tables), "table_name", F.nullif("table_comment", F.lit("")).alias("comment"))),
         _columns(columns),
@@ -76,8 +77,10 @@ def import_catalog_pg(
 ) -> Design:
     """The design of a PostgreSQL catalogue: `pg_class`, its comments, `information_schema`, `pg_index`, `pg_attribute`.
 
-    Over several schemas, all but comments, indexes and attributes have a `table_schema`, and tables are told apart by it.
+    Over several schemas, all but comments, indexes and attributes have a `table_schema`, and tables are told apart by it; if one
+    has none, they count as extracts of one schema.
     """
+    classes, columns, constraints, key_usage, column_usage = _of_one_kind(True, classes, columns, constraints, key_usage, column_usage)
     tables = importing.import_tables(classes, comments)
     own = _columns(columns.withColumns({"column_type": F.col("data_type"), "extra": F.lit("")}))
     keys = importing.import_keys_pg(constraints, key_usage).where("column_name IS NOT NULL")
@@ -90,6 +93,14 @@ def import_catalog_pg(
     )
 
 
+def _of_one_kind(several: bool, *extracts: DataFrame) -> list[DataFrame]:
+    """The extracts as they are if all know their schema, else all without it."""
+    if several and all("table_schema" in df.columns for df in extracts):
+        return list(extracts)
+    kept_for_constraints = lambda df: "referenced_table_name" in df.columns
+    return [df.drop("referenced_table_schema") if kept_for_constraints(df) else df.drop("table_schema") for df in extracts]
+
+
 def _scope(df: DataFrame) -> list[str]:
     return [c for c in ("table_schema",) if c in df.columns]
 

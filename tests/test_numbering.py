@@ -43,3 +43,20 @@ def test_the_hot_group_is_spread_over_ranges(spark):
 
 def test_no_rows(spark):
     assert number_rows(spark.range(0), [F.col("id")]).count() == 0
+
+
+def test_tables_written_in_a_scope_are_removed(spark, tmp_path):
+    import os
+
+    from keyweave.lineage import cut, new_folder, shared_folder, written_tables
+
+    with written_tables(spark):
+        kept = cut(spark.range(3), "scoped")
+        folder = os.path.dirname(kept.inputFiles()[0].removeprefix("file:").replace("///", "/"))
+        assert os.path.isdir(folder) and kept.count() == 3
+        with written_tables(spark):
+            inner = new_folder(spark, "inner")
+            spark.range(1).write.parquet(inner)
+        assert not os.path.exists(inner.removeprefix("file:"))
+    assert not os.path.exists(folder) and os.path.isdir(shared_folder(spark).removeprefix("file:"))
+    assert cut(spark.range(2), "unscoped").count() == 2
