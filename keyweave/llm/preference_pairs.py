@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.llm.columns import column
+from keyweave.llm.columns import column, let
 
 # How a turn is rendered.
 OPENING, CLOSING, AFTER = "<|", "|>\n", "\n"
@@ -29,15 +29,17 @@ def _completion(turns: Column, start: Column, trained: str) -> tuple[Column, Col
     """The text of the turns from `start` on, and (start, end) of the trained ones' own texts in it."""
     rest = F.slice(turns, start + 1, F.size(turns))
     pieces = F.transform(rest, lambda t: rendered(t["role"], t["text"]))
-    before = lambda i: F.char_length(F.array_join(F.slice(pieces, 1, i), ""))
-    spans = F.transform(
-        rest,
-        lambda t, i: F.struct(
-            t["role"].alias("role"),
-            (before(i) + F.char_length(t["role"]) + len(OPENING) + len(CLOSING)).alias("start"),
-            (before(i) + F.char_length(t["role"]) + len(OPENING) + len(CLOSING) + F.char_length(t["text"])).alias("end"),
-        ),
-    )
+    # Where each turn begins: a running sum over the turns, so a long conversation is joined once.
+    lengths = F.transform(pieces, lambda p: F.char_length(p))
+    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda at, n: F.array_append(at, F.element_at(at, -1) + n))
+
+    def placed(at: Column) -> Column:
+        own = lambda t, i: F.get(at, i) + F.char_length(t["role"]) + len(OPENING) + len(CLOSING)
+        return F.transform(
+            rest, lambda t, i: F.struct(t["role"].alias("role"), own(t, i).alias("start"), (own(t, i) + F.char_length(t["text"])).alias("end"))
+        )
+
+    spans = let(starts, placed)
     masked = F.transform(F.filter(spans, lambda s: s["role"] == trained), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return F.array_join(pieces, ""), masked
 
@@ -85,7 +87,7 @@ def repeated_answers(conversations: DataFrame, conv: str = "conv_id", turn: str
     `every`, all conversations are there: a single answer has an empty one on the rejected side, and a conversation without
     an answer is the same on both sides, so it is all prompt.
     """
-    order = Window.partitionBy(conv).orderBy(turn, text)
+    order = Window.partitionBy(column(conv)).orderBy(column(turn), column(text))
     answers = F.when(column(role) == "assistant", F.struct(column(turn).alias("turn"), column(text).alias("text")))
     seen = conversations.select(
         column(conv).alias("pair_id"),
@@ -93,8 +95,8 @@ def repeated_answers(conversations: DataFrame, conv: str = "conv_id", turn: str
         column(role).alias("role"),
         column(text).alias("text"),
         F.last(answers, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("previous"),
-        F.max(F.when(column(role) == "assistant", column(turn))).over(Window.partitionBy(conv)).alias("last"),
-        F.count(F.when(column(role) == "assistant", 1)).over(Window.partitionBy(conv)).alias("answers"),
+        F.max(F.when(column(role) == "assistant", column(turn))).over(Window.partitionBy(column(conv))).alias("last"),
+        F.count(F.when(column(role) == "assistant", 1)).over(Window.partitionBy(column(conv))).alias("answers"),
     )
     used = seen.where("answers = 0 OR turn <= last" if every else "answers > 1 AND turn <= last")
     stale = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.coalesce("previous.text", F.lit(""))).otherwise(F.col("text"))

@@ -354,3 +354,8 @@ SQL: dict[str, str] = {
         SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(root, vec_id)) AS component_id, vec_id <= coalesce(root, vec_id) AS kept
         FROM vectors LEFT JOIN counted USING (vec_id) LEFT JOIN least_root USING (vec_id)""",
 }
+
+#: Every conversation: those without an answer are whole, and a single answer has an empty one beside it.
+SQL["op6_every_conversation"] = (
+    SQL["op6_preference_pairs"].replace("THEN previous ELSE", "THEN coalesce(previous, '') ELSE").replace("WHERE answers > 1 AND", "WHERE answers = 0 OR")
+)

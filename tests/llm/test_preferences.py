@@ -64,3 +64,13 @@ def test_every_conversation_has_a_row(spark, folder):
 
 def test_empty(spark):
     assert both(spark, [], []) == {}
+
+
+def test_a_long_conversation_and_names_with_dots(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"{i} " * 50) for i in range(1200)] + [(1, 1199, "assistant", "again")]
+    df = spark.createDataFrame(rows, "`the.conv` bigint, `a.turn` bigint, `a.role` string, `a.text` string")
+    chosen, rejected = repeated_answers(df, "the.conv", "a.turn", "a.role", "a.text")
+    row = format_preferences(chosen, rejected).first()
+    assert [row.chosen[s.start : s.end] for s in row.chosen_spans] == sorted(["1199 " * 50, "again"]) and row.n_common == 1199
+    whole = format_preferences(chosen, rejected.where("turn < 0").union(rejected.limit(1))).first()
+    assert len(whole.chosen_spans) == 601 and whole.chosen[whole.chosen_spans[-1].start :].rstrip("\n") in ("again", "1199 " * 50)
