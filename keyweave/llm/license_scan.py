@@ -3,8 +3,9 @@
 A template is wording with markup: `[[ ... ]]` may be left out, `{{m,n}}` stands for m to n words of any kind, all other
 words are mandatory. It is compiled once into a token automaton whose states are the places between words. A text
 is accepted where a run of its words leads from the first state to the last, so all mandatory wording is there,
-in order and unchanged. The automaton starts only at a template's first word and only in texts that hold
-its guard, a mandatory word or phrase, so most texts cost one search in memory.
+in order and unchanged. Automata share an index of their first words and one of their guards, a mandatory word of
+each: a text without a guard costs one intersection of sets, another one a look-up for each word, however many templates
+there are.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.llm.columns import alnum_words, column
+from keyweave.llm.license_templates import TEMPLATES
 
 # The base phrases and their labels.
 PHRASES = {
@@ -26,37 +28,6 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Wording of public licenses and of the notices that refer to them.
-TEMPLATES = {
-    "mit-notice": "[[this {{1,3}} is]] released under the [[terms of the]] mit license",
-    "apache-2.0": """licensed under the apache license version 2 0 [[the license [[you may not use this file except in
-        compliance with the license you may obtain a copy of the license at [[http]] [[https]] www apache org licenses
-        license 2 0 [[unless required by applicable law or agreed to in writing software distributed under the license is
-        distributed on an as is basis without warranties or conditions of any kind either express or implied see the
-        license for the specific language governing permissions and limitations under the license]]]]]]""",
-    "gpl-notice": "[[this {{1,3}} is]] licensed under the [[terms of the]] gnu general public license [[version {{1,1}}]]",
-    "gpl-header": """is free software you can redistribute it and or modify it under the terms of the gnu general public
-        license as published by the free software foundation either version {{1,1}} of the license or at your option any later version""",
-    "cc-by-notice": "[[this {{1,3}} is]] licensed under [[a]] [[the]] [[creative commons]] [[attribution]] cc by [[nc]] [[nd]] [[sa]] {{1,2}}",
-    "mit": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
-        documentation files the software to deal in the software without restriction including without limitation the rights
-        to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to
-        whom the software is furnished to do so subject to the following conditions the above copyright notice and this
-        permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the
-        software the software is provided as is without warranty of any kind express or implied including but not limited to
-        the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall
-        {{1,8}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise
-        arising from out of or in connection with the software or the use or other dealings in the software""",
-    "isc": """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby
-        granted provided that the above copyright notice and this permission notice appear in all copies""",
-    "bsd": """redistribution and use in source and binary forms with or without modification are permitted provided that the
-        following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of
-        conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice
-        this list of conditions and the following disclaimer in the documentation and or other materials provided with the
-        distribution [[ [[3]] neither the name of {{1,8}} nor the names of its contributors may be used to endorse or promote
-        products derived from this software without specific prior written permission]]""",
-}
-
 _MARKUP = re.compile(r"(\[\[|\]\])|\{\{(\d+),(\d+)\}\}|([^\[\]{}\s]+)")
 SPAN = "struct<template: string, first: int, words: int>"
 
@@ -135,12 +106,34 @@ class Scan:
     n_words: int
     phrases: list[dict]
     notices: list[dict]
+    covered: int
+
+
+def covered_words(spans: list[dict]) -> int:
+    """Words that are in one span or more."""
+    n = end = 0
+    for first, last in sorted((s["first"], s["first"] + s["words"]) for s in spans):
+        n += max(0, last - max(first, end))
+        end = max(end, last)
+    return n
 
 
 class LicenseScanner:
     def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
         self.phrases = {tuple(p.encode().split()): label for p, label in phrases.items()}
         self.automata = {name: TokenAutomaton(t) for name, t in templates.items()}
+        self.guarded: dict[bytes, list[str]] = {}
+        for name, automaton in self.automata.items():
+            self.guarded.setdefault(automaton.guard, []).append(name)
+
+    def _starts(self, held: set[bytes]) -> dict[bytes, list[str]]:
+        """The templates that may begin with a word, of those whose guard is held."""
+        starts: dict[bytes, list[str]] = {}
+        for guard in self.guarded.keys() & held:
+            for name in self.guarded[guard]:
+                for word in self.automata[name].first_words & held:
+                    starts.setdefault(word, []).append(name)
+        return starts
 
     def scan(self, text: str | None) -> Scan:
         words = alnum_words(text)
@@ -152,16 +145,16 @@ class LicenseScanner:
             for i in range(len(words) - len(phrase) + 1)
             if words[i] == phrase[0] and tuple(words[i : i + len(phrase)]) == phrase
         ]
+        starts = self._starts(held)
         notices = []
-        for name, automaton in self.automata.items():
-            if automaton.guard not in held:
-                continue
-            end = 0  # leftmost runs that don't overlap
-            for i, word in enumerate(words):
-                if i >= end and word in automaton.first_words and (taken := automaton.longest(words, i)):
+        ends: dict[str, int] = {}  # leftmost runs of a template that don't overlap
+        for i, word in enumerate(words if starts else ()):
+            for name in starts.get(word, ()):
+                if i >= ends.get(name, 0) and (taken := self.automata[name].longest(words, i)):
                     notices.append({"template": name, "first": i, "words": taken})
-                    end = i + taken
-        return Scan(len(words), phrases, notices)
+                    ends[name] = i + taken
+        notices.sort(key=lambda n: (n["first"], n["template"]))
+        return Scan(len(words), phrases, notices, covered_words(notices))
 
 
 def scan_licenses(
@@ -174,11 +167,12 @@ def scan_licenses(
     """Add a struct: the number of words, the places of base phrases, and the notices that a template accepts.
 
     Both are arrays of (template or label, first word from 0, number of words); places of a phrase are all counted,
-    accepted runs of one template don't overlap. A null counts as an empty text. Rows stay as they are, repeated
+    accepted runs of one template don't overlap, those of different ones may, and `covered` counts the words that are in
+    any. A null counts as an empty text. Rows stay as they are, repeated
     ones too; an input column named like the output is replaced.
     """
 
-    @F.arrow_udf(returnType=f"struct<n_words: bigint, phrases: array<{SPAN}>, notices: array<{SPAN}>>")
+    @F.arrow_udf(returnType=f"struct<n_words: bigint, phrases: array<{SPAN}>, notices: array<{SPAN}>, covered: bigint>")
     def scanned(texts: pa.Array) -> pa.Array:
         scanner = LicenseScanner(phrases, templates)
         found = [scanner.scan(value.as_py()) for value in texts]
@@ -188,8 +182,9 @@ def scan_licenses(
                 pa.array([x.n_words for x in found], pa.int64()),
                 pa.array([x.phrases for x in found], spans),
                 pa.array([x.notices for x in found], spans),
+                pa.array([x.covered for x in found], pa.int64()),
             ],
-            ["n_words", "phrases", "notices"],
+            ["n_words", "phrases", "notices", "covered"],
         )
 
     return df.withColumn(out, scanned(column(text).cast("string")))

@@ -74,7 +74,6 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     places = F.transform(F.col("license.phrases"), lambda p: p["first"])
     base = F.transform(F.col("license.phrases"), lambda p: p["template"])
     own = F.transform(F.col("license.notices"), lambda p: p["template"])
-    accepted = F.aggregate(F.col("license.notices"), F.lit(0), lambda n, p: n + p["words"])
     return found.select(
         "doc_id",
         F.col("license.n_words").alias("n_words"),
@@ -83,7 +82,7 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.array_max(places).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"),
-        F.when(F.col("license.n_words") > 0, F.least(F.lit(1.0), accepted / F.col("license.n_words"))).otherwise(0.0).alias("score"),
+        F.when(F.col("license.n_words") > 0, F.col("license.covered") / F.col("license.n_words")).otherwise(0.0).alias("score"),
     )
 
 

@@ -28,6 +28,40 @@ def test_wording_must_match():
     assert scanner.scan("Released below the MIT License.").notices == []
 
 
+def names(text):
+    return [n["template"] for n in LicenseScanner(PHRASES, TEMPLATES).scan(text).notices]
+
+
+def test_names_headers_and_versions():
+    assert set(names("mozilla public license version 2 0 bsd 3-clause lgpl")) == {"mpl", "bsd-3-clause", "lgpl-name"}
+    assert names("GNU Lesser General Public License v2.1") == ["lgpl"]
+    assert names("SPDX-License-Identifier: GPL-2.0-or-later") == ["spdx"]
+    header = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+    assert set(names(header)) == {"mpl-2.0-header", "mpl"}
+    assert names(header.replace("subject to", "under")) == ["mpl"]
+    assert "cc-notice" in names("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.")
+    assert names("artistic freedom, a license of sorts, general public, mozilla") == []
+
+
+def test_a_notice_takes_its_version_and_no_more():
+    scan = LicenseScanner(PHRASES, TEMPLATES).scan
+    for text, words in [("licensed under CC BY", 4), ("licensed under CC BY 4.0", 6), ("licensed under cc by and other words", 4)]:
+        assert [(n["template"], n["words"]) for n in scan(text).notices] == [("cc-by-notice", words)]
+
+
+def test_covered_words_count_once():
+    found = LicenseScanner(PHRASES, TEMPLATES).scan("x distributed under the Boost Software License, Version 1.0 y")
+    assert [n["template"] for n in found.notices] == ["bsl-1.0-notice", "bsl-1.0"]
+    assert (found.covered, found.n_words) == (9, 11)
+    assert LicenseScanner(PHRASES, TEMPLATES).scan(None).covered == 0
+
+
+def test_many_starts(texts):
+    scanner = LicenseScanner(PHRASES, TEMPLATES)
+    assert scanner.scan("this is licensed " * 100_000 + "mozilla public license").covered == 3
+
+
 def test_rows(texts):
     values = [None, "", "The MIT License, the mit license; CC BY 4.0", "mit\nlicense", "x " * 100_000 + "Apache License"]
     rows = {r.doc_id: r for r in scan_licenses(texts(values, extra=["license", "phrases"])).collect()}
