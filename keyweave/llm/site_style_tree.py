@@ -5,12 +5,14 @@ is important as far as its pages differ in it. For presentation that is the entr
 pages; for content it is one minus the entropy of each text over the pages that show it, so what many pages repeat is
 worth little. The log base is the node's number of pages; a node of one page counts as important.
 
-What elements say of themselves comes first: branches that are marked as navigation, footer, advert, form and so on have no
+What elements say of themselves comes first: branches that are named as navigation, footer, advert, form and so on have no
 weight, and where a page marks its article, nothing else has. Importance decides on all branches that pages leave open, and
-on the branches inside an article; its plain headings and paragraphs are its own text. Equal pages of a host count once. What
-is repeated in most of an article is a copy's text and stays.
+on the branches inside an article; its plain headings and paragraphs are its own text. A branch whose name only hints at
+noise keeps half of its importance, so it stays where its site shows something else on nearly every page. Equal pages of a
+host count once. What is repeated in most of an article is a copy's text and stays.
 
-A page is parsed in its task; the merged tree is never in one place, but counted by (host, node, variant), first in the
+Nodes are numbered by hashes of their parent's number and their style, so a page takes memory for its elements, however deep
+they are nested. A page is parsed in its task; the merged tree is never in one place, but counted by (host, node, variant), first in the
 map tasks, so a host with most of the pages is no more than its nodes.
 """
 
@@ -18,12 +20,12 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.lineage import cut
@@ -42,15 +44,28 @@ NOISE_TAGS = set(
 )
 NOISE_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NOISE_WORDS = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie"
-    " cookies disclaimer discussion disqus footer login menu modal nav navbar navigation newsletter notice notices notification"
-    " pager pagination popup promo promotion related replies reply respond search share sharing sidebar signup skip social"
-    " sponsor sponsored subscribe subscription toolbar widget".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies"
+    " disclaimer disqus footer login menu modal nav navbar navigation newsletter notice notices notification notifications pager"
+    " pagination popup promo related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription"
+    " toolbar".split()
 )
+#: With a noise word they name a part of it: `ad-slot`, `cookie-bar`, `user-comment`.
+PART_WORDS = set(
+    "area author bar body block bottom box button buttons center container count form global group icons inline inner item"
+    " items label left link links list message meta more native overlay page panel posts primary reader readers right"
+    " secondary section site slot thread top unit user users wrap wrapper".split()
+)
+#: They may name noise or an article's own part; so does a noise word in a token with other words.
+HINT_WORDS = set("discussion promotion widget widgets".split())
+#: Before a noise word they tell of an element beside or below: `has-sidebar`.
+STATE_WORDS = set("has is no not with without open closed enabled disabled".split())
 #: Noise only outside an article, whose own header holds its title.
 OUTER_NOISE_WORDS = {"header", "masthead", "top"}
-#: Never noise by a class or id: what these hold is the page.
-WHOLE_TAGS = set("html body main article".split())
+SITE_WORDS = {"global", "page", "site"}
+#: Never noise by a class or id: what these hold is the page. Ids of headings are the targets of links.
+WHOLE_TAGS = set("html body main".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+COMMENT_WORDS = set("comment comments reply replies respond".split())
 #: An article's own text where they have no class; other blocks inside it are branches.
 PLAIN_TAGS = set("blockquote br h1 h2 h3 h4 h5 h6 header hgroup p pre".split())
 ARTICLE_ROLES, ARTICLE_WORDS = {"article", "main"}, {"article", "articlebody", "post", "entry", "story"}
@@ -64,9 +79,10 @@ _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(
 _WORD = re.compile(r"[a-z]+")
 _NUMBER = re.compile(r"[0-9]{3,}|\s+|/")  # numbers of pages and posts don't tell styles apart
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", re.IGNORECASE)
-_NAMES = NOISE_WORDS | OUTER_NOISE_WORDS | ARTICLE_WORDS
+_NAMES = NOISE_WORDS | OUTER_NOISE_WORDS | ARTICLE_WORDS | PART_WORDS
 
-NOISE, OPEN, ARTICLE, BRANCH = 0, 1, 2, 3  # a branch is inside an article
+NOISE, OPEN, ARTICLE, BRANCH, DOUBTED, OPEN_DOUBTED = 0, 1, 2, 3, 4, 5  # a branch is inside an article, a doubted one has a hint of noise
+INSIDE = (ARTICLE, BRANCH, DOUBTED)
 
 
 @dataclass(frozen=True)
@@ -74,30 +90,38 @@ class TreeRule:
     least_importance: float = 0.4
     #: The weight of content against the presentation of the node above it.
     content_weight: float = 0.9
+    #: What is left of the importance of a branch whose name hints at noise.
+    hinted_weight: float = 0.5
 
 
 @dataclass(slots=True)
 class _Element:
     tag: str
-    path: str
+    node: str  # a hash of its style and of the nodes above it
+    path: str  # the node above and its own
     mark: int
     children: list[str]
+    block: str  # path of the nearest block
+    in_article: bool
 
 
-def _marks(tag: str, attributes: str, above: int) -> tuple[str, int]:
-    """The style of an element, and whether it is noise, an article, a branch inside one or left open.
+def _named_noise(token: set[str]) -> bool:
+    """A class or id names noise if it has a noise word and all its words are names: `post-footer`, but not `has-sidebar`."""
+    return bool(token & NOISE_WORDS) and token <= _NAMES
 
-    A class or id names an element if all words of one of its tokens are names: `sidebar` and `post-footer`, but not
-    `has-sidebar`, which tells of another element.
-    """
-    tokens: list[set[str]] = []
-    style, mark = tag, above
-    role = ""
+
+def _hints_at_noise(token: set[str]) -> bool:
+    return bool(token & HINT_WORDS or token & NOISE_WORDS) and not token & STATE_WORDS
+
+
+def _style_and_names(tag: str, attributes: str) -> tuple[str, str | None, list[set[str]]]:
+    """The style of an element, its role (None if it is hidden), and the words of each of its classes and ids."""
+    style, role, tokens = tag, "", []
     for name, *values in _ATTRIBUTE.findall(attributes):
         kind = name.lower()
         if kind == "hidden":
-            return f"{tag}.hidden", NOISE
-        if kind not in ("class", "id", "role", "itemprop"):
+            return f"{tag}.hidden", None, []
+        if kind not in ("class", "id", "role", "itemprop") or (kind == "id" and tag in HEADINGS):
             continue
         value = "".join(values).lower()
         if kind == "role":
@@ -105,17 +129,34 @@ def _marks(tag: str, attributes: str, above: int) -> tuple[str, int]:
         else:
             tokens += [set(_WORD.findall(token)) for token in value.split()]
             style += "." + _NUMBER.sub("#", value) if kind == "class" and value else ""
-    if above == NOISE or tag in NOISE_TAGS or role in NOISE_ROLES or (tag not in WHOLE_TAGS and any(t & NOISE_WORDS and t <= _NAMES for t in tokens)):
+    return style, role, tokens
+
+
+def _marks(tag: str, attributes: str, above: int, in_article: bool = False) -> tuple[str, int]:
+    """The style of an element, and whether it is noise, an article, a branch inside one or left open, with a hint of noise or without."""
+    style, role, tokens = _style_and_names(tag, attributes)
+    if role is None or above == NOISE or tag in NOISE_TAGS or role in NOISE_ROLES:
         return style, NOISE
-    if tag in ("article", "main") or role in ARTICLE_ROLES:
+    if tag == "article":
+        # Articles inside an article are its comments or other articles: their names count, and else their importance.
+        if any(_named_noise(t) and (in_article or t <= COMMENT_WORDS) for t in tokens):
+            return style, NOISE
+        return style, BRANCH if in_article else ARTICLE
+    named = tag not in WHOLE_TAGS
+    if named and any(map(_named_noise, tokens)):
+        return style, NOISE
+    if tag == "main" or role in ARTICLE_ROLES:
         return style, ARTICLE
     if tag in ("div", "section") and any(t & ARTICLE_WORDS and not t & NOISE_WORDS for t in tokens):
-        return style, ARTICLE
-    if above < ARTICLE and (tag == "header" or (tag not in WHOLE_TAGS and any(t and t <= OUTER_NOISE_WORDS for t in tokens))):
+        return style, above if above == DOUBTED else ARTICLE
+    inside = above in INSIDE
+    if not inside and (tag == "header" or (named and any(t - SITE_WORDS and t - SITE_WORDS <= OUTER_NOISE_WORDS for t in tokens))):
         return style, NOISE
+    if named and any(map(_hints_at_noise, tokens)):
+        return style, DOUBTED if inside else OPEN_DOUBTED
     if above == ARTICLE and tag in BLOCKS and (style != tag or tag not in PLAIN_TAGS):
         return style, BRANCH
-    return style, mark
+    return style, above
 
 
 class PageParser:
@@ -124,7 +165,8 @@ class PageParser:
     def __init__(self, page: str):
         self.blocks: list[tuple[str, int, str]] = []
         self.nodes: dict[str, list[str]] = {}
-        self.stack = [_Element("", "", OPEN, [])]
+        self.stack = [_Element("", "", "", OPEN, [], "", False)]
+        self.open: Counter[str] = Counter()
         self.text: list[str] = []
         at = 0
         for m in _TOKEN.finditer(page):
@@ -146,34 +188,42 @@ class PageParser:
         if self.text:
             text = " ".join(html.unescape("".join(self.text)).split())
             if text:
-                top = next(e for e in reversed(self.stack) if e.tag in BLOCKS or not e.tag)
-                self.blocks.append((top.path, self.stack[-1].mark, text))
+                self.blocks.append((self.stack[-1].block, self.stack[-1].mark, text))
             self.text = []
 
     def _leave(self, element: _Element) -> None:
-        self.nodes.setdefault(element.path, []).extend(element.children)
+        if element.children:
+            self.nodes.setdefault(element.node, []).extend(element.children)
+
+    def _pop(self) -> _Element:
+        element = self.stack.pop()
+        self.open[element.tag] -= 1
+        self._leave(element)
+        return element
 
     def _tag(self, tag: str, ends: bool, attributes: str) -> None:
         above = self.stack[-1]
-        style, mark = (tag, above.mark) if ends or tag in VOID else _marks(tag, attributes, above.mark)
+        style, mark = (tag, above.mark) if ends or tag in VOID else _marks(tag, attributes, above.mark, above.in_article)
         if tag in BLOCKS or (not ends and mark != above.mark) or (ends and above.tag == tag and len(self.stack) > 1 and above.mark != self.stack[-2].mark):
             self._end_block()
         if tag in VOID:
             return
         if ends:
-            if any(e.tag == tag for e in self.stack):
-                while (element := self.stack.pop()).tag != tag:
-                    self._leave(element)
-                self._leave(element)
+            if self.open[tag]:
+                while self._pop().tag != tag:
+                    pass
             return
         if tag == "p" and above.tag == "p" or tag == "li" and above.tag == "li":
-            self._leave(self.stack.pop())
+            self._pop()
             above = self.stack[-1]
-            style, mark = _marks(tag, attributes, above.mark)
+            style, mark = _marks(tag, attributes, above.mark, above.in_article)
         if not above.children or above.children[-1] != style:
             above.children.append(style)
         if not attributes.endswith("/"):
-            self.stack.append(_Element(tag, f"{above.path}/{style}", mark, []))
+            node = xxhash.xxh3_64_hexdigest(f"{above.node} {style}".encode("utf-8", "surrogatepass"))
+            path = f"{above.node}/{node}"
+            self.open[tag] += 1
+            self.stack.append(_Element(tag, node, path, mark, [], path if tag in BLOCKS else above.block, above.in_article or tag == "article"))
 
 
 def _digest(text: str) -> int:
@@ -190,10 +240,10 @@ def parse_page(page: str | None) -> tuple[list[dict], list[dict]]:
     if not page:
         return [], []
     parsed = PageParser(page)
-    has_article = any(mark >= ARTICLE for _, mark, _ in parsed.blocks)
+    has_article = any(mark in INSIDE for _, mark, _ in parsed.blocks)
     blocks = []
     for path, mark, text in parsed.blocks:
-        mark = NOISE if has_article and mark < ARTICLE else mark
+        mark = NOISE if has_article and mark not in INSIDE else mark
         blocks.append({"path": path, "mark": mark, "digest": _digest(text), "text": text if mark else None})
     return blocks, [{"path": path, "digest": _digest(" ".join(c))} for path, c in parsed.nodes.items() if c]
 
@@ -259,6 +309,15 @@ def _differing(pages: DataFrame) -> DataFrame:
     return pages.join(copied, ["host", "same"], "left").where("first IS NULL OR page = first").select("host", "blocks", "nodes")
 
 
+def _decided(block: Column) -> Column:
+    """Importance decides on it."""
+    return ~block["mark"].isin(NOISE, ARTICLE)
+
+
+def _weight(mark: Column, rule: TreeRule) -> Column:
+    return F.when(mark.isin(DOUBTED, OPEN_DOUBTED), rule.hinted_weight).otherwise(1.0)
+
+
 def extract_text(df: DataFrame, url: str = "url", page: str = "html", out: str = "main_text", rule: TreeRule = TreeRule(), keep_page: bool = True) -> DataFrame:
     """Add the main text of each whole page: its blocks in page order, joined by a space.
 
@@ -274,15 +333,18 @@ def extract_text(df: DataFrame, url: str = "url", page: str = "html", out: str =
         F.arrow_udf(parsed_pages, PARSED)(column(url).cast("string"), column(page).cast("string")).alias(found),
     )
     pages = cut(packed.select(kept, f"{found}.*").withColumn("page", F.monotonically_increasing_id()), "parsed-pages")
-    weak = node_importance(_differing(pages), rule).where(F.col("importance") < rule.least_importance)
-    # One row for each host, with its weak nodes: styles, not pages.
-    weak = cut(weak.groupBy("host").agg(F.collect_list("path").alias("weak")), "weak-nodes")
-    joined = pages.join(weak, "host", "left").withColumn("weak", F.coalesce("weak", F.array().cast("array<string>")))
+    judged = node_importance(_differing(pages), rule)
+    weak = cut(judged.where(F.col("importance") * rule.hinted_weight < rule.least_importance), "weak-nodes")
+    # Each page looks up its own nodes, so a site's weak styles are never in one row.
+    asked = F.array_distinct(F.transform(F.filter("blocks", _decided), lambda b: F.struct(b["path"].alias("path"), b["mark"].alias("mark"))))
+    found_weak = pages.select("page", "host", F.inline(asked)).join(weak, ["host", "path"]).where(F.col("importance") * _weight(F.col("mark"), rule) < rule.least_importance)
+    lost = cut(found_weak.groupBy("page").agg(F.collect_list(F.struct("path", "mark")).alias("weak")), "weak-branches")
+    joined = pages.join(lost, "page", "left").withColumn("weak", F.coalesce("weak", F.array().cast("array<struct<path: string, mark: tinyint>>")))
     shown = F.filter("blocks", lambda b: b["mark"] != NOISE)
-    strong = F.filter("blocks", lambda b: (b["mark"] != NOISE) & ((b["mark"] == ARTICLE) | ~F.array_contains("weak", b["path"])))
+    strong = F.filter("blocks", lambda b: (b["mark"] != NOISE) & ~F.array_contains("weak", F.struct(b["path"].alias("path"), b["mark"].alias("mark"))))
     chars = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, b: n + F.char_length(b["text"]))
     # An article that would lose most of its text is itself what pages repeat: an edited copy.
-    copy = F.exists("blocks", lambda b: b["mark"] >= ARTICLE) & (chars(strong) * 2 < chars(shown))
+    copy = F.exists("blocks", lambda b: b["mark"].isin(*INSIDE)) & (chars(strong) * 2 < chars(shown))
     text = F.array_join(F.transform(F.when(copy, shown).otherwise(strong), lambda b: b["text"]), " ")
     texts = joined.select(kept, text.alias("text"))
     return texts.select(*[F.col(f"{kept}.c{i}").alias(c) for i, c in enumerate(own)], F.col("text").alias(out))

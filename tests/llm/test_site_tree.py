@@ -112,6 +112,46 @@ def test_state_words_are_no_names(spark):
     assert found == ["text"] * len(rows)
 
 
+def test_comments_notices_and_adverts_inside_articles_go(spark):
+    rows = [
+        "<article><p>text</p><article class='comment'><p>no</p></article></article>",
+        "<article><p>text</p><section id='comments'><article><p>no</p></article></section></article>",
+        "<article><p>text</p><div class='user-comment'>no</div><div class='cookie-bar'>no</div><div class='ad-slot'>no</div></article>",
+        "<article><p>text</p></article><article class='comment reply-2'><p>no</p></article>",
+        "<main><article class='post'><p>text</p></article></main>",
+        "<main><div class='widget'>text</div></main>",
+        "<article><div class='wrap'><div class='entry-content'><p>text</p></div></div><article class='post comments-open'></article></article>",
+        "<div class='site-header'>no</div><div>text</div>",
+        "<article><h2 id='comments'>text</h2></article>",
+    ]
+    found = texts_of(extract_text(pages(spark, [(f"http://h{i}.org/", page) for i, page in enumerate(rows)])))
+    assert found == ["text"] * len(rows)
+
+
+def test_hints_of_noise_need_more_importance(spark):
+    page = "<article><p>Own text number {i} of it</p><div class='{name}'><p>{text}</p></div></article>"
+    for name, kept in [("widget", False), ("plain", True), ("comments-about", False)]:
+        rows = [(f"http://s.org/{i}", page.format(i=i, name=name, text=["first", "second", f"tail {i}"][i % 3])) for i in range(9)]
+        found = texts_of(extract_text(pages(spark, rows)))
+        assert [t.endswith("of it") for t in found] == [not kept] * 9, name
+
+
+def test_nested_articles_are_judged_by_their_site(spark):
+    page = "<article><p>Own text number {i} of it</p><article><p>{more}</p></article></article>"
+    same = texts_of(extract_text(pages(spark, [(f"http://s.org/{i}", page.format(i=i, more="Again")) for i in range(6)])))
+    assert same == [f"Own text number {i} of it" for i in range(6)]
+    own = texts_of(extract_text(pages(spark, [(f"http://s.org/{i}", page.format(i=i, more=f"Part {i}")) for i in range(6)])))
+    assert own == [f"Own text number {i} of it Part {i}" for i in range(6)]
+
+
+def test_deep_pages_take_memory_for_their_elements():
+    blocks, nodes = parse_page("<div class='a'>" * 50_000 + "deep" + "<b>" * 50_000 + "er" + "<br>x</i>" * 50_000)
+    assert blocks[0]["text"] == "deeper" and len(blocks) == 50_001
+    assert max(len(b["path"]) for b in blocks) <= 33 and max(len(n["path"]) for n in nodes) <= 16
+    first, second = parse_page("<div><p>one</p></div><div class='x'><p>two</p></div>")[0]
+    assert first["path"] != second["path"]
+
+
 def test_query(spark, folder):
     raw = {r.page_id: r.html for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     rows = op7_site_style_tree(spark, folder).collect()
