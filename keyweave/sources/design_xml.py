@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyweave.operators.graph import degree_shares
+from keyweave.lineage import cut
+from keyweave.operators.graph import incoming_links
 from keyweave.operators.keys import by_table_id, table_id
 
 TABLE_SCHEMA = """
@@ -91,9 +92,9 @@ def one_name(design: Design) -> Design:
 def design_elements(design: Design) -> DataFrame:
     """One row for each table, as the format nests it: by degree, columns by position with their relations, keys with their parts.
 
-    All that a table has meets in one shuffle by table; degrees are sums, which combine in the map tasks before it, so a table
-    that very many refer to costs a row for each task. Of a table given several times, the greatest (x, y, comment) counts;
-    relations of columns that do not exist are left out.
+    All that a table has meets in one shuffle by table, and is sorted only behind it. The tables that refer to a table are counted
+    beforehand, so a table that very many refer to is one row there. Of a table given several times, the greatest (x, y, comment)
+    counts; relations of columns that do not exist are left out.
     """
     design = one_name(design)
     column = F.struct(
@@ -112,8 +113,8 @@ def design_elements(design: Design) -> DataFrame:
         "column": design.columns.select("table_name", column.alias("v")),
         "relation": design.relations.select(F.col("child").alias("table_name"), target.alias("v")),
         "part": design.keys.select("table_name", part.alias("v")),
-        "degree": degree_shares(design.relations.select(F.col("child").alias("src"), F.col("parent").alias("dst"))).select(
-            F.col("node").alias("table_name"), F.col("share").alias("v")
+        "incoming": incoming_links(design.relations.select(F.col("child").alias("src"), F.col("parent").alias("dst"))).select(
+            F.col("node").alias("table_name"), F.col("incoming").alias("v")
         ),
     }
     types = {kind: df.schema["v"].dataType.simpleString() for kind, df in kinds.items()}
@@ -121,12 +122,13 @@ def design_elements(design: Design) -> DataFrame:
     for kind, df in kinds.items():
         lined = df.select("table_name", *[F.col("v").alias(k) if k == kind else F.lit(None).cast(t).alias(k) for k, t in types.items()])
         rows = lined if rows is None else rows.union(lined)
-    met = rows.groupBy("table_name").agg(
+    # Dealt out first, so that no map task sorts what it could hardly combine.
+    met = rows.repartition("table_name").groupBy("table_name").agg(
         F.max("table").alias("table"),
         F.array_sort(F.collect_list("column")).alias("columns"),
         F.array_sort(F.collect_list("relation")).alias("relations"),
         F.array_sort(F.collect_list("part")).alias("parts"),
-        F.sum("degree").alias("degree"),
+        F.sum("incoming").alias("incoming"),
     )
     met = met.where(F.col("table").isNotNull() | (F.size("columns") > 0) | (F.size("parts") > 0))
     targets = lambda c: F.transform(F.filter("relations", lambda r: r["of"] == c["_name"]), lambda r: F.struct(r["_table"], r["_row"]))
@@ -135,6 +137,7 @@ def design_elements(design: Design) -> DataFrame:
     same = lambda p, k: reduce(lambda x, y: x & y, [p[n].eqNullSafe(k[n]) for n in ("key_position", "_type", "_name")])
     names = F.array_distinct(F.transform("parts", lambda p: F.struct(p["key_position"], p["_type"], p["_name"])))
     key = lambda k: F.struct(k["_type"].alias("_type"), k["_name"].alias("_name"), F.transform(F.filter("parts", lambda p: same(p, k)), lambda p: p["column_name"]).alias("part"))
+    outgoing = F.size(F.array_distinct(F.transform("relations", lambda r: r["_table"])))
     return met.select(
         F.col("table_name").alias("_name"),
         F.col("table.x").alias("_x"),
@@ -142,14 +145,16 @@ def design_elements(design: Design) -> DataFrame:
         F.col("table.comment").alias("comment"),
         F.transform("columns", row).alias("row"),
         F.transform(names, key).alias("key"),
-        F.coalesce("degree", F.lit(0)).alias("degree"),
+        (outgoing + F.coalesce("incoming", F.lit(0))).alias("degree"),
     )
 
 
-def write_design(design: Design, path: str) -> None:
+def write_design(design: Design, path: str, compression: str | None = None) -> None:
     """Write a design, tables by degree; over several schemas, tables go by `table_id`.
 
-    The format has one element for each table, so all its columns and keys meet in one row.
+    The format has one element for each table, so all its columns and keys meet in one row. The text repeats its tags, so
+    `compression` ("gzip", ...) makes it many times smaller; it is read back by the ending of the files.
     """
-    elements = design_elements(design).orderBy(F.desc("degree"), "_name").drop("degree")
-    elements.write.format("xml").option("rootTag", "sql").option("rowTag", "table").save(path)
+    elements = cut(design_elements(design), "elements").orderBy(F.desc("degree"), "_name").drop("degree")
+    options = {"compression": compression} if compression else {}
+    elements.write.format("xml").options(rootTag="sql", rowTag="table", **options).save(path)

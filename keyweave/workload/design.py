@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyweave.lineage import new_folder
+from keyweave.lineage import cut, new_folder
 from keyweave.plans.design import design_from_keys
 from keyweave.sources.design_xml import Design, read_design, write_design
 from keyweave.workload.tables import table
@@ -17,9 +17,10 @@ def _name(prefix: str, column: str):
 def order_design(spark, folder) -> Design:
     """Each order is a table, each of its line numbers a column that refers to a part; the first line is the key."""
     orders = table(spark, folder, "orders")
-    lines = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+    grouped = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("flag"), F.max("l_quantity").cast("int").alias("size")
     )
+    lines = cut(grouped, "lines")
     tables = orders.select(
         _name("order_", "o_orderkey").alias("table_name"), F.col("o_custkey").cast("double").alias("x"), F.col("o_orderkey").cast("double").alias("y"),
         F.concat(F.lit("<"), "o_orderpriority", F.lit("> & co")).alias("comment"),
@@ -47,7 +48,7 @@ def _round_trip(spark, folder) -> Design:
     place = (spark.sparkContext.applicationId, folder)
     if place not in _WRITTEN:
         path = new_folder(spark, "design")
-        write_design(order_design(spark, folder), path)
+        write_design(order_design(spark, folder), path, compression="gzip")
         _WRITTEN[place] = path
     return read_design(spark, _WRITTEN[place])
 

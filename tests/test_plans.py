@@ -175,6 +175,32 @@ def test_a_design_meets_in_one_shuffle_by_table(spark):
     assert plan.count("Exchange hashpartitioning(table_name") == 1 and "Join" not in plan
 
 
+def test_a_design_is_dealt_out_before_it_is_collected(spark):
+    plan = plan_of(design_elements(two_schemas(spark)))
+    assert "collect_list" not in plan[plan.index("Exchange hashpartitioning(table_name") :]
+
+
+def test_degrees_of_a_design_count_distinct_links(spark):
+    pairs = [("a", "b"), ("a", "b"), ("a", "a"), ("b", "a"), ("c", "b"), ("a", "gone"), ("d", None)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    tables = spark.createDataFrame([(n,) for n in "abcde"], "table_name string").select("table_name", *[F.lit(None).cast(t).alias(c) for c, t in (("x", "double"), ("y", "double"), ("comment", "string"))])
+    relations = edges.select(F.col("src").alias("child"), F.lit("c").alias("child_column"), F.col("dst").alias("parent"), F.lit("id").alias("parent_column"))
+    empty = two_schemas(spark)
+    design = Design(tables, empty.columns.drop("table_schema").limit(0), relations, empty.keys.drop("table_schema").limit(0))
+    got = {r._name: r.degree for r in design_elements(design).select("_name", "degree").collect()}
+    assert got == {n: d for n, d in {r.node: r.degree for r in graph.degrees(edges).collect()}.items() if n in set("abcd")} | {"e": 0}
+
+
+def test_a_compressed_design_reads_the_same(spark, tmp_path):
+    design = two_schemas(spark)
+    write_design(design, str(tmp_path / "plain"))
+    write_design(design, str(tmp_path / "packed"), compression="gzip")
+    assert all(p.name.endswith(".gz") for p in (tmp_path / "packed").glob("part-*"))
+    plain, packed = (read_design(spark, str(tmp_path / n)) for n in ("plain", "packed"))
+    for part in ("tables", "columns", "relations", "keys"):
+        assert rows(getattr(packed, part)) == rows(getattr(plain, part))
+
+
 def test_relations_over_schemas(spark):
     design = two_schemas(spark)
     bare = design.relations.drop("child_schema", "parent_schema")
