@@ -85,7 +85,7 @@ def records(lines: DataFrame) -> DataFrame:
     which no line ends within quotes are left as they are. An unclosed quote goes on to the end of its file.
     """
     opened = F.col("line").contains('"') & _ends_open(F.col("line"))
-    torn = lines.where(opened).select("path").distinct()
+    torn = cut(lines.where(opened).select("path").distinct(), "torn")
     whole = lines.join(torn, "path", "left_anti").select("path", "sep", F.col("line").alias("record"))
     outside = F.when(_ends_open(F.col("line")), 1).otherwise(0)
     inside = F.when(_still_open(F.col("line")), 1).otherwise(0)
@@ -106,7 +106,10 @@ def records(lines: DataFrame) -> DataFrame:
 
 
 def split_record(record: Column) -> Column:
-    """The cells of a record, as many as it has: quotes taken off, outer white space trimmed."""
+    """The cells of a record, as many as it has: quotes taken off, outer white space trimmed.
+
+    Without a quote in the record, every separator ends a cell.
+    """
 
     def cells(other: str, sep: str) -> Column:
         text = F.concat(F.lit("," if sep == "," else "\t"), record)
@@ -114,7 +117,8 @@ def split_record(record: Column) -> Column:
         quoted, after, plain = (F.regexp_extract_all(text, pattern, F.lit(i)) for i in (1, 2, 3))
         unquoted = F.transform(quoted, lambda c: F.replace(c, F.lit('""'), F.lit('"')))
         whole = F.zip_with(F.zip_with(unquoted, after, lambda a, b: F.concat(a, b)), plain, lambda a, b: F.concat(a, b))
-        return F.transform(whole, lambda c: F.btrim(c, F.lit(WHITE_SPACE)))
+        found = F.when(record.contains('"'), whole).otherwise(F.split(record, sep, -1))
+        return F.transform(found, lambda c: F.btrim(c, F.lit(WHITE_SPACE)))
 
     return _for_separator(cells)
 
@@ -126,7 +130,7 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], pattern: str |
     a line feed.
     """
     lines = _lines(spark, paths, pattern)
-    firsts = _first_lines(lines)
+    firsts = cut(_first_lines(lines), "firsts")
     decided = delimiter_of(F.col("first_line")) if sep is None else F.lit(sep)
     placed = lines.withColumn("at", F.monotonically_increasing_id())
     named = placed.join(firsts.select("path", "first_line", decided.alias("sep")), "path")

@@ -74,3 +74,12 @@ def test_a_long_cell(spark, tmp_path):
     cell = 'x"' * 100_000
     (tmp_path / "columns.csv").write_text('a,b,"' + cell.replace('"', '""') + '",d\n')
     assert found(files.read_records(spark, str(tmp_path))) == [["a", "b", cell, "d"]]
+
+
+def test_records_are_found_in_one_reading_of_the_files(spark, tmp_path):
+    """First lines are found beforehand; plain records keep empty cells, white space goes."""
+    (tmp_path / "a.csv").write_text('a, b ,,\n"x,y", c ,\n \n')
+    df = files.read_records(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert " text" not in plan and "Relation" in plan
+    assert found(df) == [[""], ["a", "b", "", ""], ["x,y", "c", ""]]
