@@ -6,6 +6,7 @@ from collections import Counter, deque
 import pytest
 from pyspark.sql import functions as F
 
+from keyweave import lineage
 from keyweave.operators import graph, store
 from keyweave.operators.catalog import find_tables
 from keyweave.operators.keys import by_table_id, dangling, foreign_key_mismatches, resolved, table_id
@@ -77,6 +78,42 @@ def test_plans_of_searches_do_not_grow_with_depth(spark):
     assert rows(long)[-1] == ("b9", 10)
 
 
+def test_hops_write_each_edge_once(spark, monkeypatch):
+    written = []
+
+    def noting(spark, label, named=lineage.new_folder):
+        written.append(named(spark, label))
+        return written[-1]
+
+    monkeypatch.setattr(lineage, "new_folder", noting)
+    monkeypatch.setattr(graph, "new_folder", noting)
+    edges = [(f"p{i}", f"s{i * 7 % 11 + k}") for i in range(60) for k in range(5)] + [("tip", "s0"), ("p1", "s7")]
+    found = rows(graph.hops(spark.createDataFrame(edges, "src string, dst string"), "p1"))
+    assert found == sorted(plain_hops(edges, "p1"), key=str)
+    assert sum(spark.read.parquet(path).count() for path in written) == 2 * len(edges) + len(found)
+
+
+def test_rounds_of_hops_shuffle_no_edges(spark):
+    """A broadcast would hide it; the exchanges that are left deal out the level and what it meets."""
+    edges = spark.createDataFrame([(f"a{i}", f"a{i + 1}") for i in range(50)], "src string, dst string")
+    ways = lineage.cut_bucketed(edges, "ways", "src", 50)
+    level = spark.createDataFrame([("a3",), ("a9",)], "node string")
+    met = ways.join(level.hint("shuffle_hash"), F.col("src") == F.col("node"), "left_semi")
+    assert rows(met) == [("a3", "a4"), ("a9", "a10")]
+    assert plan_of(met).split("== Initial Plan ==")[0].count("Exchange") == 1
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("keyweave")]
+
+
+def test_hops_beyond_the_plain_levels(spark):
+    """The last plain level has several nodes, and ways between them, chains, tips and rings lie beyond it."""
+    rng = random.Random(0)
+    edges = [(f"a{i}", f"a{i + rng.choice([1, 1, 2, 5])}") for i in range(120)] + [(f"a{rng.randrange(40, 120)}", f"t{i}") for i in range(10)]
+    edges += [*line("c", 40), ("a90", "c0"), ("c40", "a100"), ("x", "y"), ("y", "z"), ("z", "x"), ("a0", "a1"), (None, "a3"), ("a4", None)]
+    expected = plain_hops([e for e in edges if None not in e], "a0")
+    assert max(h for _, h in expected) > graph.PLAIN_LEVELS + 5
+    assert rows(graph.hops(spark.createDataFrame(edges, "src string, dst string"), "a0")) == sorted(expected, key=str)
+
+
 def test_shortest_path_of_a_random_graph(spark):
     rng = random.Random(6)
     edges = [(i, f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for i in range(90)]
