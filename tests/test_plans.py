@@ -114,6 +114,27 @@ def test_hops_beyond_the_plain_levels(spark):
     assert rows(graph.hops(spark.createDataFrame(edges, "src string, dst string"), "a0")) == sorted(expected, key=str)
 
 
+def test_rounds_of_clusters_shuffle_no_edges(spark, monkeypatch):
+    """Edges lie in buckets by their lower end; hubs are few enough for a broadcast here."""
+    plans = []
+
+    def noting(how):
+        def noted(df, label, **figures):
+            plans.append((label, plan_of(df)))
+            return how(df, label, **figures)
+
+        return noted
+
+    monkeypatch.setattr(graph, "cut", noting(lineage.cut))
+    monkeypatch.setattr(graph, "cut_observed", noting(lineage.cut_observed))
+    edges = [(f"p{i}", f"s{i * 7 % 11 + k}") for i in range(60) for k in range(5)] + [("tip", "s3"), ("p1", "s7"), ("s7", "p1")]
+    found = {r.node: (r.role, r.hub) for r in graph.hub_clusters(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert {role for n, (role, _) in found.items() if n[0] == "s"} == {"hub"} and found["tip"] == ("child", "s3")
+    noted = {label for label, _ in plans}
+    assert {"taken", "children"} <= noted
+    assert not [label for label, plan in plans if label in ("taken", "higher", "children") and "Exchange hashpartitioning" in plan]
+
+
 def test_shortest_path_of_a_random_graph(spark):
     rng = random.Random(6)
     edges = [(i, f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for i in range(90)]
