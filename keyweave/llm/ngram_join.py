@@ -33,7 +33,7 @@ from keyweave.llm.columns import column, spaced_words
 from keyweave.llm.components import components, few
 
 _MULTIPLIERS = np.random.RandomState(5).randint(1, 2**63 - 1, 64, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-BLOCK = 4_000_000  # shingles that a task packs at a time
+BLOCK = 1_000_000  # shingles that a task holds at a time: 8 MB
 SEEN_SETS = 200_000  # sets that a task remembers, not to send copies twice
 MOST_NAMED = 1 << 20  # long lists that are sent to the tasks, at most: 8 MB
 MOST_BITS = 1 << 27  # of the filter that is sent to the tasks, at most: 16 MB
@@ -93,23 +93,45 @@ def _new_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int,
         yield own, shingles
 
 
+def _measure(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Id, size and class of each text. A batch has thousands of texts, so their sets aren't held."""
+    for batch in batches:
+        sizes, classes = [], []
+        for _, shingles in _documents(iter([batch]), k):
+            sizes.append(len(shingles))
+            classes.append(class_of(shingles) if len(shingles) else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], ["id", "size", "cls"])
+
+
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
     """(id, size, cls) of each document; cls is null for the empty set."""
     id_type = docs.schema[0].dataType.simpleString()
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [s for _, s in _documents(iter([batch]), k)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(s) for s in found], pa.int64()),
-                    pa.array([class_of(s) if len(s) else None for s in found], pa.int64()),
-                ],
-                ["id", "size", "cls"],
-            )
-
-    return docs.mapInArrow(measure, f"id {id_type}, size bigint, cls bigint")
+    return docs.mapInArrow(lambda batches: _measure(batches, k), f"id {id_type}, size bigint, cls bigint")
+
+
+def _pack(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The fingerprints of the sets, packed by buckets. A block of them is held twice at most."""
+    held: list[np.ndarray] = []
+    n = 0
+
+    def packed() -> pa.RecordBatch:
+        marks = np.concatenate(held)
+        held.clear()
+        marks.sort()
+        bounds = np.searchsorted(marks, np.arange(buckets, dtype=np.uint64) << np.uint64(32))
+        low = marks.astype(np.uint32)  # the lower half
+        parts = [x.tobytes() for x in np.split(low, bounds[1:])]
+        own = [i for i, x in enumerate(parts) if x]
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([parts[i] for i in own], pa.binary())], ["bucket", "marks"])
+
+    for _, shingles in _new_sets(batches, k):
+        held.append(fingerprints(shingles, buckets))
+        n += len(shingles)
+        if n >= BLOCK:
+            yield packed()
+            n = 0
+    if held:
+        yield packed()
 
 
 def long_lists(docs: DataFrame, rule: Similarity, buckets: int) -> np.ndarray:
@@ -120,26 +142,6 @@ def long_lists(docs: DataFrame, rule: Similarity, buckets: int) -> np.ndarray:
     """
     k = rule.shingle
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def packed() -> pa.RecordBatch:
-            marks = np.sort(fingerprints(np.concatenate(held), buckets))
-            own = marks >> np.uint64(32)
-            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            low = (marks & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            parts = [x.tobytes() for x in np.split(low, starts[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(own[starts].astype(np.int64)), pa.array(parts, pa.binary())], ["bucket", "marks"])
-
-        for _, shingles in _new_sets(batches, k):
-            held.append(shingles)
-            n += len(shingles)
-            if n >= BLOCK:
-                yield packed()
-                held, n = [], 0
-        if held:
-            yield packed()
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
@@ -156,7 +158,7 @@ def long_lists(docs: DataFrame, rule: Similarity, buckets: int) -> np.ndarray:
                 ["mark", "magnitude"],
             )
 
-    packed = docs.mapInArrow(pack, "bucket bigint, marks binary").repartition(buckets, "bucket")
+    packed = docs.mapInArrow(lambda batches: _pack(batches, k, buckets), "bucket bigint, marks binary").repartition(buckets, "bucket")
     named = cut(packed.mapInArrow(count, "mark bigint, magnitude int"), "long-lists")
     left, least = MOST_NAMED, 99
     for row in named.groupBy("magnitude").count().orderBy(F.desc("magnitude")).collect():  # at most 64 rows
@@ -297,6 +299,29 @@ def reaching(pairs: DataFrame, prefixes: DataFrame, rule: Similarity) -> DataFra
     return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b")
 
 
+def _make_again(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Class and set of the texts whose place is in the filter, a block of shingles at a time."""
+    classes: list[int] = []
+    held: list[bytes] = []
+    n = 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(held, pa.binary())], ["cls", "shingles"])
+
+    for batch in batches:
+        place = batch.column(2).to_numpy()
+        found = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+        for _, shingles in _documents(iter([batch.filter(pa.array(found.astype(bool)))]), k):
+            classes.append(class_of(shingles))
+            held.append(shingles.tobytes())
+            n += len(shingles)
+            if n >= BLOCK:
+                yield made()
+                classes, held, n = [], [], 0
+    if held:
+        yield made()
+
+
 def needed_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(cls, shingles) of the given classes, made again from one document of each.
 
@@ -315,16 +340,7 @@ def needed_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int)
         filled[row["k"] * BITMAP // 8 : (row["k"] + 1) * BITMAP // 8] = np.frombuffer(row["bits"], np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(filled)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.column(2).to_numpy()
-            found = (sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-            held = [s for _, s in _documents(iter([batch.filter(pa.array(found.astype(bool)))]), k)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(map(class_of, held)), pa.int64()), pa.array([s.tobytes() for s in held], pa.binary())], ["cls", "shingles"]
-            )
-
-    made = docs.withColumn("at", at).mapInArrow(make, "cls bigint, shingles binary")
+    made = docs.withColumn("at", at).mapInArrow(lambda batches: _make_again(batches, k, sent.value), "cls bigint, shingles binary")
     return cut(made.join(chosen.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "needed-sets")
 
 

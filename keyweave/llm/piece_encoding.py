@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +36,12 @@ class ChunkTable:
             raise ValueError("pieces of this model cross whitespace markers")
         if self.pieces.encode("  a") != self.pieces.encode(f"{MARKER} a") or self.pieces.encode("a  b") == self.pieces.encode("a b"):
             raise ValueError("this model changes white space")
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.marker = (self.pieces.piece_to_id(MARKER),)
+        self.ids: dict[str, bytes] = {}  # packed: numbers of their own would take several times the space
+        self.marker = [self.pieces.piece_to_id(MARKER)]
 
-    def _segment(self, chunks: list[str]) -> list[tuple[int, ...]]:
+    def _segment(self, chunks: list[str]) -> list[bytes]:
         # The first marker of a chunk is what the library puts before any text.
-        return [tuple(ids) or self.marker for ids in self.pieces.encode([c[1:] for c in chunks], num_threads=1)]
+        return [array("i", ids or self.marker).tobytes() for ids in self.pieces.encode([c[1:] for c in chunks], num_threads=1)]
 
     def encode(self, text: str) -> array:
         out = array("i")
@@ -56,7 +55,7 @@ class ChunkTable:
         own = dict(zip(new, self._segment(new), strict=True))
         self.ids.update((c, ids) for c, ids in own.items() if len(c) <= KEPT_CHARS)
         known = self.ids
-        out.extend(chain.from_iterable([own[c] if c in own else known[c] for c in chunks]))
+        out.frombytes(b"".join([own[c] if c in own else known[c] for c in chunks]))
         return out
 
     def decode(self, ids: array) -> str:
@@ -80,15 +79,18 @@ def encode_and_decode(df: DataFrame, model: str, text: str = "text", ids: str =
     @F.arrow_udf(returnType="struct<ids: array<int>, decoded: string>")
     def pieces(texts: pa.Array) -> pa.Array:
         table = chunk_table(model)
-        values, lengths, back = array("i"), [], []
+        # A batch has thousands of texts, so what it becomes is held once, as Arrow's own buffers.
+        values, lengths, back, ends = array("i"), [], bytearray(), [0]
         for value in texts:
             found = table.encode(value.as_py())
             values.extend(found)
             lengths.append(len(found))
-            back.append(table.decode(found))
+            back += table.decode(found).encode()
+            ends.append(len(back))
         offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
         lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(values, np.int32) if values else [], pa.int32()))
-        return pa.StructArray.from_arrays([lists, pa.array(back, pa.string())], ["ids", "decoded"])
+        texts_again = pa.StringArray.from_buffers(len(texts), pa.py_buffer(np.array(ends, np.int32)), pa.py_buffer(back))
+        return pa.StructArray.from_arrays([lists, texts_again], ["ids", "decoded"])
 
     found = pieces(column(text).cast("string"))
     return df.withColumns({ids: found["ids"], decoded: found["decoded"]})

@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from keyweave.llm import ngram_join
@@ -109,3 +112,35 @@ def test_components_of_chain_star_and_loops(spark):
     links = list(zip(order, order[1:])) + [(2000, i) for i in range(2001, 2100)] + [(5000, 5000)]
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert found == {i: min(order) for i in order} | {i: 2000 for i in range(2000, 2100)}
+
+
+def batch_of(texts):
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(range(len(texts)))], ["id", "text", "at"])
+
+
+def test_packed_marks_are_all_fingerprints():
+    values = [" ".join(f"w{i * j}" for j in range(30)) for i in range(200)] + ["", None, "one two"] * 2
+    for buckets in (1, 7, 5000):
+        found = []
+        for packed in ngram_join._pack(iter([batch_of(values)]), 5, buckets):
+            for row in packed.to_pylist():
+                found += [row["bucket"] << 32 | int(x) for x in np.frombuffer(row["marks"], np.uint32)]
+        sets = {ngram_join.class_of(s): s for _, s in ngram_join._documents(iter([batch_of(values)]), 5) if len(s)}
+        assert sorted(found) == sorted(int(x) for s in sets.values() for x in ngram_join.fingerprints(s, buckets))
+
+
+def test_tasks_hold_a_block_of_shingles_at_a_time():
+    """What a task holds doesn't grow with its texts or with Spark's batch of them: a million shingles are 8 MB."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(2000)) for i in range(1500)]  # three million shingles
+    every = np.full(len(texts) // 8 + 1, 255, np.uint8)
+    held = {}
+    for name, task in (("measure", lambda b: ngram_join._measure(b, 5)), ("pack", lambda b: ngram_join._pack(b, 5, 48)), ("again", lambda b: ngram_join._make_again(b, 5, every))):
+        batch, rows = batch_of(texts), 0
+        tracemalloc.start()
+        for found in task(iter([batch])):
+            rows += found.num_rows
+            del found
+        held[name] = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert rows >= (48 if name == "pack" else len(texts))
+    assert held["measure"] < 2 and held["pack"] < 30 and held["again"] < 30, held

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import sentencepiece
 
@@ -44,3 +45,14 @@ def test_rows(texts):
 
 def test_empty_table(texts):
     assert encode_and_decode(texts([]), tokenizer_file()).collect() == []
+
+
+def test_the_table_is_packed():
+    table = ChunkTable(tokenizer_file())
+    rng = random.Random(7)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(20_000))
+    tracemalloc.start()
+    table.encode(text)
+    held = tracemalloc.get_traced_memory()[0] / len(table.ids)
+    tracemalloc.stop()
+    assert len(table.ids) > 19_000 and held < 200, held
